@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorefield.llm import cooccur, encoding, leakage, near_dup, splitting, term_freq
+from lorefield.llm import cooccur, encoding, leakage, near_dup, quality, splitting, term_freq
 from lorefield.llm.cleaning import clean_sql, clean_tag, clean_value
 from lorefield.session import read_table
 
@@ -94,7 +94,15 @@ def p7_passages(spark: SparkSession, sf: str) -> DataFrame:
     return found.filter(F.col("tolerant") >= leakage.SPAN)
 
 
-QUERIES = (p2_found, p2_incremental, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p5_counts, p6_ids, p7_found, p7_passages)
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.text_kinds(read_table(spark, sf, "documents"), "doc_id", "text").filter("kind <> 'prose'")
+
+
+def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.text_statistics(read_table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = (p2_found, p2_incremental, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p5_counts, p6_ids, p7_found, p7_passages, p8_found, p8_statistics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
