@@ -14,11 +14,10 @@ Candidates
     agree too rarely (``LEAST_EQUAL`` of ``TABLES``; a pair at the threshold fails that test about
     three times in ten thousand).
 Verification
-    A banded alignment of the two word sequences, in numpy over batches of pairs, bounds the edit
-    distance by ``e``. One edit destroys at most ``SHINGLE`` distinct shingles on either side, so
-    ``(|A|-s*e)/(|A|+s*e)`` bounds the similarity from below: if that already reaches the threshold
-    the pair is accepted, otherwise the shingle sets are intersected exactly. Either way the answer
-    is that of the definition.
+    The candidates' shingle sets are intersected exactly, which applies the definition of the
+    threshold; the pairs that hold are aligned within a band around the diagonal, in numpy over
+    batches of pairs. The alignment gives the words edited between the two texts, or -1 where it left
+    the band: such pairs share their shingles but not their order (whole passages were moved).
 Closure
     Two texts that are both linked to a third are candidates too, and are verified in the same way;
     this finds most of the few pairs that no table brought together.
@@ -48,6 +47,7 @@ TABLES = 32
 MIN_WORDS = 20
 BAND = 12
 LEAST_EQUAL = 9
+FAR = 1 << 28
 WORD = re.compile(r"[^\W_]+")
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _CODES: dict[str, int] = {}
@@ -158,7 +158,7 @@ def alignment_distance(a: list[np.ndarray], b: list[np.ndarray], band: int = BAN
     pad_a = np.zeros((len(a), rows), np.uint64)
     for i, x in enumerate(a):
         pad_a[i, : len(x)] = x
-    far = np.int32(1 << 28)
+    far = np.int32(FAR)
     offs = np.arange(width, dtype=np.int64) - band
     centre = np.zeros(len(a), np.int64)
     cols = offs[None, :] + centre[:, None]
@@ -199,10 +199,12 @@ def alignment_distance(a: list[np.ndarray], b: list[np.ndarray], band: int = BAN
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of distinct shingles of either text that are in both (arrays of distinct codes)."""
+    """Share of distinct shingles of either text that are in both (sorted arrays of distinct codes)."""
     if not len(a) or not len(b):
         return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return both / (len(a) + len(b) - both)
 
 
@@ -229,27 +231,23 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _verifier(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [word_codes(x) for x in batch.column("text_a").to_pylist()]
-            right = [word_codes(x) for x in batch.column("text_b").to_pylist()]
-            size = np.array([max(len(x), len(y)) for x, y in zip(left, right)])
-            keep = np.zeros(len(left), bool)
-            sim = np.zeros(len(left))
-            edits = np.full(len(left), -1, np.int64)
-            order = np.argsort(size, kind="stable")
-            for at in range(0, len(order), 256):
-                own = order[at : at + 256]
-                dist = alignment_distance([left[i] for i in own], [right[i] for i in own])
-                for i, e in zip(own, dist):
-                    x, y = np.unique(kmer_codes(left[i], SHINGLE)), np.unique(kmer_codes(right[i], SHINGLE))
-                    few, most = min(len(x), len(y)), max(len(x), len(y))
-                    if few == 0 or few < threshold * most:
-                        continue
-                    edits[i] = e if e < (1 << 28) else -1
-                    bound = (most - SHINGLE * int(e)) / (most + SHINGLE * int(e))
-                    # e words edited: at least most-s*e shingles of the larger set are common
-                    sim[i] = bound if bound >= threshold else jaccard(x, y)
-                    keep[i] = sim[i] >= threshold - 1e-12
-            own = np.flatnonzero(keep)
+            known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+            def codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+                if text not in known:
+                    words = word_codes(text)
+                    known[text] = words, np.unique(kmer_codes(words, SHINGLE))
+                return known[text]
+
+            pairs = [(codes(x), codes(y)) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
+            alike = [i for i, (x, y) in enumerate(pairs) if jaccard(x[1], y[1]) >= threshold - 1e-12]
+            edits = np.full(len(pairs), -1, np.int64)
+            alike.sort(key=lambda i: len(pairs[i][0][0]))
+            for at in range(0, len(alike), 256):
+                own = alike[at : at + 256]
+                dist = alignment_distance([pairs[i][0][0] for i in own], [pairs[i][1][0] for i in own])
+                edits[own] = np.where(dist < FAR, dist, -1)
+            own = np.array(sorted(alike), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("tab").take(pa.array(own)), batch.column("a").take(pa.array(own)), batch.column("b").take(pa.array(own)), pa.array(edits[own])],
                 names=["tab", "a", "b", "edits"],
@@ -304,7 +302,8 @@ def near_duplicates(tables: dict[str, tuple[DataFrame, str, str]], threshold: fl
     found = (
         l.join(r.hint("shuffle_hash"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.id") < F.col("r.id")))
         .filter(possible & (_agree() >= LEAST_EQUAL))
-        .select(F.shiftrightunsigned(F.col("l.s1"), 48).cast("int").alias("tab"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+        # of both sides, lest an inferred filter on one side keep the two from sharing one exchange
+        .select(F.greatest(F.shiftrightunsigned(F.col("l.s1"), 48), F.shiftrightunsigned(F.col("r.s1"), 48)).cast("int").alias("tab"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
         .distinct()
     )
     first = materialise(_verify(found, texts, threshold), "nd-links")
