@@ -7,11 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorefield.llm import cooccur, encoding, leakage, near_dup, quality, splitting, term_freq
+from lorefield.llm import cooccur, encoding, leakage, near_dup, pii, quality, splitting, term_freq
 from lorefield.llm.cleaning import clean_sql, clean_tag, clean_value
 from lorefield.session import read_table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    words = pii.lexicon_of(read_table(spark, sf, "name_lexicon"))
+    found = pii.find_items(read_table(spark, sf, "messages"), "message_id", "content", words, "message")
+    found = found.unionByName(pii.find_items(read_table(spark, sf, "chunk_results"), "chunk_id", "text", words, "chunk"))
+    return found.select("src", "rec_id", "kind", "start_pos")
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    words = pii.lexicon_of(read_table(spark, sf, "name_lexicon"))
+    one = pii.redacted(read_table(spark, sf, "messages"), "message_id", "content", words, "message")
+    return one.unionByName(pii.redacted(read_table(spark, sf, "chunk_results"), "chunk_id", "text", words, "chunk"))
+
+
 def _items(rows: DataFrame) -> DataFrame:
     """(basket, item): the clean tag and value of each contribution, joined by ``=``."""
     tag, value = clean_tag(F.col("tag")), clean_value(F.col("value"))
@@ -102,7 +115,7 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.text_statistics(read_table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = (p2_found, p2_incremental, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p5_counts, p6_ids, p7_found, p7_passages, p8_found, p8_statistics)
+QUERIES = (p1_found, p1_redacted, p2_found, p2_incremental, p3_found, p3_classes, p4_found, p4_pieces, p5_found, p5_counts, p6_ids, p7_found, p7_passages, p8_found, p8_statistics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
