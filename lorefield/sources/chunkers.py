@@ -1,12 +1,13 @@
 """Chunkers: texts into chunks with their line ranges.
 
-The line chunker and the paragraph chunker are expressions. Those that need a scanner with memory
-(bracketed and indented code) run as Arrow batches; each is a pure function of one text, registered by
+The line chunker is an expression. Those that need a scanner with memory (paragraphs under headings,
+bracketed and indented code) run as Arrow batches; each is a pure function of one text, registered by
 name, so that others can be added.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,31 +23,6 @@ def line_chunks(rows: DataFrame, key: str, text: str) -> DataFrame:
     return lines.filter("text <> ''").select(key, no.alias("no"), F.format_string("%d-%d", no, no).alias("location"), "text")
 
 
-def paragraph_chunks(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, no, location, text): runs of lines between blank ones; a heading begins a chunk.
-
-    Lines are folded once per text: each opens a new paragraph, continues the last or closes it.
-    """
-    lines = F.split(F.col(text), "\n")
-    kind = "array<struct<first:int,last:int,body:string>>"
-    zero = F.struct(F.lit(0).alias("no"), F.lit(False).alias("open"), F.array().cast(kind).alias("got"))
-
-    def step(s, line):
-        no = s["no"] + 1
-        blank = F.trim(line) == ""
-        heading = line.rlike(r"^#{1,6}\s")
-        last = F.element_at(s["got"], -1)
-        fresh = F.struct(no.alias("first"), no.alias("last"), line.alias("body"))
-        longer = F.struct(last["first"].alias("first"), no.alias("last"), F.concat(last["body"], F.lit("\n"), line).alias("body"))
-        join = s["open"] & ~heading
-        got = F.when(blank, s["got"]).when(join, F.concat(F.slice(s["got"], F.lit(1), F.greatest(F.size(s["got"]) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(s["got"], F.array(fresh)))
-        return F.struct(no.alias("no"), (~blank).alias("open"), got.alias("got"))
-
-    parts = F.aggregate(lines, zero, step, lambda s: s["got"])
-    out = rows.select(key, F.posexplode(parts).alias("at", "p"))
-    return out.select(key, (F.col("at") + 1).alias("no"), F.format_string("%d-%d", F.col("p.first"), F.col("p.last")).alias("location"), F.col("p.body").alias("text"))
-
-
 @dataclass(frozen=True)
 class Language:
     """What a code chunker needs to know: brackets, string delimiters and line comments."""
@@ -122,12 +98,26 @@ def indent_chunks(text: str, language: Language = Language()) -> list[tuple[int,
     return out
 
 
+def paragraph_chunks(text: str) -> list[tuple[int, int]]:
+    """(first, last) lines of runs between blank lines; a heading begins a chunk of its own."""
+    out, begin, last = [], None, 0
+    for no, line in enumerate(text.split("\n"), 1):
+        heading = re.match(r"#{1,6}\s", line)
+        if begin is not None and (heading or not line.strip()):
+            out.append((begin, last))
+            begin = None
+        if line.strip():
+            begin = no if begin is None else begin
+            last = no
+    return [*out, (begin, last)] if begin is not None else out
+
+
 def chat_line_range(previous: int, count: int) -> tuple[int, int]:
     """Range of ``count`` lines behind line ``previous``."""
     return previous + 1, previous + count
 
 
-CHUNKERS: dict[str, Callable[[str], list[tuple[int, int]]]] = {"bracket": bracket_chunks, "indent": indent_chunks}
+CHUNKERS: dict[str, Callable[[str], list[tuple[int, int]]]] = {"paragraph": paragraph_chunks, "bracket": bracket_chunks, "indent": indent_chunks}
 
 
 def register_chunker(name: str, chunker: Callable[[str], list[tuple[int, int]]]) -> None:

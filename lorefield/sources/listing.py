@@ -77,7 +77,7 @@ def status(index: DataFrame, listing: DataFrame) -> DataFrame:
     """(path, code): G good, S stale, M missing on disk, N new, by length and hash."""
     i = index.select("path", F.col("length").alias("il"), F.col("hash").alias("ih"), F.lit(True).alias("known"))
     d = listing.select("path", F.col("length").alias("dl"), F.col("hash").alias("dh"), F.lit(True).alias("there"))
-    code = F.when(F.col("there").isNull(), "M").when(F.col("known").isNull(), "N").when((F.col("il") <=> F.col("dl")) & (F.col("ih") <=> F.col("dh")), "G").otherwise("S")
+    code = F.when(F.col("there").isNull(), "M").when(F.col("known").isNull(), "N").when(F.col("il").eqNullSafe(F.col("dl")) & F.col("ih").eqNullSafe(F.col("dh")), "G").otherwise("S")
     return i.join(d, "path", "full_outer").select("path", code.alias("code"))
 
 
@@ -114,7 +114,7 @@ def diff_config(old: DataFrame, new: DataFrame) -> DataFrame:
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
     deferred = F.col("key").rlike("^(case|chunker)")
     reaction = F.when(deferred, "defer").when(F.col("key").rlike("^tag_model"), "minimal").otherwise("benign")
-    return o.join(n, "key", "full_outer").filter(~(F.col("was") <=> F.col("now"))).select("key", change.alias("change"), reaction.alias("reaction"))
+    return o.join(n, "key", "full_outer").filter(~F.col("was").eqNullSafe(F.col("now"))).select("key", change.alias("change"), reaction.alias("reaction"))
 
 
 def latest_per_path(rows: DataFrame, order: str) -> DataFrame:
