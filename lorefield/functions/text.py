@@ -26,6 +26,11 @@ def trigrams(text: Column) -> Column:
     return F.when(n >= 3, grams).when(n > 0, F.array(text)).when(n == 0, F.array().cast("array<string>"))
 
 
+def strip(text: Column | str) -> Column:
+    """Strip white space and no-break spaces at both ends; a string names a column."""
+    return F.regexp_replace(F.col(text) if isinstance(text, str) else text, "^[\\s\u00a0]+|[\\s\u00a0]+\\z", "")
+
+
 def gram_codes(text: Column) -> Column:
     """Distinct trigrams as 64-bit codes.
 
