@@ -7,7 +7,9 @@ otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: One inline tag: a name, a colon, and the rest of the line as its value.
@@ -31,23 +33,43 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(F.col(text) if isinstance(text, str) else text, "^[\\s\u00a0]+|[\\s\u00a0]+\\z", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once.
+
+    Catalyst merges projections, so a costly expression that is named in one column and used several
+    times in the next is evaluated as often. A lambda variable holds its value.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def hits(rows: DataFrame, score: Column, *keep: str, least: float = 0.0) -> DataFrame:
+    """``keep`` and ``score`` of the rows that score above ``least``.
+
+    The score goes through a generator, so the test on it cannot be pushed below its computation, which
+    would compute it twice.
+    """
+    return rows.select(*keep, F.explode(F.filter(F.array(score), lambda s: s > least)).alias("score"))
+
+
+#: All overlapping trigrams, one after the other; never begins within a surrogate pair.
+_EVERY_GRAM = r"(?s)(?![\uDC00-\uDFFF])(?=(.{3}))"
+
+
 def gram_codes(text: Column) -> Column:
     """Distinct trigrams as 64-bit codes.
 
-    The characters are taken once and zipped with themselves, so the work is linear in the text, and
-    set operations on longs run on hash sets, which those on strings do not.
+    One pass of a look-ahead takes all overlapping trigrams, so the work is linear in the text; set
+    operations on longs run on hash sets.
     """
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    codes = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_EVERY_GRAM), F.lit(1)), lambda g: F.xxhash64(g)))
     n = F.length(text)
-    shifted = [F.slice(chars, F.lit(k), F.greatest(n - 2, F.lit(0))).alias(name) for k, name in ((1, "a"), (2, "b"), (3, "c"))]
-    codes = F.array_distinct(F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(z["a"], z["b"], z["c"])))
     return F.when(n >= 3, codes).when(n > 0, F.array(F.xxhash64(text))).when(n == 0, F.array().cast("array<bigint>"))
 
 
 def literal_codes(text: str) -> Column:
     """The codes of a literal's trigrams."""
     grams = list(dict.fromkeys(text[i : i + 3] for i in range(len(text) - 2))) if len(text) >= 3 else ([text] if text else [])
-    codes = [F.xxhash64(*[F.lit(c) for c in g]) if len(text) >= 3 else F.xxhash64(F.lit(g)) for g in grams]
+    codes = [F.xxhash64(F.lit(g)) for g in grams]
     return F.array(*codes) if codes else F.array().cast("array<bigint>")
 
 
@@ -57,15 +79,25 @@ def tokens(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared share of two sets; 0 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+    """Shared share of two sets without repetitions; 0 if both are empty."""
+
+    def score(p: Column) -> Column:
+        both = F.size(F.array_intersect(p["a"], p["b"]))
+        union = F.size(p["a"]) + F.size(p["b"]) - both
+        return F.when(union > 0, both / union).otherwise(F.lit(0.0))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), score)
 
 
 def jaccard_with_floor(query: Column, text: Column, floor: float = 0.1) -> Column:
     """Jaccard, but 0 where less than ``floor`` of the query's grams are covered."""
-    covered = F.size(F.array_intersect(query, text)) / F.size(query)
-    return F.when(covered < floor, F.lit(0.0)).otherwise(jaccard(query, text))
+
+    def score(p: Column) -> Column:
+        both = F.size(F.array_intersect(p["a"], p["b"]))
+        union = F.size(p["a"]) + F.size(p["b"]) - both
+        return F.when((both / F.size(p["a"]) < floor) | (union == 0), F.lit(0.0)).otherwise(both / union)
+
+    return let(F.struct(query.alias("a"), text.alias("b")), score)
 
 
 def fuzzy(query: Column, text: Column) -> Column:

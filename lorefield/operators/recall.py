@@ -17,10 +17,9 @@ AXES = ("vector", "trigram", "tag")
 
 def trigram_pass(chunks: DataFrame, inputs: list[str], keep: int, floor: float = 0.1) -> DataFrame:
     """(chunk_id, score): best trigram Jaccard over the inputs; under the coverage floor it is 0."""
-    codes = T.gram_codes(F.lower("text"))
-    best = F.greatest(*[T.jaccard_with_floor(T.literal_codes(q.lower()), F.col("g"), floor) for q in inputs], F.lit(0.0))
-    scored = chunks.filter("text is not null").select("chunk_id", codes.alias("g")).select("chunk_id", F.round(best, 6).alias("score"))
-    return scored.filter("score > 0").groupBy("chunk_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(keep)
+    best = T.let(T.gram_codes(F.lower("text")), lambda g: F.greatest(*[T.jaccard_with_floor(T.literal_codes(q.lower()), g, floor) for q in inputs], F.lit(0.0)))
+    scored = T.hits(chunks.filter("text is not null"), F.round(best, 6), "chunk_id")
+    return scored.groupBy("chunk_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(keep)
 
 
 def tag_pass(tags: DataFrame, inputs: list[str], keep: int) -> DataFrame:
@@ -31,7 +30,7 @@ def tag_pass(tags: DataFrame, inputs: list[str], keep: int) -> DataFrame:
     pairs = tags.filter("tag is not null and value <> ''").select("tag", "value").distinct()
     text = F.concat_ws(" ", "tag", "value")
     best = F.greatest(*[T.word_overlap(F.lit(q), text) for q in inputs], F.lit(0.0))
-    hits = pairs.select("tag", "value", F.round(best, 6).alias("score")).filter("score > 0")
+    hits = T.hits(pairs, F.round(best, 6), "tag", "value")
     scored = tags.select("chunk_id", "tag", "value").join(hits, ["tag", "value"]).filter("chunk_id is not null")
     return scored.groupBy("chunk_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(keep)
 

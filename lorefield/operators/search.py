@@ -12,6 +12,8 @@ Scores are rounded to six digits, and ties are broken by the chunk's id.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,15 @@ def query_words(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W]+", query.lower())))
 
 
-def gram_counts(chunks: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """(gram, df, total): in how many chunks each trigram of the query occurs; absent grams count 0."""
+def gram_counts(chunks: DataFrame, query: str, text: str = "text", key: str = "chunk_id") -> DataFrame:
+    """(gram, df, total): in how many chunks each trigram of the query occurs; absent grams count 0.
+
+    Repeated rows are removed by key and flags, so no text is shuffled.
+    """
     grams = query_grams(query)
     body = F.lower(F.coalesce(F.col(text), F.lit("")))
-    sums = [F.sum(F.contains(body, F.lit(g)).cast("long")).alias(f"g{i}") for i, g in enumerate(grams)]
-    row = chunks.agg(F.count("*").alias("total"), *sums)
+    flags = chunks.select(key, *[F.contains(body, F.lit(g)).alias(f"g{i}") for i, g in enumerate(grams)]).distinct()
+    row = flags.agg(F.count("*").alias("total"), *[F.sum(F.col(f"g{i}").cast("long")).alias(f"g{i}") for i in range(len(grams))])
     cells = F.array(*[F.struct(F.lit(g).alias("gram"), F.coalesce(F.col(f"g{i}"), F.lit(0)).alias("df")) for i, g in enumerate(grams)])
     return row.select("total", F.explode(cells).alias("c")).select("c.gram", "c.df", "total")
 
@@ -65,16 +70,21 @@ def overlap(text: Column, grams: list[str]) -> Column:
 
 
 def density(text: Column, words: list[str]) -> Column:
-    toks = T.tokens(text)
-    hit = F.size(F.filter(toks, lambda w: w.isin(*words))) if words else F.lit(0)
-    return F.round(F.when(F.size(toks) > 0, hit / F.size(toks)).otherwise(F.lit(0.0)), 6)
+    if not words:
+        return F.lit(0.0)
 
+    def share(toks: Column) -> Column:
+        hit = F.size(F.filter(toks, lambda w: w.isin(*words)))
+        return F.round(F.when(F.size(toks) > 0, hit / F.size(toks)).otherwise(F.lit(0.0)), 6)
+
+    return T.let(T.tokens(text), share)
 
-def _occurrences(text: Column, gram: str) -> Column:
-    """Occurrences of a gram, overlapping ones included."""
-    body = F.lower(text)
-    parts = F.split(F.regexp_replace(body, "(?=" + _quote(gram) + ")", "\x00"), "\x00")
-    return F.size(parts) - 1
+
+def _occurrences(body: Column, gram: str) -> Column:
+    """Occurrences of a gram in a lower-cased text, overlapping ones included."""
+    if gram and gram[0] != gram[-1]:  # it can't overlap itself, so removing it counts it
+        return (F.length(body) - F.length(F.replace(body, F.lit(gram), F.lit("")))) / len(gram)
+    return F.size(F.split(F.regexp_replace(body, "(?=" + _quote(gram) + ")", "\x00"), "\x00")) - 1
 
 
 def _quote(gram: str) -> str:
@@ -84,42 +94,48 @@ def _quote(gram: str) -> str:
 
 
 def bm25(chunks: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """``chunks`` with a ``score`` column: BM25 over the query's trigrams."""
+    """Hits with their ``score``: BM25 over the query's trigrams."""
     grams = query_grams(query)
     stats = {r["gram"]: (r["df"], r["total"]) for r in gram_counts(chunks, query, text).collect()}
-    mean = chunks.agg(F.avg(F.greatest(F.length(F.coalesce(F.col(text), F.lit(""))) - 2, F.lit(0)))).first()[0] or 1.0
-    length = F.greatest(F.length(text) - 2, F.lit(0))
-    score = F.lit(0.0)
-    for g in grams:
-        df, total = stats[g]
-        idf = F.log(F.lit(1.0) + (F.lit(float(total)) - df + 0.5) / (F.lit(float(df)) + 0.5))
-        tf = _occurrences(F.col(text), g)
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(float(mean))))
-    return chunks.withColumn("score", F.round(score, 6))
+    size = F.greatest(F.length(F.coalesce(F.col(text), F.lit(""))) - 2, F.lit(0))
+    mean = chunks.select("chunk_id", size.alias("n")).distinct().agg(F.avg("n")).first()[0] or 1.0
+
+    def total_score(body: Column) -> Column:
+        size = F.greatest(F.length(body) - 2, F.lit(0))
+        score = F.lit(0.0)
+        for g in grams:
+            df, total = stats[g]
+            idf = math.log(1 + (total - df + 0.5) / (df + 0.5))
+            score = score + T.let(_occurrences(body, g), lambda tf, idf=idf: idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / float(mean))))
+        return score
+
+    score = T.let(F.lower(text), total_score)
+    return T.hits(chunks, F.round(score, 6), *_kept(chunks))
+
+
+def _kept(chunks: DataFrame) -> list[str]:
+    """Columns that go on with a hit: all but the texts."""
+    return [c for c in chunks.columns if c not in ("text", "chunk_range", "score")]
 
 
 def ranked(scored: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    """The ``k`` best rows (TakeOrderedAndProject), ties by key; scores of 0 are no hits."""
-    return scored.filter("score > 0").orderBy(F.desc("score"), F.asc(key)).limit(k)
+    """The ``k`` best hits (TakeOrderedAndProject), ties by key; repeated rows count once."""
+    return scored.distinct().orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
 def by_strategy(chunks: DataFrame, query: str, strategy: str, text: str = "text", share: float = 0.5) -> DataFrame:
-    """``chunks`` with the score of one strategy; rows that are no candidates score 0."""
-    t = F.col(text)
+    """The hits of one strategy with their score, without their texts."""
+    t, keep = F.col(text), _kept(chunks)
     if strategy == "density":
-        return chunks.withColumn("score", density(t, query_words(query)))
+        return T.hits(chunks, density(t, query_words(query)), *keep)
     if strategy == "bm25":
         return bm25(chunks, query, text)
     if strategy == "fuzzy":
-        both = _hits(t, query_grams(query))
-        union = F.size(T.gram_codes(F.lower(t))) + len(query_grams(query)) - both
-        # texts without a gram of the query score 0 before any set is built
-        return chunks.withColumn("score", F.when(both > 0, F.round(both / union, 6)).otherwise(F.lit(0.0)))
+        return T.hits(chunks, F.round(T.jaccard(T.literal_codes(query.lower()), T.gram_codes(F.lower(t))), 6), *keep)
     grams = discriminating(chunks, query, share, text)
     if strategy == "overlap":
-        return chunks.withColumn("score", overlap(t, grams))
-    cov = coverage(t, grams)
-    return chunks.withColumn("score", F.when(cov >= 1, cov).otherwise(F.lit(0.0)))
+        return T.hits(chunks, overlap(t, grams), *keep)
+    return T.hits(chunks, coverage(t, grams), *keep).filter("score >= 1")
 
 
 def escalating(chunks: DataFrame, query: str, k: int, text: str = "text") -> DataFrame:

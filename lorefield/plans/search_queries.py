@@ -39,8 +39,8 @@ def _kept_sql() -> str:
     kept AS (SELECT gram FROM kept0 UNION ALL SELECT gram FROM grams WHERE NOT EXISTS (SELECT 1 FROM kept0))"""
 
 
-def _distinct_chunks(spark, sf):
-    return chunks(spark, sf).select("chunk_id", "path", "chunk_range", "text").distinct()
+def _rows(spark, sf):
+    return chunks(spark, sf).select("chunk_id", "path", "text")
 
 
 COVERAGE_SQL = f"""WITH {_kept_sql()},
@@ -64,7 +64,7 @@ FUZZY_SQL = f"""SELECT chunk_id, score FROM (SELECT chunk_id, round(len(list_int
 
 def _strategy(name: str):
     def run(spark, sf):
-        return S.ranked(S.by_strategy(_distinct_chunks(spark, sf), QUERY, name), 20).select("chunk_id", "score")
+        return S.ranked(S.by_strategy(_rows(spark, sf), QUERY, name), 20).select("chunk_id", "score")
 
     run.__name__ = {"coverage": "q067_coverage", "density": "q068_density", "overlap": "q069_overlap", "bm25": "q070_bm25", "fuzzy": "q074_fuzzy_search"}[name]
     return run
@@ -76,31 +76,31 @@ for _name, _sql in (("coverage", COVERAGE_SQL), ("density", DENSITY_SQL), ("over
 
 @R.add(f"""SELECT gram, df, total FROM (SELECT gram, count(*) FILTER (contains(lower(text), gram)) AS df, count(*) AS total FROM (SELECT unnest({GRAM_LIST}) AS gram), {C} GROUP BY gram)""")
 def q082_gram_counts(spark, sf):
-    return S.gram_counts(_distinct_chunks(spark, sf), QUERY)
+    return S.gram_counts(_rows(spark, sf), QUERY)
 
 
 @R.add(f"""WITH {_kept_sql()} SELECT gram FROM kept""")
 def q072_discriminating_grams(spark, sf):
-    kept = S.discriminating(_distinct_chunks(spark, sf), QUERY)
+    kept = S.discriminating(_rows(spark, sf), QUERY)
     return spark.createDataFrame([(g,) for g in kept], "gram string")
 
 
 @R.add(f"""WITH cov AS ({COVERAGE_SQL}), den AS ({DENSITY_SQL.replace(QUERY, QUERY)})
     SELECT chunk_id, score, 'coverage' AS strategy FROM cov UNION ALL SELECT chunk_id, score, 'density' FROM den WHERE NOT EXISTS (SELECT 1 FROM cov)""")
 def q071_escalation(spark, sf):
-    return S.escalating(_distinct_chunks(spark, sf), QUERY, 20).select("chunk_id", "score", "strategy")
+    return S.escalating(_rows(spark, sf), QUERY, 20).select("chunk_id", "score", "strategy")
 
 
 @R.add(f"""WITH a AS (SELECT *, 'bm25' AS strategy FROM ({BM25_SQL}) UNION ALL SELECT *, 'coverage' FROM ({COVERAGE_SQL}) UNION ALL SELECT *, 'density' FROM ({DENSITY_SQL}) UNION ALL SELECT *, 'overlap' FROM ({OVERLAP_SQL}))
     SELECT chunk_id, score, CASE WHEN n > 1 THEN 'multi' ELSE first END AS strategy FROM (SELECT chunk_id, max(score) AS score, arg_max(strategy, {{'s': score, 't': strategy}}) AS first, count(*) AS n FROM a GROUP BY chunk_id) ORDER BY score DESC, chunk_id LIMIT 20""")
 def q073_multi(spark, sf):
-    return S.multi(_distinct_chunks(spark, sf), QUERY, 20)
+    return S.multi(_rows(spark, sf), QUERY, 20)
 
 
 @R.add(None)
 def q075_proximity(spark, sf):
     """Chunks that hold all query words, by the fewest words that span them; tested against brute force."""
-    rows = _distinct_chunks(spark, sf).withColumn("span", S.min_span(F.col("text"), WORDS)).filter("span is not null")
+    rows = _rows(spark, sf).select("chunk_id", S.min_span(F.col("text"), WORDS).alias("span")).filter("span is not null").distinct()
     return rows.orderBy("span", "chunk_id").limit(40).select("chunk_id", "span")
 
 
@@ -118,8 +118,8 @@ def q065_regex(spark, sf):
 @R.add(f"""SELECT chunk_id, score FROM (SELECT chunk_id, CASE WHEN length(text) = 0 THEN 0.0 ELSE round(len(list_intersect(['tra','ran','ans','nsc','scr','cri','rip','ipt'], g)) / (8 + len(g) - len(list_intersect(['tra','ran','ans','nsc','scr','cri','rip','ipt'], g))), 6) END AS score
     FROM (SELECT chunk_id, text, {tri('lower(text)')} AS g FROM {C} WHERE length(text) >= 3)) WHERE score >= 0.01""")
 def q038_fuzzy_filter(spark, sf):
-    rows = chunks(spark, sf).filter(F.length("text") >= 3).select("chunk_id", "text").distinct()
-    return rows.withColumn("score", F.round(T.fuzzy(F.lit("transcript"), F.col("text")), 6)).filter("score >= 0.01").select("chunk_id", "score")
+    rows = chunks(spark, sf).filter(F.length("text") >= 3)
+    return T.hits(rows, F.round(T.fuzzy(F.lit("transcript"), F.col("text")), 6), "chunk_id", least=0.009999).distinct()
 
 
 @R.add(f"""SELECT DISTINCT path FROM {C} WHERE path IS NOT NULL AND regexp_matches(path, '^notes/[^/]*$|\\.jsonl$') AND NOT regexp_matches(path, 'lark')""")
@@ -219,7 +219,7 @@ def q058_highlight(spark, sf):
 @R.add(f"""WITH r AS ({DENSITY_SQL}), h AS (SELECT r.*, path FROM r JOIN (SELECT DISTINCT chunk_id, path FROM chunk_results) USING (chunk_id) WHERE path IN (SELECT path FROM files))
     SELECT path, max(score) AS best, count(*) AS n, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY score DESC, chunk_id) AS chunk_ids FROM h GROUP BY path""")
 def q080_grouped(spark, sf):
-    hits = S.ranked(S.by_strategy(_distinct_chunks(spark, sf), QUERY, "density"), 20)
+    hits = S.ranked(S.by_strategy(_rows(spark, sf), QUERY, "density"), 20)
     return S.grouped(hits.select("chunk_id", "path", "score"), files(spark, sf))
 
 

@@ -126,7 +126,7 @@ VEC20 = f"(SELECT b.chunk_id, {COS} AS score FROM {E} a, {MAPPED} b WHERE a.id =
 
 
 def _fts(spark, sf):
-    rows = chunks(spark, sf).select("chunk_id", "text").distinct()
+    rows = chunks(spark, sf).select("chunk_id", "text")
     return S.ranked(S.by_strategy(rows, "stale recall pass", "density"), 40).select("chunk_id", "score")
 
 
@@ -146,8 +146,8 @@ def q060_combined_search(spark, sf):
 
 @R.add(f"""SELECT chunk_id, f.score AS fts_score, v.score AS vec_score, round(f.score + v.score, 6) AS score FROM (SELECT * FROM {FTS} WHERE score > 0) f JOIN {VEC20} v USING (chunk_id)""")
 def q062_split_intersect(spark, sf):
-    rows = chunks(spark, sf).select("chunk_id", "text").distinct()
-    fts = S.by_strategy(rows, "stale recall pass", "density").filter("score > 0")
+    rows = chunks(spark, sf).select("chunk_id", "text")
+    fts = S.by_strategy(rows, "stale recall pass", "density").select("chunk_id", "score").distinct()
     return S.intersect_hybrid(fts, _vec(spark, sf))
 
 
