@@ -106,7 +106,7 @@ def bm25(chunks: DataFrame, query: str, text: str = "text") -> DataFrame:
         for g in grams:
             df, total = stats[g]
             idf = math.log(1 + (total - df + 0.5) / (df + 0.5))
-            score = score + T.let(_occurrences(body, g), lambda tf, idf=idf: idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / float(mean))))
+            score = score + idf * T.let(_occurrences(body, g), lambda tf: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / float(mean))))
         return score
 
     score = T.let(F.lower(text), total_score)
