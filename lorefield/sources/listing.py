@@ -14,13 +14,13 @@ from lorefield.functions import globs
 def scan(spark: SparkSession, root: str, include: list[str], exclude: list[str]) -> DataFrame:
     """(path, length, mtime, class) of the files below a folder; the content is not read.
 
-    Listing is Spark's own, so it is distributed over folders; classes are ``included``, ``excluded``,
-    ``unresolved`` and ``empty``.
+    Listing is Spark's own, so it is distributed over folders; classes are ``included``, ``excluded`` and
+    ``unresolved``. Spark's file sources leave empty files out, so these never reach the rules.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     prefix = os.path.abspath(root).rstrip("/") + "/"
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + _quote(prefix), "")
-    cls = F.when(F.col("length") == 0, "empty").otherwise(globs.classify(rel, include, exclude))
+    cls = globs.classify(rel, include, exclude)
     return rows.select(rel.alias("path"), "length", F.col("modificationTime").alias("mtime"), cls.alias("class"))
 
 
