@@ -81,7 +81,9 @@ class PairTable:
         return f"{self.root}/v{self.version if version is None else version}/{name}"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._at(name))
+        schema = {"pairs": "item_a string, item_b string, n long, bucket int", "marginals": "item string, n long", "tracked": "item string"}.get(name)
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)  # a partitioned table may be empty
+        return reader.parquet(self._at(name))
 
     def update(self, changed: DataFrame) -> PairTable:
         """Merge ``changed(basket, item)``: the whole new content of every basket it names.
