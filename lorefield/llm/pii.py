@@ -387,7 +387,7 @@ def _is_name(tokens: list[str], a: int, b: int) -> bool:
     """Two name parts (particles don't count), or one with a title before it."""
     words = [t.strip() for t in tokens[a:b]]
     parts = [w for w in words if _NAME_PART.fullmatch(w) and _fold(w) not in _PARTICLE_WORDS]
-    if not any(len(w) > 2 for w in parts):  # initials alone are none
+    if not any(len(w) > 2 for w in parts) or len(parts) > 8:  # initials alone are none, nor is running text
         return False
     joined = any(w == "-" for w in words)
     if len(parts) - (1 if joined and len(parts) == 2 else 0) >= 2:
