@@ -332,6 +332,9 @@ def _spans(tokens: list[str], labels: list[int], lexicon: dict[str, int]) -> lis
                 a += 1
                 if tokens[a].strip() == "." and a + 1 < b:
                     a += 1
+            stops = [i for i in range(a + 1, b - 1) if tokens[i] == "." and len(tokens[i - 1].strip()) > 4]
+            if stops:  # a full stop behind a long word ends a sentence
+                a = stops[-1] + 1
             if b - a == 3 and tokens[a + 1] == ".":  # a letter that is a title in the family name's language
                 tongue = lexicon.get(_fold(tokens[a + 2].strip()), 0) // 4
                 if (tokens[a].strip(), tongue) in (("M", 3), ("D", 4)):
@@ -386,6 +389,8 @@ def _is_number(tokens: list[str], a: int, b: int) -> bool:
 def _is_name(tokens: list[str], a: int, b: int) -> bool:
     """Two name parts (particles don't count), or one with a title before it."""
     words = [t.strip() for t in tokens[a:b]]
+    if any(tokens[i] == "," and not tokens[i + 1][0].isspace() for i in range(a, b - 1)):  # cells of a row
+        return False
     parts = [w for w in words if _NAME_PART.fullmatch(w) and _fold(w) not in _PARTICLE_WORDS]
     if not any(len(w) > 2 for w in parts) or len(parts) > 8:  # initials alone are none, nor is running text
         return False
