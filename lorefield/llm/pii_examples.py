@@ -62,13 +62,13 @@ PLAIN = {
         |"{p}": "{D3}-{D4}-{D4}", "rev": "{HEX8}"|{p} = wick[{N}]|[[{p}/{p}.md]] {ADV}|| {P} | {N} | 0.{D3} | 2026-05-{D2} ||{P}	{N}	0.{D3}	{P}|```|ark search {P}|The second source folder, which trims our unread judgment, came from {P} outside the main folder.|We could summarise the weekly mirror file, rewrite every local recurrence or restore our broken heading {ADV}.
         |Every nested sidecar confirms our hidden embedding cache {ADV}.|Please review our oversized reading note and tell {P} that the order of {P} was never stable.|When every shared preview mirrors the merged vector store, we ignore our lazy score column.|Remember to split the local anchor before {P} waits for our glob pattern.|Nothing in {P} explains why every local inbox locks our overlay.
         |{"name":"tide","ok":false,"out":"Still {N} left, sadly."}|{"n":{N},"t":"{P}","rows":[{N},{N},{N},{N}]}|user: See {P}, page {N}.|Use version 10.{N}.{N} of the package.|Invoice {D6} paid on 2026-02-{D2}|See Figure {D1}, Table {D1}|Room {N}, floor {D1}|{D2}:{D2} until {D2}:{D2}|order {D8} shipped|serial {IDLIKE} of the {P} printer|product {IDLIKE}, {P}|{P} {N}|{p} {p}5 {N}|{P};{N};0.{D3};{P}|{P},0.{D3},{N}|{P}	-	2026-06-{D2}	{N}	{N}|│ {N} │ {P} │ {P} │ {N} │|the frozen request threa | {N} | {N} | {N} | {P}|it took {N} seconds as a last resort; the anonymous index took {N}.
-        |{B64}/{B64}+{B64}|{B64}{B64}/{B64}|{{N} {N} {N} {N}}|{N},{N},{N},{N},{N},{N},{N}|offset table {D2} {D2} {D2} {D2} {D2}, see {P}|The compact journal, which outlives the local index, came from {P} without a warning.|{p} = {p}10[our partial bookmark]|if {p} == {N}: return {p}({N})|def {p}({p}, {p}):|// {P} {D1}.{D1}|- [x] {P}, the frozen journal|{D1}. {P}, our lazy draft|{N} of {N} rows|| our duplicated session l | {P} | {N} || every nested neighbour c | {P} ||	return {p}|our archived embedding c;{P};{N}|IN {P} THERE ARE {N} ENTRIES, YET OUR ROUTE HIDES {P}.""",
+        |{B64}/{B64}+{B64}|{B64}{B64}/{B64}|{{N} {N} {N} {N}}|{N},{N},{N},{N},{N},{N},{N}|offset table {D2} {D2} {D2} {D2} {D2}, see {P}|The compact journal, which outlives the local index, came from {P} without a warning.|{p} = {p}10[our partial bookmark]|if {p} == {N}: return {p}({N})|def {p}({p}, {p}):|// {P} {D1}.{D1}|- [x] {P}, the frozen journal|{D1}. {P}, our lazy draft|• {P}, the frozen watcher|→ {P}, every stale digest|{N} of {N} rows|| our duplicated session l | {P} | {N} || every nested neighbour c | {P} ||	return {p}|our archived embedding c;{P};{N}|IN {P} THERE ARE {N} ENTRIES, YET OUR ROUTE HIDES {P}.""",
     "de": """In {P} stehen {N} Zeilen, aber der Index von {P} wiederholt das Protokoll von {P}.|Gestern blockiert die Notiz von {P} bei leerer Anfrage {N} Einträge.|Seite {N} ist gut.|{P} fehlt noch.|Der Anker von {P} dauerte {N} Sekunden, die Kopie von {P} nur {N}.|Entscheidung: die Vorschau von {P} bleibt nach dem Neustart, weil zwei Ordner namens {P} stören.
-        |Warum bestätigt die Vorschau von {P} an drei Stellen das Lesezeichen auf dem Laptop?|Bitte prüfen, ob die Uhr von {P} falsch ging: das Archiv in der Ablage spiegelt {P}.|Wir sahen während der Nacht, dass {P} früher einmal ging, und der Zeitplan von {P} ersetzt den Entwurf.|Vermutlich umgeht das Muster von {P} das Stichwort {ADV}.|Regal {IDLIKE}, see {P}|Signatur {IDLIKE} {ADV}|{LABEL} {IDLIKE} {ADV}|{LABEL} {FRPHONE} {ADV}|Frag {G} wegen {P}.|Warum umgeht der Index von {P} {ADV} die Warteschlange von {P}?|Die Warteschlange von {P} dauerte {N} Sekunden.|@decision: die Warteschlange von {P}|Gestern ersetzt das Muster von {P} trotz der Regel den Entwurf von {P}.|das Archiv vom Dienstag dauerte {N} Sekunden, der Index aus dem Vorjahr nur {N}.|Entscheidung: der Anker vom Dienstag bleibt {ADV}, weil {P} fehlt.|Gestern bremst die Notiz vom Montag {N} Einträge.|{P} {N}|{P} {N}|der Verweis von {P};{N};{P}|die Quelle von {P};{N}|- das Archiv von {P}|der Zeitplan von {P}	{N}	{P}|| die Kopie von {P} | {N} | {P} ||{G} kommt später.|Bestellnummer {IDLIKE} aus {P}""",
+        |Warum bestätigt die Vorschau von {P} an drei Stellen das Lesezeichen auf dem Laptop?|Bitte prüfen, ob die Uhr von {P} falsch ging: das Archiv in der Ablage spiegelt {P}.|Wir sahen während der Nacht, dass {P} früher einmal ging, und der Zeitplan von {P} ersetzt den Entwurf.|Vermutlich umgeht das Muster von {P} das Stichwort {ADV}.|Regal {IDLIKE}, see {P}|Signatur {IDLIKE} {ADV}|{LABEL} {IDLIKE} {ADV}|{LABEL} {FRPHONE} {ADV}|Frag {G} wegen {P}.|- {P}, der Posteingang|• {P}, der Abschnitt ohne Titel|→ {P}, der Verweis von {P}|1) {P}, die Notiz aus dem Vorjahr|Warum umgeht der Index von {P} {ADV} die Warteschlange von {P}?|Die Warteschlange von {P} dauerte {N} Sekunden.|@decision: die Warteschlange von {P}|Gestern ersetzt das Muster von {P} trotz der Regel den Entwurf von {P}.|das Archiv vom Dienstag dauerte {N} Sekunden, der Index aus dem Vorjahr nur {N}.|Entscheidung: der Anker vom Dienstag bleibt {ADV}, weil {P} fehlt.|Gestern bremst die Notiz vom Montag {N} Einträge.|{P} {N}|{P} {N}|der Verweis von {P};{N};{P}|die Quelle von {P};{N}|- das Archiv von {P}|der Zeitplan von {P}	{N}	{P}|| die Kopie von {P} | {N} | {P} ||{G} kommt später.|Bestellnummer {IDLIKE} aus {P}""",
     "fr": """Dans {P} il y a {N} lignes, or la source de {P} confirme l'index de {P}.|Hier la note de {P} fournit {N} entrées {ADV}.|La page {N} suffit.|Il manque {P}.|Le plan de {P} a pris {N} secondes ; la copie de {P}, seulement {N}.|Décision : le brouillon de {P} reste car deux dossiers {P} se gênent.|Pourquoi la file de {P} évite l'index de {P} {ADV} ?
-        |Peut-être que le carnet de {P} répète {P} sans prévenir, bien que l'ordre de {P} n'était jamais stable.|Reste à savoir si l'horloge de {P} avançait : l'aperçu de {P} oublie le lien.|On a vu par erreur que le titre de {P} a bougé, et la copie de {P} contredit la file.|cote {IDLIKE}, see {P}|cote {FRPHONE} {ADV}|{LABEL} {IDLIKE} {ADV}|{LABEL} {FRPHONE} {ADV}|Parler à {G} de {P}.|{P} {N}|{P} {N}|la copie de {P};{N};{P}|le lien de {P}	{N}	{P}|| le motif de {P} | {N} | {P} ||- [x] la boîte de {P}|{G} revient demain.|Dossier {IDLIKE} de {P}""",
+        |Peut-être que le carnet de {P} répète {P} sans prévenir, bien que l'ordre de {P} n'était jamais stable.|Reste à savoir si l'horloge de {P} avançait : l'aperçu de {P} oublie le lien.|On a vu par erreur que le titre de {P} a bougé, et la copie de {P} contredit la file.|cote {IDLIKE}, see {P}|cote {FRPHONE} {ADV}|{LABEL} {IDLIKE} {ADV}|{LABEL} {FRPHONE} {ADV}|Parler à {G} de {P}.|- {P}, le lien de {P}|• {P}, la copie|{P} {N}|{P} {N}|la copie de {P};{N};{P}|le lien de {P}	{N}	{P}|| le motif de {P} | {N} | {P} ||- [x] la boîte de {P}|{G} revient demain.|Dossier {IDLIKE} de {P}""",
     "es": """En {P} hay {N} líneas, aunque el índice de {P} espera el diario de {P}.|Ayer la fuente de {P} espera {N} entradas en tres sitios.|La página {N} sirve.|Falta {P} todavía.|El diario de {P} tardó {N} segundos; la copia de {P}, solo {N}.|Decisión: el borrador de {P} queda en tres sitios porque dos carpetas de {P} se pisan.|¿Por qué el archivo de {P} confirma la bandeja de {P} {ADV}?
-        |Quizá el patrón de {P} recorta {P} solo los lunes, aunque el título de {P} se movió.|Falta comprobar si nadie lee {P} a diario: la bandeja de {P} apunta a el registro.|Vimos en tres sitios que los números de {P} cuadran, y el marcador de {P} ordena la cola.|signatura {FRPHONE} in {P}|signatura {IDLIKE} in {P}|{LABEL} {IDLIKE} {ADV}|{LABEL} {FRPHONE} {ADV}|Habla con {G} de {P}.|{P} {N}|{P} {N}|el índice de {P};{N};{P}|la cola de {P}	{N}	{P}|| el registro de {P} | {N} | {P} ||+ el archivo de {P}|{G} llega tarde.|Pedido {IDLIKE} de {P}""",
+        |Quizá el patrón de {P} recorta {P} solo los lunes, aunque el título de {P} se movió.|Falta comprobar si nadie lee {P} a diario: la bandeja de {P} apunta a el registro.|Vimos en tres sitios que los números de {P} cuadran, y el marcador de {P} ordena la cola.|signatura {FRPHONE} in {P}|signatura {IDLIKE} in {P}|{LABEL} {IDLIKE} {ADV}|{LABEL} {FRPHONE} {ADV}|Habla con {G} de {P}.|- {P}, el esquema de {P}|→ {P}, la bandeja|{P} {N}|{P} {N}|el índice de {P};{N};{P}|la cola de {P}	{N}	{P}|| el registro de {P} | {N} | {P} ||+ el archivo de {P}|{G} llega tarde.|Pedido {IDLIKE} de {P}""",
 }
 #: Words that give a number another meaning.
 LABELS = "Shelf mark|catalogue no.|Part no.|Regal|Signatur|signatura|cote|frame|build|batch|accession|offset table|Shelf mark|lot no.|serial|model|estante|référence|Inventar|item|drawing|slide|reel".split("|")
