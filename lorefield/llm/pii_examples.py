@@ -59,7 +59,7 @@ PLAIN = {
         |{LABEL} {IDLIKE} is in {P}.|{LABEL} {IDLIKE}, see {P}|{LABEL} {IDLIKE} ({P})|{LABEL} {IDLIKE} {ADV}|{LABEL} {FRPHONE} in {P}|ticket 555-{D4} of {P} is closed|ISBN 978-0-{D4}-{D4}-6 sits on the shelf.|Checksum {D15} for {P}.|Score 0.{D6} at 2026-07-16 09:{D2}.|2026-01-16T06:26:{D2}+01:00 {P}
         |coords 51.{D6}, -0.{D6} for {P}|Hotfix v{D1}.{D2}.{D2}.{D2} of {P}|Build {D4}.{D2}.{D3}-{D4} failed {ADV}.|Amount 1.{D3}.{D3} rows, 12 {P} Street cases.|The {P} Road plan needs {N} more steps.|Section 14 Lane 3 of {P} hides our digest.|{N} {P} Lane-style diagrams|Port {D4}, pid {D6}.|uuid {HEX8}-cb1e-4577-a0b4-{D12}
         |Meet @ {N} past noon in {P}.|Pull from git@{p}:notes.git {ADV}.|Pin core@2.{N}.1 and retry.|npm i @{p}/loom@{D1}.{D2}|from {P} import {p}@{HEX8}|Drop @2x.png and @here mentions {ADV}.|See {p}@ and @{p} in `{p}.example`|@decision: our archived preview|@due: 2026-03-{D2}|@project: {P}|@topic: slow-maps
-        |"{p}": "{D3}-{D4}-{D4}", "rev": "{HEX8}"|{p} = wick[{N}]|[[{p}/{p}.md]] {ADV}|| {P} | {N} | 0.{D3} | 2026-05-{D2} ||{P}	{N}	0.{D3}	{P}|```|ark search {P}|The second source folder, which trims our unread judgment, came from {P} outside the main folder.|We could summarise the weekly mirror file, rewrite every local recurrence or restore our broken heading {ADV}.
+        |"{p}": "{D3}-{D4}-{D4}", "rev": "{HEX8}"|{p} = wick[{N}]|[[{p}/{p}.md]] {ADV}|| {P} | {N} | 0.{D3} | 2026-05-{D2} ||{P}	{N}	0.{D3}	{P}|```|run search {P}|The second source folder, which trims our unread judgment, came from {P} outside the main folder.|We could summarise the weekly mirror file, rewrite every local recurrence or restore our broken heading {ADV}.
         |Every nested sidecar confirms our hidden embedding cache {ADV}.|Please review our oversized reading note and tell {P} that the order of {P} was never stable.|When every shared preview mirrors the merged vector store, we ignore our lazy score column.|Remember to split the local anchor before {P} waits for our glob pattern.|Nothing in {P} explains why every local inbox locks our overlay.
         |{"name":"tide","ok":false,"out":"Still {N} left, sadly."}|{"n":{N},"t":"{P}","rows":[{N},{N},{N},{N}]}|user: See {P}, page {N}.|Use version 10.{N}.{N} of the package.|Invoice {D6} paid on 2026-02-{D2}|See Figure {D1}, Table {D1}|Room {N}, floor {D1}|{D2}:{D2} until {D2}:{D2}|order {D8} shipped|serial {IDLIKE} of the {P} printer|product {IDLIKE}, {P}|{P} {N}|{p} {p}5 {N}|{P};{N};0.{D3};{P}|{P},0.{D3},{N}|{P}	-	2026-06-{D2}	{N}	{N}|│ {N} │ {P} │ {P} │ {N} │|the frozen request threa | {N} | {N} | {N} | {P}|it took {N} seconds as a last resort; the anonymous index took {N}.
         |{B64}/{B64}+{B64}|{B64}{B64}/{B64}|{{N} {N} {N} {N}}|{N},{N},{N},{N},{N},{N},{N}|offset table {D2} {D2} {D2} {D2} {D2}, see {P}|The compact journal, which outlives the local index, came from {P} without a warning.|{p} = {p}10[our partial bookmark]|if {p} == {N}: return {p}({N})|def {p}({p}, {p}):|// {P} {D1}.{D1}|- [x] {P}, the frozen journal|{D1}. {P}, our lazy draft|• {P}, the frozen watcher|→ {P}, every stale digest|{N} of {N} rows|| our duplicated session l | {P} | {N} || every nested neighbour c | {P} ||	return {p}|our archived embedding c;{P};{N}|IN {P} THERE ARE {N} ENTRIES, YET OUR ROUTE HIDES {P}.""",
