@@ -256,3 +256,105 @@ def hashed_embedding(rows, key: str, text: str, dims: int = 64):
         return F.aggregate(codes, zero, lambda v, c: F.transform(v, lambda x, i: F.when(i == F.pmod(c, F.lit(dims)), x + F.when(F.pmod(F.shiftrightunsigned(c, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(x)))
 
     return rows.filter(F.col(text).isNotNull()).select(key, add(words).cast("array<float>").alias("vec"))
+
+
+@R.add(f"""WITH rows AS (SELECT DISTINCT chunk_id, path, chunk_range, coalesce(text, '') AS text FROM {CH} WHERE chunk_id IS NOT NULL AND path IS NOT NULL),
+    mine AS (SELECT * FROM rows WHERE chunk_id % 50 = 0),
+    lines AS (SELECT chunk_id, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM mine),
+    words AS (SELECT *, regexp_split_to_array(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '\\s+') AS w FROM lines WHERE trim(line, ' ') <> ''),
+    tries AS (SELECT DISTINCT chunk_id, path, line_no, n, array_to_string(w[1:n], ' ') AS anchor FROM words, (SELECT unnest(range(1, 9)) AS n) WHERE n <= len(w)),
+    free AS (SELECT * FROM tries t WHERE NOT EXISTS (SELECT 1 FROM rows o WHERE o.path = t.path AND o.chunk_id <> t.chunk_id AND contains(o.text, t.anchor))),
+    best AS (SELECT chunk_id, anchor FROM free QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY n, line_no, anchor) = 1)
+    SELECT chunk_id, min(path) AS path, coalesce(min(anchor), min(chunk_range)) AS anchor FROM mine LEFT JOIN best USING (chunk_id) GROUP BY chunk_id""")
+def q162_locators(spark, sf):
+    """Anchors for the chunks whose id is divisible by 50."""
+    from lorefield.operators.locator import suggest
+
+    c = chunks(spark, sf)
+    return suggest(c, c.filter("chunk_id % 50 = 0"))
+
+
+_TURN = "the stale recall pass re-reads every sweep"
+_TURN_GRAMS = list(dict.fromkeys(_TURN[i : i + 3] for i in range(len(_TURN) - 2)))
+_TURN_SQL = "[" + ", ".join(f"'{g}'" for g in _TURN_GRAMS) + "]"
+LINE_TRI = "list_distinct(CASE WHEN length(line) >= 3 THEN list_transform(range(1, length(line) - 1), lambda i: substr(lower(line), CAST(i AS INTEGER), 3)) WHEN length(line) > 0 THEN [lower(line)] ELSE [] END)"
+
+
+@R.add(f"""SELECT message_id, line, max(score) AS score FROM (SELECT message_id, line, round(len(list_intersect({_TURN_SQL}, g)) / (len({_TURN_SQL}) + len(g) - len(list_intersect({_TURN_SQL}, g))), 6) AS score
+    FROM (SELECT message_id, line, {LINE_TRI} AS g FROM (SELECT DISTINCT message_id, unnest(string_split(content, chr(10))) AS line FROM messages WHERE lower(role) IN ('user', 'assistant') AND message_id IS NOT NULL)) WHERE len(g) > 0)
+    GROUP BY message_id, line HAVING score > 0 ORDER BY score DESC, message_id, line LIMIT 8""")
+def q191_chat_funnel(spark, sf):
+    """Lines of chat turns by similarity to an input, cut at the gate of eight."""
+    m = read_table(spark, sf, "messages").filter(F.lower("role").isin("user", "assistant") & F.col("message_id").isNotNull())
+    lines = m.select("message_id", F.explode(F.split("content", "\n")).alias("line"))
+    score = r6(T.jaccard(T.literal_codes(_TURN), T.gram_codes(F.lower("line"))))
+    hits = T.hits(lines, score, "message_id", "line").groupBy("message_id", "line").agg(F.max("score").alias("score"))
+    return hits.orderBy(F.desc("score"), "message_id", "line").limit(8)
+
+
+@R.add("""SELECT origin, count(*) AS n, count(DISTINCT chunk_id) AS chunks, count(*) FILTER (lower(tag) = 'ext') AS ext FROM (SELECT DISTINCT chunk_id, tag, value, tvid, n, origin FROM tag_values) GROUP BY origin""")
+def q201_inspect(spark, sf):
+    t = chunk_tags(spark, sf)
+    return t.groupBy("origin").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("chunks"), F.count(F.when(F.lower("tag") == "ext", 1)).alias("ext"))
+
+
+@R.add(f"""SELECT chunk_id, count(*) AS mentions FROM (SELECT DISTINCT chunk_id, text, no, line FROM (SELECT chunk_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM {CH}))
+    WHERE regexp_matches(line, '@[a-zA-Z][\\w.-]*:') AND ((regexp_extract(line, '^(.*?)@[a-zA-Z][\\w.-]*:', 1) <> '' AND substr(regexp_extract(line, '^(.*?)@[a-zA-Z][\\w.-]*:', 1), length(regexp_extract(line, '^(.*?)@[a-zA-Z][\\w.-]*:', 1)), 1) NOT IN (' ', chr(9)))
+      OR length(regexp_replace(regexp_extract(line, '^(.*?)@[a-zA-Z][\\w.-]*:', 1), '[^`"]', '', 'g')) % 2 = 1) GROUP BY chunk_id""")
+def q141_mentions(spark, sf):
+    """Lines whose first tag is only mentioned, without regard to fences."""
+    rows = chunks(spark, sf).select("chunk_id", "text").distinct()
+    lines = rows.select("chunk_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(T.TAG_PATTERN))
+    return lines.filter(T.is_mention(F.col("line"), F.lit(False), F.lit(False))).groupBy("chunk_id").agg(F.count("*").alias("mentions"))
+
+
+@R.add(f"""SELECT origin, count(*) AS n FROM (SELECT DISTINCT chunk_id, tag, value, tvid, n, origin FROM tag_values WHERE origin IN ('inline', 'ext') OR (origin = 'tmp' AND chunk_id % 2 = 0)) GROUP BY origin""")
+def q033_tag_write_path(spark, sf):
+    """All sources are written, one is replaced in place, the table is read back."""
+    from lorefield.session import scratch_path
+    from lorefield.sources import store
+
+    path = scratch_path(spark, "tags")
+    rows = chunk_tags(spark, sf).filter("origin is not null")
+    store.append(rows, path, "origin")
+    store.replace_partitions(rows.filter("origin = 'tmp' and chunk_id % 2 = 0"), path, "origin")
+    back = store.read(spark, path, "chunk_id long, tag string, value string, tvid long, n int, origin string")
+    return back.groupBy("origin").agg(F.count("*").alias("n"))
+
+
+@R.add("""SELECT vec_id AS id, len(embedding) AS dims FROM embeddings WHERE vec_id IN (SELECT chunk_id % 500 FROM chunk_results WHERE chunk_id % 50 = 0)""")
+def q035_vector_multi_get(spark, sf):
+    from lorefield.sources import store
+
+    keys = chunks(spark, sf).filter("chunk_id % 50 = 0").select((F.col("chunk_id") % 500).alias("id"))
+    return store.get_many(vecs(spark, sf), "id", keys).select("id", F.size("vec").cast("long").alias("dims"))
+
+
+@R.add(f"""SELECT CAST(b.id AS VARCHAR) AS chunk, max({COS}) AS score FROM {DEFS} a, {E} b WHERE b.id % 50 = 0 GROUP BY b.id""")
+def q152_max_cosine_of_set(spark, sf):
+    """The best cosine over all definitions, for the chunks whose id is divisible by 50."""
+    w = Window.partitionBy("tag").orderBy("id")
+    defs = vecs(spark, sf).withColumn("rn", F.row_number().over(w)).filter("rn <= 2").select(F.lit("all").alias("grp"), "id", "vec")
+    mine = vecs(spark, sf).filter("id % 50 = 0").select(F.col("id").cast("string").alias("grp"), "id", "vec")
+    return X.best_pairs(mine, defs).select(F.col("grp").alias("chunk"), r6(F.col("score")).alias("score"))
+
+
+@R.add(f"""SELECT a.tag AS grp, b.tag AS other, max({COS}) AS score, min(a.id) FILTER ({COS} = m) AS src FROM {DEFS} a JOIN {DEFS} b ON a.tag < b.tag JOIN (SELECT a.tag AS ta, b.tag AS tb, max({COS}) AS m FROM {DEFS} a JOIN {DEFS} b ON a.tag < b.tag GROUP BY ALL) x ON x.ta = a.tag AND x.tb = b.tag GROUP BY ALL""")
+def q113_max_pair(spark, sf):
+    """The best pair of definitions of every two tags, and the definition it begins at."""
+    w = Window.partitionBy("tag").orderBy("id")
+    d = vecs(spark, sf).withColumn("rn", F.row_number().over(w)).filter("rn <= 2").select(F.col("tag").alias("grp"), "id", "vec")
+    return X.best_pairs(d, d).filter("grp < other").select("grp", "other", r6(F.col("score")).alias("score"), "src")
+
+
+@R.add("""WITH t AS (SELECT DISTINCT session, tag, value, event_id, ts FROM (SELECT DISTINCT event_id, session, lower(tag) AS tag, value, ts FROM tag_events) WHERE session IS NOT NULL AND ts IS NOT NULL),
+    g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000 THEN 1 ELSE 0 END AS starts FROM t WINDOW w AS (PARTITION BY session ORDER BY ts, event_id))
+    SELECT session, CAST(sum(starts) AS BIGINT) AS bursts, count(*) AS events FROM g GROUP BY session""")
+def q207_debounce(spark, sf):
+    """Bursts per session: events less than a day apart fire once."""
+    t = read_table(spark, sf, "tag_events").filter("session is not null and ts is not null").select("session", F.lower("tag").alias("tag"), "value", "event_id", "ts").distinct()
+    w = Window.partitionBy("session").orderBy("ts", "event_id")
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    gap = us(F.col("ts")) - us(F.lag("ts").over(w))
+    starts = F.when(gap.isNull() | (gap > 86_400_000_000), 1).otherwise(0)
+    return t.withColumn("starts", starts).groupBy("session").agg(F.sum("starts").alias("bursts"), F.count("*").alias("events"))
