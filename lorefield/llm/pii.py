@@ -42,7 +42,7 @@ from lorefield.llm.pii_examples import PARTICLES, TITLES, Writer
 LABELS = ("O", "email", "phone", "id_number", "B-address", "I-address", "B-name", "I-name")
 KIND = (None, "email", "phone", "id_number", "address", "address", "name", "name")
 REACH = 4
-ROWS = 8000
+ROWS = 14000
 N = len(LABELS)
 #: Added to the email label of mailbox-like tokens at decoding: nearly every one is an email.
 MAIL_PRIOR = 4.0
@@ -54,8 +54,8 @@ _DOT = r"(?:\.|\(dot\)|\[dot\]| dot )"
 MAILBOX = rf"[^\W_](?:[\w+\-.]|(?<=\w) dot (?=\w)|\(dot\))*(?:{_TIE}{_HOST}(?:{_DOT}{_HOST})+| at {_HOST}(?: ?(?:\(dot\)|\[dot\]) ?{_HOST}| dot {_HOST})+)"
 _GAP = "[ \u00a0\u202f]"
 #: Letters and digits in one: two letters with three pairs of digits and a letter, or capitals and digits mixed.
-MIXED = rf"(?-i:[A-Z]{{2}}(?:{_GAP}?\d\d){{3}}{_GAP}?[A-Z](?!\w)|(?<!\w)(?=[A-Z]*\d)(?=\d*[A-Z])[A-Z\d]{{7,14}}(?!\w)|(?<!\w)[XYZ]-?\d{{7}}-?[A-Z](?!\w))"
-DIGITS = rf"[+(]{{0,2}}\d+(?:(?:{_GAP}?[/.\-‐‑–−]{_GAP}?|{_GAP}?\(|\){_GAP}?|{_GAP})[(]?\d+)*(?:\)(?=\d))?(?-i:{_GAP}[A-Z](?:{_GAP}\d{{3}})?(?!\w)|-?[A-Z]\d*(?!\w)|[a-z](?!\w))?"
+MIXED = rf"(?-i:[A-Z]{{2}}(?:{_GAP}?\d\d){{3}}{_GAP}?[A-Z](?!\w)|(?<!\w)(?=[A-Z]*\d)(?=\d*[A-Z])[A-Z\d]{{7,14}}(?!\w)|(?<!\w)[XYZ]-?\d{{7}}-?[A-Z](?!\w))|(?<!\w)(?:\d{{8}}|\d\d[. ]\d{{3}}[. ]\d{{3}}){_GAP}?-?[A-Z](?!\w)"
+DIGITS = rf"[+(]{{0,2}}\d+(?:(?:{_GAP}?[/.\-‐‑–−]{_GAP}?|{_GAP}?\(|\){_GAP}?|{_GAP})[(]?\d+)*(?:\)(?=\d))?(?-i:{_GAP}[A-Z]{_GAP}\d{{3}}(?!\w)|-?[A-Z]\d*(?!\w)|[a-z](?!\w))?"
 TOKEN = re.compile(rf"[^\S\n]*\n|[^\S\n]*(?:{MAILBOX}|{MIXED}|{DIGITS}|(?:[^\W\d_][̀-ͯ]*)+(?:['’](?:[^\W\d_][̀-ͯ]*)+)*|[^\s])|[^\S\n]+$", re.I)
 _MAILBOX = re.compile(MAILBOX, re.I)
 BREAK = "\n"
@@ -94,7 +94,7 @@ def normal(token: str) -> str:
         body = body.translate(_PLAIN)
         if not body.isascii():
             body = "".join(str(unicodedata.decimal(ch, 0)) if ch.isdigit() else ch for ch in body)
-        return glue + "\x01" + re.sub(r"[A-Z]", "A", body[:4] + re.sub(r"\d", "0", body[4:20])) + ("…" if len(body) > 20 else "")
+        return glue + "\x01" + re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", body[:4] + re.sub(r"\d", "0", body[4:20]))) + ("…" if len(body) > 20 else "")
     if len(body) > 1 and re.search(r"@|\(at\)|\[at\]| at ", body, re.I) and not head.isspace():
         style = "@" if "@" in body and " " not in body else "at"
         last = re.split(r"\.|\(dot\)|\[dot\]| dot ", body.lower())[-1].strip()
@@ -440,7 +440,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - m).sum(axis=axis)) + m.squeeze(axis)
 
 
-def train(words: tuple[tuple[str, str, str], ...], rows: int = ROWS, epochs: int = 12, seed: int = 5) -> Model:
+def train(words: tuple[tuple[str, str, str], ...], rows: int = ROWS, epochs: int = 10, seed: int = 5) -> Model:
     """Fit the field on ``rows`` labelled rows; ``words`` is the lexicon as (word, type, language)."""
     by_lang: dict[str, tuple[list[str], list[str]]] = {}
     for w, kind, lang in words:

@@ -152,9 +152,10 @@ class Writer:
             "en": ["9##-##-####", "9## ## ####", "9########", "9##-##-####", "9## ## ####", "QQ ## ## ## A", "QQ######A"],
             "de": ["0# ### ### ###", "0##########", "0# ###### A ###", "0#######A###", "A##A##A##", "A##A##A#"],
             "fr": ["2 ## ## 99 990 ### ##", "1####9999######", "2####99990### ##", "1 ## ## 99 990 ### ##", "2####9999######"],
-            "es": ["99######A", "99######-A", "99.###.###-A", "99 ### ### A", "X#######A"],
+            "es": ["99######A", "99######-A", "99.###.###-A", "99###### A", "99 ### ### A", "X#######A"],
         }
-        return self.digits(self.r.choice(shapes[lang]))
+        out = self.digits(self.r.choice(shapes[lang]))
+        return out.lower() if self.r.random() < 0.04 else out
 
     def mail(self, lang: str) -> str:
         r = self.r
