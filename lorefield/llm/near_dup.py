@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,9 @@ def word_codes(text: str) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+@lru_cache(maxsize=64)
 def _odd(count: int, seed: int) -> np.ndarray:
+    """``count`` fixed odd multipliers; made once, as a generator costs more than hashing a short text."""
     return np.random.default_rng(seed).integers(1, 1 << 63, size=count, dtype=np.uint64) | np.uint64(1)
 
 
