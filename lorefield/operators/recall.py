@@ -1,13 +1,13 @@
 """Recall: several scored passes over the chunks, merged by maximum, filtered and allocated.
 
-Inputs are a handful of texts or vectors, which become literals; each pass is one scan that keeps its
-best candidates, so only small tables meet in the merge.
+Inputs are a handful of texts or vectors, which become literals; each pass is one scan that keeps the
+best candidates of every input. The tag pass keeps values and takes all chunks that carry them.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorefield.functions import text as T
@@ -15,24 +15,48 @@ from lorefield.functions import text as T
 AXES = ("vector", "trigram", "tag")
 
 
+def best_per_input(scored: DataFrame, keep: int) -> DataFrame:
+    """(chunk_id, score): the ``keep`` best chunks of every input, merged by maximum.
+
+    ``scored`` holds (input, chunk_id, score). The cut is made within an input, so a weak one keeps its own.
+    """
+    best = scored.groupBy("input", "chunk_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("input").orderBy(F.desc("score"), "chunk_id")
+    return best.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).groupBy("chunk_id").agg(F.max("score").alias("score"))
+
+
+def _by_input(rows: DataFrame, scores: Column, *keep: str) -> DataFrame:
+    """(keep, input, score) of an array of one score per input; scores of 0 are no hits."""
+    numbered = F.transform(scores, lambda s, i: F.struct(i.alias("input"), F.round(s, 6).alias("score")))
+    return rows.select(*keep, F.explode(F.filter(numbered, lambda r: r["score"] > 0)).alias("r")).select(*keep, "r.input", "r.score")
+
+
 def trigram_pass(chunks: DataFrame, inputs: list[str], keep: int, floor: float = 0.1) -> DataFrame:
-    """(chunk_id, score): best trigram Jaccard over the inputs; under the coverage floor it is 0."""
-    best = T.let(T.gram_codes(F.lower("text")), lambda g: F.greatest(*[T.jaccard_with_floor(T.literal_codes(q.lower()), g, floor) for q in inputs], F.lit(0.0)))
-    scored = T.hits(chunks.filter("text is not null"), F.round(best, 6), "chunk_id")
-    return scored.groupBy("chunk_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(keep)
+    """(chunk_id, score): trigram Jaccard, the ``keep`` best chunks per input; under the coverage floor it is 0."""
+    scores = T.let(T.gram_codes(F.lower("text")), lambda g: F.array(*[T.jaccard_with_floor(T.literal_codes(q.lower()), g, floor) for q in inputs]))
+    return best_per_input(_by_input(chunks.filter("text is not null"), scores, "chunk_id"), keep)
 
 
-def tag_pass(tags: DataFrame, inputs: list[str], keep: int) -> DataFrame:
-    """(chunk_id, score): best word overlap of the inputs with ``tag value`` of a chunk's tags.
+def tag_pass(tags: DataFrame, inputs: list[str], keep: int, discussed: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, score): word overlap of the inputs with ``tag value``, for every chunk that carries one of the best.
 
-    Distinct pairs are scored first, and only the hits are joined to their chunks.
+    Distinct pairs are scored and cut to the ``keep`` best per input; the chunks that carry them are all
+    taken. Pairs in ``discussed`` (see ``exclude_discussed``) are left out before the cut.
     """
     pairs = tags.filter("tag is not null and value <> ''").select("tag", "value").distinct()
+    if discussed is not None:
+        exact, whole = _discussed(discussed)
+        pairs = pairs.join(exact, ["tag", "value"], "left_anti").join(whole, "tag", "left_anti")
     text = F.concat_ws(" ", "tag", "value")
-    best = F.greatest(*[T.word_overlap(F.lit(q), text) for q in inputs], F.lit(0.0))
-    hits = T.hits(pairs, F.round(best, 6), "tag", "value")
-    scored = tags.select("chunk_id", "tag", "value").join(hits, ["tag", "value"]).filter("chunk_id is not null")
-    return scored.groupBy("chunk_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(keep)
+    scored = _by_input(pairs, F.array(*[T.word_overlap(F.lit(q), text) for q in inputs]), "tag", "value")
+    w = Window.partitionBy("input").orderBy(F.desc("score"), "tag", "value")
+    hits = scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).groupBy("tag", "value").agg(F.max("score").alias("score"))
+    return tags.select("chunk_id", "tag", "value").join(hits, ["tag", "value"]).filter("chunk_id is not null").groupBy("chunk_id").agg(F.max("score").alias("score"))
+
+
+def _discussed(discussed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs that were discussed, and tags of which every value was."""
+    return discussed.filter("value is not null").select("tag", "value").distinct(), discussed.filter("value is null").select("tag").distinct()
 
 
 def merge_axes(passes: dict[str, DataFrame]) -> DataFrame:
@@ -51,8 +75,7 @@ def exclude_discussed(cands: DataFrame, tags: DataFrame, discussed: DataFrame, k
     ``discussed`` holds (tag, value); a null value stands for every value of the tag.
     """
     own = tags.filter("tag is not null and chunk_id is not null").select("chunk_id", "tag", F.coalesce("value", F.lit("")).alias("value")).join(cands.select("chunk_id"), "chunk_id", "left_semi").distinct()
-    exact = discussed.filter("value is not null").select("tag", "value").distinct()
-    whole = discussed.filter("value is null").select("tag").distinct()
+    exact, whole = _discussed(discussed)
     left = own.join(exact, ["tag", "value"], "left_anti").join(whole, "tag", "left_anti")
     had, has = own.select("chunk_id").distinct(), left.select("chunk_id").distinct()
     kept = cands.join(has, "chunk_id", "left_semi")

@@ -109,20 +109,20 @@ MERGE_SQL = f"""(SELECT chunk_id, coalesce(max(score) FILTER (axis = 'vector'),
 
 def _vector_pass(spark, sf):
     v = vecs(spark, sf)
-    q = v.filter("id in (0, 1)").select(F.lit(1).alias("k"), F.col("vec").alias("q"))
+    q = v.filter("id in (0, 1)").select(F.lit(1).alias("k"), F.col("id").alias("input"), F.col("vec").alias("q"))
     ids = chunks(spark, sf).select("chunk_id").distinct().withColumn("id", F.col("chunk_id") % 500)
-    best = v.withColumn("k", F.lit(1)).join(F.broadcast(q), "k").groupBy("id").agg(F.max(r6(V.cosine(F.col("q"), F.col("vec")))).alias("score"))
-    return ids.join(best, "id").select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(50)
+    best = v.withColumn("k", F.lit(1)).join(F.broadcast(q), "k").groupBy("input", "id").agg(F.max(r6(V.cosine(F.col("q"), F.col("vec")))).alias("score"))
+    return K.best_per_input(ids.join(best, "id").select("input", "chunk_id", "score"), 50)
 
 
-def _merged(spark, sf):
+def _merged(spark, sf, discussed=None):
     tags = G.sources(chunk_tags(spark, sf))
-    return K.merge_axes({"vector": _vector_pass(spark, sf), "trigram": K.trigram_pass(chunks(spark, sf), INPUTS, 50), "tag": K.tag_pass(tags, INPUTS, 50)})
+    return K.merge_axes({"vector": _vector_pass(spark, sf), "trigram": K.trigram_pass(chunks(spark, sf), INPUTS, 50), "tag": K.tag_pass(tags, INPUTS, 50, discussed)})
 
 
 @R.add(TRIGRAM_SQL)
 def q147_jaccard_with_floor(spark, sf):
-    return K.trigram_pass(chunks(spark, sf), INPUTS, 50)
+    return K.trigram_pass(chunks(spark, sf), INPUTS, 50).orderBy(F.desc("score"), "chunk_id").limit(50)
 
 
 @R.add(f"SELECT * FROM {MERGE_SQL}")
@@ -140,7 +140,7 @@ def q188_recall(spark, sf):
 
     tags = G.sources(chunk_tags(spark, sf))
     discussed = spark.createDataFrame([("status", "open"), ("project", None)], "tag string, value string")
-    kept = K.exclude_discussed(_merged(spark, sf), tags, discussed)
+    kept = K.exclude_discussed(_merged(spark, sf, discussed), tags, discussed)
     scope = chunks(spark, sf).filter(F.col("path").isNotNull() & globs.passes(F.col("path"), [], ["*.pdf"])).select("chunk_id").distinct()
     return kept.join(scope, "chunk_id", "left_semi").orderBy(F.desc("score"), "chunk_id").limit(20).select("chunk_id", "score")
 
