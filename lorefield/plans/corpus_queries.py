@@ -204,21 +204,19 @@ def q170_human_sizes(spark, sf):
 
 @R.add("""SELECT v, CAST(string_split(v, ':')[1] AS INTEGER) AS chapter, CAST(string_split(v, ':')[2] AS INTEGER) AS verse FROM (SELECT DISTINCT regexp_extract(text, '(\\d{1,3}:\\d{1,3})', 1) AS v FROM chunk_results) WHERE v <> ''""")
 def q166_chapter_verse(spark, sf):
-    v = F.regexp_extract("text", r"(\d{1,3}:\d{1,3})", 1)
-    rows = chunks(spark, sf).select(v.alias("v")).filter("v <> ''").distinct()
+    v = F.regexp_extract_all("text", F.lit(r"(\d{1,3}:\d{1,3})"), F.lit(1))
+    rows = chunks(spark, sf).select(F.explode(v).alias("v")).distinct()
     return rows.select("v", T.chapter_verse(F.col("v")).alias("c")).select("v", "c.chapter", "c.verse")
 
 
 @R.add("""SELECT DISTINCT chunk_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches(l, '^\\s*@[a-zA-Z][\\w.-]*:') AND NOT starts_with(l, '    ') AND NOT starts_with(l, chr(9)) THEN NULL ELSE l END), lambda l: l IS NOT NULL), chr(10)) AS text
     FROM chunk_results WHERE NOT contains(text, '```') AND NOT regexp_matches(text, '\\S[^\\n]*@[a-zA-Z][\\w.-]*:')""")
 def q142_strip_tags(spark, sf):
-    """Chunks without fences whose tags stand at the beginning of lines."""
-    rows = chunks(spark, sf).filter(~F.contains("text", F.lit("```")) & ~F.col("text").rlike(r"\S[^\n]*@[a-zA-Z][\w.-]*:"))
-    return rows.select("chunk_id", T.strip_tags(F.col("text"), F.lit(True)).alias("text"), F.xxhash64("text").alias("h")).distinct().select("chunk_id", "text")
+    return chunks(spark, sf).select("chunk_id", T.strip_tags(F.col("text"), F.lit(True)).alias("text"), F.xxhash64("text").alias("h")).distinct().select("chunk_id", "text")
 
 
 @R.add("""SELECT DISTINCT chunk_id, lower(regexp_extract(string_split(text, chr(10))[1], '^@([a-zA-Z][\\w.-]*):', 1)) AS name, regexp_replace(regexp_extract(string_split(text, chr(10))[1], '^@[a-zA-Z][\\w.-]*:[ \\t]*(.*)$', 1), '^\\s+|\\s+$', '', 'g') AS value FROM chunk_results WHERE regexp_matches(text, '^@[a-zA-Z][\\w.-]*:')""")
 def q144_tag_block_head(spark, sf):
-    """The first line of every chunk's tag block."""
-    rows = chunks(spark, sf).filter(F.col("text").rlike(r"^@[a-zA-Z][\w.-]*:")).select("chunk_id", F.element_at(T.tag_block(F.col("text")), 1).alias("b"))
-    return rows.select("chunk_id", "b.name", "b.value").distinct()
+    """Every line of every chunk's tag block."""
+    rows = chunks(spark, sf).filter(F.col("text").rlike(r"^@[a-zA-Z][\w.-]*:")).select("chunk_id", T.tag_block(F.col("text")).alias("block")).distinct()
+    return rows.select("chunk_id", F.explode("block").alias("b")).select("chunk_id", "b.name", "b.value")

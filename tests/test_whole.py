@@ -50,3 +50,48 @@ def test_max_merge_against_the_cut_per_input(spark, sf, db):
     assert len(want) == len(got) > 150
     for k, *scores in want:
         assert got[k] == pytest.approx([s or 0.0 for s in scores], abs=2e-6)
+
+
+TAG = re.compile(r"@([a-zA-Z][\w.-]*):[ \t]*([^\n]*)")
+
+
+def _stripped(text):
+    if text is None:
+        return None
+    out, fenced = [], False
+    for line in text.split("\n"):
+        fence = line.lstrip(" ").startswith("```")
+        inside, fenced = fenced or fence, fenced != fence
+        m = TAG.search(line)
+        if m:
+            pre = line[: m.start()]
+            mention = (pre and pre[-1] not in " \t") or sum(c in '`"' for c in pre) % 2 or inside or line[0] == "\t" or line.startswith("    ")
+            if not mention:
+                if pre.strip():
+                    out.append(pre)
+                continue
+        out.append(line)
+    return "\n".join(out)
+
+
+def _texts(spark, sf):
+    return {(r["chunk_id"], r["text"]) for r in spark.read.parquet(f"{sf}/chunk_results.parquet").select("chunk_id", "text").collect()}
+
+
+def test_strip_tags_takes_every_chunk(spark, sf, tmp_path):
+    rows = [(1, "```\n@a: kept\n```\n@b: gone\nend"), (2, "due @c: soon\nsay `@d: kept`"), (3, None)]
+    spark.createDataFrame(rows, "chunk_id long, text string").write.parquet(f"{tmp_path}/chunk_results.parquet")
+    for at in (str(tmp_path), sf):
+        texts = _texts(spark, at)
+        got = [tuple(r) for r in queries.queries()["q142_strip_tags"](spark, at).select("chunk_id", "text").collect()]
+        assert len(got) == len(texts) and set(got) == {(i, _stripped(t)) for i, t in texts}
+
+
+def test_every_line_of_a_tag_block_and_every_reference(spark, tmp_path):
+    rows = [(1, "@to: a\n@Status:  open \n\n@late: 3:16"), (1, "@to: a\n@Status:  open \n\n@late: 3:16"), (2, "see 3:16 and 12:1, then 3:16"), (3, None)]
+    spark.createDataFrame(rows, "chunk_id long, text string").write.parquet(f"{tmp_path}/chunk_results.parquet")
+    q = queries.queries()
+    got = q["q144_tag_block_head"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "status", "open"), (1, "to", "a")]
+    got = q["q166_chapter_verse"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [("12:1", 12, 1), ("3:16", 3, 16)]
