@@ -46,7 +46,7 @@ _stack("q049_file_level_filters", "stale -file-tag project -without -file-tag mu
 @R.add("""SELECT DISTINCT chunk_id, path FROM chunk_results WHERE chunk_id IN (SELECT chunk_id FROM search_entries e JOIN chunk_results c USING (path) WHERE e.entry_id % 50 = 0) AND coalesce(contains(lower(text), 'digest'), true)""")
 def q050_post_filter_funnel(spark, sf):
     """Any candidate set goes through the stack; ids without a chunk drop out."""
-    paths = read_table(spark, sf, "search_entries").filter("entry_id % 50 = 0").select("path").filter("path is not null").distinct()
+    paths = read_table(spark, sf, "search_entries").filter("entry_id is not null").select("path").filter("path is not null").distinct()
     ids = chunks(spark, sf).join(paths, "path", "left_semi").select("chunk_id").filter("chunk_id is not null").distinct()
     rows = chunks(spark, sf).join(ids, "chunk_id", "left_semi")
     return apply_filters(rows, [FilterRow("contains", "digest")], chunk_tags(spark, sf)).select("chunk_id", "path").distinct()
@@ -101,7 +101,7 @@ def q084_two_stage_embedding(spark, sf):
 
 @R.add("""SELECT DISTINCT e.query_id, c.chunk_id FROM (SELECT DISTINCT query_id, path FROM search_entries WHERE query_id % 50 = 0) e JOIN (SELECT DISTINCT chunk_id, path FROM chunk_results) c USING (path)""")
 def q088_inner_join(spark, sf):
-    e = read_table(spark, sf, "search_entries").filter("query_id % 50 = 0").select("query_id", "path").distinct()
+    e = read_table(spark, sf, "search_entries").filter("query_id is not null").select("query_id", "path").distinct()
     return e.join(chunks(spark, sf).select("chunk_id", "path").distinct(), "path").select("query_id", "chunk_id").distinct()
 
 

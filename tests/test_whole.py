@@ -95,3 +95,21 @@ def test_every_line_of_a_tag_block_and_every_reference(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [(1, "status", "open"), (1, "to", "a")]
     got = q["q166_chapter_verse"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == [("12:1", 12, 1), ("3:16", 3, 16)]
+
+
+@pytest.mark.parametrize("name", ["q106_result_tag_tree", "q088_inner_join", "q050_post_filter_funnel"])
+def test_every_id_takes_part(spark, sf, db, name):
+    sql = queries.oracle_sql()[name]
+    assert sql.count("% 50 = 0") == 1
+    cur = db.execute(sql.replace("% 50 = 0", "IS NOT NULL"))
+    columns = [c[0] for c in cur.description]
+    key = lambda r: tuple((v is None, v) for v in r)
+    assert sorted((tuple(r) for r in queries.queries()[name](spark, sf).select(columns).collect()), key=key) == sorted(cur.fetchall(), key=key)
+
+
+def test_every_request_is_allocated(spark, sf):
+    e = spark.read.parquet(f"{sf}/search_entries.parquet").filter("query_id is not null and entry_id is not null").toPandas()
+    e = e.assign(key=e.entry_id, source=["conversation" if (p or "").endswith(".jsonl") else "main" for p in e.path], file_id=e.file_id.fillna(-1), meaning=e.vec_score.fillna(0.0), tags=e.fts_score.fillna(0.0))
+    e = e[["query_id", "key", "source", "file_id", "meaning", "tags"]].drop_duplicates()
+    want = {(q, r.key, r.cell, r.score) for q, g in e.groupby("query_id") for r in K.allocate(g).itertuples()}
+    assert {tuple(r) for r in queries.queries()["q123_allocate_2x2"](spark, sf).collect()} == want
