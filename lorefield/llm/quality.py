@@ -4,9 +4,9 @@ Every line is judged on the evidence around it:
 
 * tables: a delimiter (``|``, box rule, tab, ``;``, ``,``) that stands in equal number in neighbouring
   lines, or blank gutters at the same column of neighbouring lines (vertical alignment);
-* lists: item marks, tag lines and links; indentation that recurs at one period; bare entries, which
-  are short, unpunctuated and, unlike wrapped prose, of irregular length (line-length
-  autocorrelation and spread);
+* lists: item marks, tag lines and links; bare entries, which are short, unpunctuated and, unlike
+  wrapped prose, of irregular length, or whose indentation recurs at one step or period while their
+  lengths don't follow each other (autocorrelation of indents and of line lengths);
 * junk: symbol share, words that can't be spoken, encoded runs, machine output (records, logs, stack
   frames), repetition of lines or phrases, and heaps of words without function words.
 
@@ -128,14 +128,31 @@ def _symbols(line: str) -> float:
     return sum(1 for ch in body if not ch.isalnum() and ch not in ".,'’") / len(body) if body else 0.0
 
 
-def autocorrelation(values: list[int]) -> float:
-    """Lag-one autocorrelation of the line lengths."""
+def autocorrelation(values: list[int], lag: int = 1) -> float:
+    """Autocorrelation of values, such as line lengths, at a lag."""
     n = len(values)
-    if n < 3:
+    if n < lag + 2:
         return 0.0
     mean = sum(values) / n
     var = sum((v - mean) ** 2 for v in values)
-    return sum((values[i] - mean) * (values[i + 1] - mean) for i in range(n - 1)) / var if var else 0.0
+    return sum((values[i] - mean) * (values[i + lag] - mean) for i in range(n - lag)) / var if var else 0.0
+
+
+def outline(lines: list[str]) -> bool:
+    """Whether the indents recur: three levels or more at one step, or the same sequence at one period.
+
+    Line lengths that follow their neighbours' speak against it.
+    """
+    indents = [len(x) - len(x.lstrip()) for x in (x.expandtabs(4) for x in lines)]
+    n, levels = len(indents), Counter(indents)
+    if n < 6 or len(levels) < 2 or autocorrelation([len(x.strip()) for x in lines]) > 0.5:
+        return False
+    low = min(levels)
+    step = math.gcd(*(x - low for x in levels))
+    if step >= 2 and sum(1 for c in levels.values() if c >= 2) >= 3:
+        return True
+    # the later part of a series has fewer pairs, hence the factor
+    return (n - levels[low]) * 3 > n and any(autocorrelation(indents, k) * n / (n - k) >= 0.5 for k in range(2, min(n // 2, 12) + 1))
 
 
 def repetition(text: str) -> float:
@@ -209,7 +226,7 @@ def _entries(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
     full = sum(1 for n in lengths if n >= 0.75 * max(lengths)) / len(lengths)
     short = [n <= 60 and not e for n, e in zip(lengths, ends)]
     inside = sum(1 for x in texts if INNER_END.search(x)) / len(texts)
-    bare = len(at) >= 4 and inside < 0.12 and sum(short) >= 0.7 * len(at) and (mean < 24 or (mean < 42 and full < 0.6))
+    bare = len(at) >= 4 and inside < 0.12 and sum(short) >= 0.7 * len(at) and (mean < 24 or (mean < 42 and full < 0.6) or outline([rows[i][0] for i in at]))
     out = list(rows)
     for i in at:
         out[i] = (rows[i][0], "list" if bare else "prose")
