@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from lorefield.functions import text as T
 
 
-def suggest(chunks: DataFrame, wanted: DataFrame, most_words: int = 8) -> DataFrame:
+def suggest(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """(chunk_id, path, anchor): the shortest beginning of a line that no other chunk of the file contains.
 
-    ``wanted`` names the chunks. Beginnings of up to ``most_words`` words of every line are tried; of
-    equally long ones the one on the earlier line counts. Without any, the anchor is the chunk's range.
+    ``wanted`` names the chunks. Every beginning of every line is tried, up to the whole line; of equally
+    long ones the one on the earlier line counts. Without any, the anchor is the chunk's range.
     """
     rows = chunks.filter("chunk_id is not null and path is not null").select("chunk_id", "path", "chunk_range", F.coalesce("text", F.lit("")).alias("text")).distinct()
     mine = rows.join(wanted.select("chunk_id").distinct(), "chunk_id", "left_semi")
     lines = mine.select("chunk_id", "path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = F.split(T.trim_all(F.col("line")), r"\s+")
-    sizes = F.sequence(F.lit(1), F.least(F.size(words), F.lit(most_words)))
+    sizes = F.sequence(F.lit(1), F.size(words))
     tries = lines.filter("trim(line) <> ''").select("chunk_id", "path", "line_no", F.explode(F.transform(sizes, lambda n: F.struct(n.alias("n"), F.array_join(F.slice(words, 1, n), " ").alias("anchor")))).alias("t"))
     tries = tries.select("chunk_id", "path", "line_no", "t.n", "t.anchor").distinct()
     others = rows.select(F.col("chunk_id").alias("other"), "path", F.col("text").alias("body"))

@@ -113,3 +113,11 @@ def test_every_request_is_allocated(spark, sf):
     e = e[["query_id", "key", "source", "file_id", "meaning", "tags"]].drop_duplicates()
     want = {(q, r.key, r.cell, r.score) for q, g in e.groupby("query_id") for r in K.allocate(g).itertuples()}
     assert {tuple(r) for r in queries.queries()["q123_allocate_2x2"](spark, sf).collect()} == want
+
+
+def test_locators_try_whole_lines(spark):
+    from lorefield.operators.locator import suggest
+
+    line = "one two three four five six seven eight nine"
+    ch = spark.createDataFrame([(1, "p", "1-1", f"{line} ten"), (2, "p", "2-2", f"{line} eleven")], "chunk_id long, path string, chunk_range string, text string")
+    assert {r["chunk_id"]: r["anchor"] for r in suggest(ch, ch).collect()} == {1: f"{line} ten", 2: f"{line} eleven"}
