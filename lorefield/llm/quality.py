@@ -1,18 +1,19 @@
 """Per-document text statistics, and what kind of text most of a document's characters are.
 
-Every line is judged on the evidence around it:
+A batch of texts is one array of code points (``words.points``); lines, words and their counts come from
+array operations over it. Every line is judged on the evidence around it:
 
 * tables: a delimiter (``|``, box rule, tab, ``;``, ``,``) that stands in equal number in neighbouring
   lines, or blank gutters at the same column of neighbouring lines (vertical alignment);
-* lists: item marks, tag lines and links; bare entries, which are short, unpunctuated and, unlike
-  wrapped prose, of irregular length, or whose indentation recurs at one step or period while their
-  lengths don't follow each other (autocorrelation of indents and of line lengths);
+* lists: item marks, tag lines and links; bare entries, told from prose by ``ENTRY``: the lines' lengths
+  and ends, the recurrence (autocorrelation) of their lengths and that of their indentation;
 * junk: symbol share, words that can't be spoken, encoded runs, machine output (records, logs, stack
   frames), repetition of lines or phrases, and heaps of words without function words.
 
 The characters of the lines of each kind are summed; the kind that holds most of them is the
-document's. Machine repetition is judged on the whole text first. The thresholds were set on labelled
-documents; nothing is fitted at run time, so a result depends on the text alone.
+document's. Machine repetition is judged on the whole text first. Thresholds and ``ENTRY`` are fixed, and
+nothing is fitted at run time, so a result depends on the text alone; ``ENTRY`` was fitted on the
+labelled documents with an even id and held against those with an odd one.
 
 Edge cases: null, empty and blank texts have statistics of zero and kind null; very long texts are
 read whole; repeated rows count once; ties between kinds go to prose, then list, table, junk; null
@@ -21,282 +22,379 @@ ids are dropped; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorefield.llm import words as W
+
 KINDS = ("prose", "list", "table", "junk")
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-TOKEN = re.compile(r"[^\W_]+")
+PROSE, LIST, TABLE, JUNK, NONE, TEXT = range(6)
 #: Frequent function words of the corpus' languages.
-COMMON = frozenset(
-    """the of and to in a is that it for on with as was are by this be at from or an not but we our every which when you there have
+COMMON = """the of and to in a is that it for on with as was are by this be at from or an not but we our every which when you there have
     has does my if only after before no so into while
     der die das und in zu den von mit auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei
     noch am vor seit zum zur doch aber
     el la los las de que y en un una por con no para su al lo como más pero del se es sin sobre entre hay desde antes
     le les des du et un une que qui dans pour pas sur au par il ne se ce plus avec sont mais aux est car on à sans""".split()
-)
-BULLET = re.compile(r"\s*(?:[-*+•‣◦–▪■□●○►▸→⇒✓✔✗☐☑☒]|\d{1,4}[.)]|[a-zA-Z][.)]|[-*+]?\s?\[[ xX]?\])\s+\S")
-TAG_LINE = re.compile(r"\s*@[\w-]+:(?:\s|$)")
-LINK_LINE = re.compile(r"\s*(?:[-*+]\s+)?(?:\[\[[^\]]+\]\]|\[[^\]]+\]\([^)]+\)|https?://\S+)")
-HEADING = re.compile(r"\s*#{1,6}\s")
-RULE = re.compile(r"[\s|:+=\-─━│┃├┤┼┌┐└┘┬┴╞╡╪═]+")
-LOG = re.compile(r"\s*[\[(]?\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d)?\S*\s|\s*\[?(?:ERROR|WARN|INFO|DEBUG|TRACE|FATAL)\b[\]:]?", re.I)
-FRAME = re.compile(r"\s*at\s+[\w.$<>/]+\(.*\)\s*$|\s*File \"[^\"]+\", line \d+|\s*#\d+\s+0x|\s*Traceback")
-RECORD = re.compile(r"\s*[\[{].*[\"']?\w+[\"']?\s*:\s*.*")
-ASSIGNMENT = re.compile(r"\s*[\w.-]+\s*=\s*\S+")
+_COMMON = np.unique(W.word_codes([" ".join(COMMON)])[0])
+_BULLET = r"(?:[-*+•‣◦–▪■□●○►▸→⇒✓✔✗☐☑☒]|\d{1,4}[.)]|[a-zA-Z][.)]|[-*+]?\s?\[[ xX]?\])\s+\S"
+_LINK = r"(?:[-*+]\s+)?(?:\[\[[^\]]+\]\]|\[[^\]]+\]\([^)]+\)|https?://\S+)"
+_LOG = r"[\[(]?\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d)?\S*\s|\[?(?:ERROR|WARN|INFO|DEBUG|TRACE|FATAL)\b[\]:]?"
+_FRAME = r"at\s+[\w.$<>/]+\(.*\)\s*$|File \"[^\"]+\", line \d+|#\d+\s+0x|Traceback"
+LEAD = re.compile(rf"\s*(?:(?P<log>{_LOG}|{_FRAME})|(?P<head>#{{1,6}}\s)|(?P<mark>{_BULLET}|@[\w-]+:(?:\s|$))|(?P<link>{_LINK})|(?P<record>[\[{{].*[\"']?\w+[\"']?\s*:))", re.I)
+LINK = re.compile(rf"\s*{_LINK}")
 ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{32,}|(?:[0-9a-fA-F]{2}[\s:]?){16,}|(?:%[0-9a-fA-F]{2}){6,}|(?:\\x[0-9a-fA-F]{2}){4,}|(?:&#?\w+;){4,}")
-SENTENCE_END = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*\s*$")
-INNER_END = re.compile(r"[^\W\d_]{2,}[.!?…] +\S")
-GAP = re.compile(r"(?<=\S)(?:\t+| {2,})(?=\S)")
-VOWELS = frozenset("aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ")
+BREAK = re.compile(r"\r\n?")
+DELIMITERS = "|│\t;,"
+LAGS = 12
+#: Weights of (1, mean length / 40, share of lines near the longest, share of short open lines, share of lines with an inner
+#: sentence end, recurrence of the lengths, recurrence of the indents); a positive sum makes a list. The first five are fitted
+#: by ``fit_entries``; no labelled document has recurring lengths or indents, so the last two are set by hand.
+ENTRY = np.array([2.05, -4.65, -2.96, 3.34, -1.97, 4.0, 8.0])
 STATISTICS = (
     "n_chars n_words mean_word_length symbol_ratio digit_ratio end_punct_share common_share distinct_share "
     "n_lines mean_line_length line_spread line_autocorrelation indent_period delimiter_alignment bullet_share repeat_share"
 ).split()
 
 
-def _columns(line: str) -> list[int]:
-    """Columns at which a cell begins behind a blank gutter."""
-    return [m.end() for m in GAP.finditer(line)]
-
-
-def _delimited(lines: list[str]) -> list[float]:
-    """For each line, the cells its best delimiter cuts it into, if a neighbour agrees; else 0."""
-    out = [0.0] * len(lines)
-    for d in "|│\t;,":
-        counts = [x.count(d) for x in lines]
-        for i, c in enumerate(counts):
-            if c == 0 or c < (2 if d == "," else 1):
-                continue
-            near = [counts[j] for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(lines)]
-            if c not in near:
-                continue
-            cells = [x.strip() for x in lines[i].split(d)]
-            cells = cells[1:-1] if d in "|│" and not cells[0] and not cells[-1] else cells
-            if not cells:
-                continue
-            if d in ";,":  # prose has these too: its parts are long and end in sentences
-                if max(map(len, cells)) > 48 or SENTENCE_END.search(lines[i].rstrip(d)) or any(x.count(" ") > 6 for x in cells):
-                    continue
-                tight = sum(1 for k in range(len(lines[i]) - 1) if lines[i][k] == d and lines[i][k + 1] != " ")
-                if tight * 2 < c:
-                    continue
-            out[i] = max(out[i], len(cells))
-    # gutters that line up
-    starts = [_columns(x) for x in lines]
-    for i, own in enumerate(starts):
-        if not own or out[i]:
-            continue
-        near = {c for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(lines) for c in starts[j]}
-        hit = sum(1 for c in own if c in near)
-        if hit and 2 * hit >= len(own) and not BULLET.match(lines[i]):
-            out[i] = hit + 1
-    return out
+def _per(keys: np.ndarray, n: int, values: np.ndarray | None = None) -> np.ndarray:
+    """Sums of values (or counts) per key."""
+    return np.bincount(keys, values, n).astype(np.float64)
 
 
-def _spoken(words: list[str]) -> float:
-    """Share of the letters that stand in words with a plausible number of vowels."""
-    total = good = 0
-    for w in words:
-        total += len(w)
-        v = sum(1 for ch in w.lower() if ch in VOWELS)
-        if not w.isascii() and not v:
-            v = 1  # another script
-        if (len(w) <= 2 and v) or (len(w) > 2 and v * 6 >= len(w)) or (w.isupper() and len(w) <= 5):
-            good += len(w)
-    return good / total if total else 1.0
+def _distinct(keys: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """Distinct codes per key."""
+    if not len(keys):
+        return np.zeros(n)
+    both = W.mix(codes + keys.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    order = np.argsort(both)
+    fresh = np.concatenate([[True], both[order][1:] != both[order][:-1]])
+    return _per(keys[order[fresh]], n)
 
 
-#: Marks of markup and code, which neither cells nor items are made of.
-NOISE = frozenset("{}[]()<>\\^~#=$%&*+_/:@!?")
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return part / np.maximum(whole, 1)
 
 
-def _noise(line: str) -> float:
-    body = [ch for ch in line if not ch.isspace()]
-    return sum(1 for ch in body if ch in NOISE) / len(body) if body else 0.0
+def _spread(values: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(deviation from the document's mean, mean, sum of squared deviations)."""
+    mean = _share(_per(doc, n, values), _per(doc, n))
+    off = values - mean[doc]
+    return off, mean, _per(doc, n, off * off)
 
 
-def _symbols(line: str) -> float:
-    body = [ch for ch in line if not ch.isspace()]
-    return sum(1 for ch in body if not ch.isalnum() and ch not in ".,'’") / len(body) if body else 0.0
+def autocorrelations(values: np.ndarray, doc: np.ndarray, n: int, lags: int = LAGS) -> np.ndarray:
+    """(lags x n): the autocorrelation of each document's line values at the lags from 1 on; 0 where nothing varies.
 
+    The later part of a series has fewer pairs, so a sum is scaled to the full length.
+    """
+    off, _, power = _spread(values.astype(np.float64), doc, n)
+    size = _per(doc, n)
+    out = np.zeros((lags, n))
+    for lag in range(1, min(lags, len(values) - 1) + 1):
+        same = doc[lag:] == doc[:-lag]
+        total = _per(doc[lag:][same], n, (off[lag:] * off[:-lag])[same])
+        ok = (power > 1e-9) & (size >= 2 * lag)
+        out[lag - 1][ok] = (total * size / np.maximum(size - lag, 1))[ok] / power[ok]
+    return out
 
-def autocorrelation(values: list[int], lag: int = 1) -> float:
-    """Autocorrelation of values, such as line lengths, at a lag."""
-    n = len(values)
-    if n < lag + 2:
-        return 0.0
-    mean = sum(values) / n
-    var = sum((v - mean) ** 2 for v in values)
-    return sum((values[i] - mean) * (values[i + lag] - mean) for i in range(n - lag)) / var if var else 0.0
 
+def recurrence(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """The strongest autocorrelation at a lag of two lines or more, from 0 (no more than chance gives) to 1."""
+    best = autocorrelations(values, doc, n)[1:].max(0)
+    chance = 2 / np.sqrt(np.maximum(_per(doc, n), 1))
+    return np.where(chance < 0.9, np.clip((best - chance) / np.maximum(1 - chance, 0.1), 0, 1), 0.0)
+
+
+def indentation(indent: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Share of the indented lines, as far as their indents recur: at one period, or as three levels or more."""
+    low = np.full(n, np.inf)
+    np.minimum.at(low, doc, indent)
+    level, often = np.unique(doc * (1 << 20) + np.minimum(indent, (1 << 20) - 1).astype(np.int64), return_counts=True)
+    levels = _per((level >> 20)[often >= 2], n) >= 3
+    return _share(_per(doc, n, indent > low[doc]), _per(doc, n)) * np.maximum(recurrence(indent, doc, n), levels)
+
+
+@dataclass
+class Page:
+    """A batch: its non-blank lines, their words and their counts, and the texts they belong to."""
+
+    n: int  # texts
+    lines: list[str]
+    doc: np.ndarray  # of each line
+    indent: np.ndarray
+    size: np.ndarray  # length without the outer white space
+    spoken: np.ndarray
+    symbols: np.ndarray
+    noise: np.ndarray
+    rule: np.ndarray
+    n_words: np.ndarray
+    heap: np.ndarray
+    ends: np.ndarray
+    inner: np.ndarray
+    cells: np.ndarray
+    same: np.ndarray  # how often the line stands in its text
+    facts: dict[str, np.ndarray]  # of each text
+    dense: np.ndarray  # few blanks for its length
+
+
+def _alike(counts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Lines of which a neighbour (up to two lines away) has the same positive count."""
+    out = np.zeros(len(counts), bool)
+    for k in (1, 2):
+        if len(counts) > k:
+            hit = (counts[k:] == counts[:-k]) & (counts[k:] > 0) & (doc[k:] == doc[:-k])
+            out[k:] |= hit
+            out[:-k] |= hit
+    return out
 
-def outline(lines: list[str]) -> bool:
-    """Whether the indents recur: three levels or more at one step, or the same sequence at one period.
 
-    Line lengths that follow their neighbours' speak against it.
-    """
-    indents = [len(x) - len(x.lstrip()) for x in (x.expandtabs(4) for x in lines)]
-    n, levels = len(indents), Counter(indents)
-    if n < 6 or len(levels) < 2 or autocorrelation([len(x.strip()) for x in lines]) > 0.5:
-        return False
-    low = min(levels)
-    step = math.gcd(*(x - low for x in levels))
-    if step >= 2 and sum(1 for c in levels.values() if c >= 2) >= 3:
-        return True
-    # the later part of a series has fewer pairs, hence the factor
-    return (n - levels[low]) * 3 > n and any(autocorrelation(indents, k) * n / (n - k) >= 0.5 for k in range(2, min(n // 2, 12) + 1))
-
-
-def repetition(text: str) -> float:
-    """Share of the word triples that repeat an earlier one."""
-    words = TOKEN.findall(text.lower())
-    if len(words) < 12:
-        return 0.0
-    triples = list(zip(words, words[1:], words[2:]))
-    return 1 - len(set(triples)) / len(triples)
-
-
-def _heap(words: list[str]) -> bool:
-    """Many words of which hardly any is a function word, and few are distinct or any is capital."""
-    if len(words) < 8:
-        return False
-    low = [w.lower() for w in words]
-    common = sum(1 for w in low if w in COMMON) / len(low)
-    return common < 0.04 and (len(set(low)) / len(low) < 0.6 or all(w == x for w, x in zip(words, low)))
-
-
-def line_kinds(text: str) -> list[tuple[str, str]]:
-    """(line, kind) of every line that isn't blank; headings and rules have kind ``none``."""
-    lines = [x.rstrip("\r") for x in re.split(r"\n|\r(?!\n)", text)]
-    lines = [x for x in lines if x.strip()]
-    if not lines:
-        return []
-    cells = _delimited(lines)
-    counts = Counter(x.strip() for x in lines)
-    out: list[tuple[str, str]] = []
-    for i, line in enumerate(lines):
-        body = line.strip()
-        words = WORD.findall(body)
-        if counts[body] >= 4 and counts[body] * 2 >= len(lines) and len(body) > 2:
-            kind = "junk"
-        elif LOG.match(line) or FRAME.match(line):
-            kind = "junk"
-        elif HEADING.match(line):
-            kind = "none"
-        elif (BULLET.match(line) or TAG_LINE.match(line)) and _spoken(words) > 0.5 and _symbols(body) < 0.45:
-            kind = "list"
-        elif cells[i] >= 2 and _noise(body) < 0.25 and (_spoken(words) > 0.5 or not words):
-            kind = "table"
-        elif RULE.fullmatch(line):
-            kind = "none"
-        elif LINK_LINE.match(line):
-            kind = "list"
-        elif RECORD.match(line) and _symbols(body) > 0.12:
-            kind = "junk"
-        elif _symbols(body) > 0.35 or (sum(map(len, ENCODED.findall(body))) * 2 > len(body)):
-            kind = "junk"
-        elif words and _spoken(words) < 0.6 and len(body) > 12:
-            kind = "junk"
-        elif _heap(words):
-            kind = "junk"
-        else:
-            kind = "text"
-        out.append((line, kind))
-    return _entries(out)
-
-
-def _entries(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Tell bare entries from prose among the lines that nothing else has claimed."""
-    at = [i for i, (_, k) in enumerate(rows) if k == "text"]
-    if not at:
-        return rows
-    texts = [rows[i][0].strip() for i in at]
-    ends = [bool(SENTENCE_END.search(x)) for x in texts]
-    lengths = [len(x) for x in texts]
-    mean = sum(lengths) / len(lengths)
-    # wrapped prose fills its lines: all but the last of a paragraph come near the longest
-    full = sum(1 for n in lengths if n >= 0.75 * max(lengths)) / len(lengths)
-    short = [n <= 60 and not e for n, e in zip(lengths, ends)]
-    inside = sum(1 for x in texts if INNER_END.search(x)) / len(texts)
-    bare = len(at) >= 4 and inside < 0.12 and sum(short) >= 0.7 * len(at) and (mean < 24 or (mean < 42 and full < 0.6) or outline([rows[i][0] for i in at]))
-    out = list(rows)
-    for i in at:
-        out[i] = (rows[i][0], "list" if bare else "prose")
-    return out
+def _cells_of(line: str, d: str, count: int) -> int:
+    """Cells that a delimiter cuts a line into; 0 if the line reads like prose."""
+    cells = [x.strip() for x in line.split(d)]
+    cells = cells[1:-1] if d in "|│" and not cells[0] and not cells[-1] else cells
+    if d in ";,":  # prose has these too: its parts are long and end in sentences
+        bare = line.rstrip(d).rstrip().rstrip("\"'”’»)]")
+        tight = sum(1 for k in range(len(line) - 1) if line[k] == d and line[k + 1] != " ")
+        if tight * 2 < count or (d == "," and count < 2) or max(map(len, cells)) > 48 or bare[-1:] in W.STOPS or any(x.count(" ") > 6 for x in cells):
+            return 0
+    return len(cells)
+
+
+def read_page(texts: list[str], all_facts: bool = False) -> Page:
+    """Everything that is counted in a batch of texts; the facts that only statistics show are optional."""
+    texts = [BREAK.sub("\n", x) if "\r" in x else x for x in texts]
+    n = len(texts)
+    text = "\n".join(texts)
+    cp, kind = W.points(text)
+    flag = lambda bit: (kind & bit) > 0
+    ends = np.append(np.flatnonzero(cp == 10), len(cp))
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    chars_of = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, n))
+    solid = ~flag(W.SPACE)
+    at = np.flatnonzero(solid)
+    lo, hi = np.searchsorted(at, begins), np.searchsorted(at, ends)
+    full = np.flatnonzero(hi > lo)  # lines that aren't blank
+    begins, ends, lo, hi = begins[full], ends[full], lo[full], hi[full]
+    doc = np.searchsorted(chars_of, begins, side="right")
+    first, last = (at[lo], at[hi - 1] + 1) if len(full) else (begins, ends)
+    n_lines = len(full)
+    body = (hi - lo).astype(np.float64)
+
+    def within(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
+        return (total[b] - total[a]).astype(np.float64)
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        return within(mask, begins, ends)
+
+    tab = cp == 9
+    indent = (first - begins) + 3 * within(tab, begins, first)
+    # words: runs of letters with an apostrophe inside
+    letter = flag(W.LETTER)
+    inner_mark = np.zeros(len(cp), bool)
+    if len(cp) > 2:
+        inner_mark[1:-1] = ((cp[1:-1] == 39) | (cp[1:-1] == 0x2019)) & letter[:-2] & letter[2:]
+    wb, we = W.runs(letter | inner_mark)
+    line_at = np.clip(np.searchsorted(begins, wb, side="right") - 1, 0, max(n_lines - 1, 0))
+    size = (we - wb).astype(np.float64)
+    inside = lambda mask: within(mask, wb, we)
+    vowels, upper, lower = inside(flag(W.VOWEL)), inside(flag(W.UPPER)), inside(flag(W.LOWER))
+    foreign = inside(cp > 127) > 0
+    vowels = np.where(foreign & (vowels == 0), 1, vowels)
+    good = ((size <= 2) & (vowels > 0)) | ((size > 2) & (vowels * 6 >= size)) | ((size <= 5) & (upper > 0) & (lower == 0))
+    codes = W.span_codes(W.lowered(cp), wb, we)
+    common = np.isin(codes, _COMMON)
+    n_words = _per(line_at, n_lines)
+    letters = _per(line_at, n_lines, size)
+    spoken = np.where(letters > 0, _share(_per(line_at, n_lines, size * good), letters), 1.0)
+    distinct = _distinct(line_at, codes, n_lines)
+    many = n_words >= 8
+    heap = many & (_share(_per(line_at, n_lines, common), n_words) < 0.04) & ((_share(distinct, n_words) < 0.6) | (_per(line_at, n_lines, upper) == 0))
+    # the last character that is neither blank nor a closing mark ends a sentence or doesn't
+    open_at = np.flatnonzero(solid & ~flag(W.CLOSE))
+    k = np.searchsorted(open_at, ends) - 1
+    ends_line = np.zeros(n_lines, bool)
+    if len(open_at):
+        ends_line = (k >= 0) & (open_at[k] >= begins) & flag(W.STOP)[open_at[k]]
+    stops = np.flatnonzero(np.isin(cp, (46, 33, 63, 0x2026)))
+    stops = stops[(stops >= 2) & (stops + 2 < len(cp))] if len(cp) > 4 else stops[:0]
+    stops = stops[letter[stops - 1] & letter[stops - 2] & (cp[stops + 1] == 32)]
+    own = np.searchsorted(begins, stops, side="right") - 1
+    inner = _per(own[stops < last[own] - 1], n_lines) > 0 if len(stops) else np.zeros(n_lines, bool)
+    lines = [text[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
+    # vertical alignment of delimiters, then of gutters
+    cells = np.zeros(n_lines)
+    for d in DELIMITERS:
+        counts = count(cp == ord(d))
+        for i in np.flatnonzero(_alike(counts, doc)).tolist():
+            cells[i] = max(cells[i], _cells_of(lines[i], d, int(counts[i])))
+    gap = np.flatnonzero(solid[2:] & (tab[1:-1] | ((cp[1:-1] == 32) & (cp[:-2] == 32)))) + 2 if len(cp) > 2 else np.zeros(0, np.int64)
+    own = np.searchsorted(begins, gap, side="right") - 1
+    keep = (own >= 0) & (gap > first[own]) if n_lines else np.zeros(0, bool)
+    gap, own = gap[keep], own[keep]
+    place = (own + 3 * doc[own]) * (1 << 20) + np.minimum(gap - begins[own], (1 << 20) - 1)  # texts lie three lines apart
+    hit = np.zeros(len(gap), bool)
+    for step in (-2, -1, 1, 2):
+        hit |= np.isin(place + step * (1 << 20), place)
+    gaps, hits = _per(own, n_lines), _per(own, n_lines, hit)
+    gutter = (cells == 0) & (hits > 0) & (2 * hits >= gaps)
+    for i in np.flatnonzero(gutter).tolist():
+        if not re.match(rf"\s*{_BULLET}", lines[i]):
+            cells[i] = hits[i] + 1
+    line_codes = W.span_codes(cp, first, last)
+    _, of, often = np.unique(W.mix(line_codes + doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), return_inverse=True, return_counts=True)
+    symbol = solid & ~flag(W.WORDS) & ~flag(W.SOFT)
+    # runs of letters and digits: triples that repeat an earlier one
+    tb, te = W.runs(flag(W.WORDS))
+    tokens, token_doc = W.span_codes(W.lowered(cp), tb, te), np.searchsorted(chars_of, tb, side="right")
+    repeat = np.zeros(n)
+    if len(tokens) > 2:
+        triple = W.mix(tokens[:-2] * np.uint64(3) + tokens[1:-1] * np.uint64(5) + tokens[2:] * np.uint64(7))
+        whole = token_doc[:-2] == token_doc[2:]
+        total = _per(token_doc[:-2][whole], n)
+        once = _distinct(token_doc[:-2][whole], triple[whole], n)
+        repeat = np.where(total >= 10, 1 - _share(once, total), 0.0)
+    solid_of = np.searchsorted(chars_of, at, side="right")
+    facts = {"odd_ratio": _share(_per(solid_of, n, symbol[at]), _per(solid_of, n)), "repeat_share": repeat}
+    if all_facts:
+        word_doc = doc[line_at] if n_lines and len(wb) else np.zeros(0, np.int64)
+        total = _per(word_doc, n)
+        facts |= {
+            "n_chars": np.fromiter(map(len, texts), np.float64, n),
+            "n_words": total,
+            "mean_word_length": _share(_per(word_doc, n, size), total),
+            "symbol_ratio": _share(_per(solid_of, n, ~flag(W.WORDS)[at]), _per(solid_of, n)),
+            "digit_ratio": _share(_per(solid_of, n, flag(W.DIGIT)[at]), _per(solid_of, n)),
+            "common_share": _share(_per(word_doc, n, common), total),
+            "distinct_share": _share(_distinct(word_doc, codes if len(word_doc) else codes[:0], n), total),
+        }
+    return Page(
+        n, lines, doc, indent, (last - first).astype(np.float64), spoken, _share(count(symbol), body), _share(count(flag(W.NOISE) & solid), body),
+        count(flag(W.RULE)) == body, n_words, heap, ends_line, inner, cells, often[of.reshape(-1)], facts, count(cp == 32) * 10 < last - first,
+    )
+
+
+def line_kinds(page: Page) -> np.ndarray:
+    """The kind of every line; headings and rules are ``NONE``, lines that nothing has claimed ``TEXT``."""
+    n_lines = _per(page.doc, page.n)[page.doc]
+    lead = np.array([{"log": 1, "head": 2, "mark": 3, "link": 4, "record": 5}[m.lastgroup] if (m := LEAD.match(x)) else 0 for x in page.lines], np.int8).reshape(-1)
+    readable = (page.spoken > 0.5) & (page.symbols < 0.45)
+    for i in np.flatnonzero((lead == 3) & ~readable).tolist():  # such a mark begins no item
+        lead[i] = 4 if LINK.match(page.lines[i]) else 5 if page.lines[i].lstrip()[:1] in "[{" and ":" in page.lines[i] else 0
+    encoded = np.zeros(len(lead))
+    for i in np.flatnonzero((page.size > 12) & (page.dense | (page.spoken < 0.8) | (page.n_words == 0))).tolist():
+        encoded[i] = sum(map(len, ENCODED.findall(page.lines[i])))
+    rules = (
+        ((page.same >= 4) & (page.same * 2 >= n_lines) & (page.size > 2), JUNK),
+        (lead == 1, JUNK),
+        (lead == 2, NONE),
+        ((lead == 3) & readable, LIST),
+        ((page.cells >= 2) & (page.noise < 0.25) & ((page.spoken > 0.5) | (page.n_words == 0)), TABLE),
+        (page.rule, NONE),
+        (lead == 4, LIST),
+        ((lead == 5) & (page.symbols > 0.12), JUNK),
+        ((page.symbols > 0.35) | (encoded * 2 > page.size), JUNK),
+        ((page.n_words > 0) & (page.spoken < 0.6) & (page.size > 12), JUNK),
+        (page.heap, JUNK),
+    )
+    return np.select([r for r, _ in rules], [k for _, k in rules], TEXT) if len(lead) else np.zeros(0, np.int64)
+
+
+def entry_evidence(page: Page, open_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features x texts, lines): what tells bare entries from prose, over the lines that nothing has claimed."""
+    doc, size = page.doc[open_lines], page.size[open_lines]
+    count = _per(doc, page.n)
+    longest = np.zeros(page.n)
+    np.maximum.at(longest, doc, size)
+    short = (size <= 60) & ~page.ends[open_lines]
+    mean = _share(_per(doc, page.n, size), count)
+    near = _share(_per(doc, page.n, size >= 0.75 * longest[doc]), count)
+    parts = (np.ones(page.n), mean / 40, near, _share(_per(doc, page.n, short), count), _share(_per(doc, page.n, page.inner[open_lines]), count), recurrence(size, doc, page.n), indentation(page.indent[open_lines], doc, page.n))
+    return np.stack(parts), count
+
+
+def kinds_of(texts: list[str]) -> np.ndarray:
+    """The index of every text's kind; -1 for empty and blank texts."""
+    page = read_page(texts)
+    kind = line_kinds(page)
+    evidence, count = entry_evidence(page, kind == TEXT)
+    bare = (count >= 4) & (ENTRY @ evidence > 0)
+    kind = np.where(kind == TEXT, np.where(bare[page.doc], LIST, PROSE), kind) if len(kind) else kind
+    share = np.stack([_per(page.doc, page.n, page.size * (kind == k)) for k in range(len(KINDS))])
+    best = share.argmax(0)
+    best = np.where(share.max(0) > 0, best, np.where(page.facts["odd_ratio"] > 0.35, JUNK, PROSE))
+    best = np.where((best <= LIST) & (page.facts["repeat_share"] > 0.5) & (share.max(0) > 0), JUNK, best)
+    return np.where(_per(page.doc, page.n) > 0, best, -1)
+
+
+def fit_entries(texts: list[str], is_list: np.ndarray, rounds: int = 4000) -> np.ndarray:
+    """``ENTRY`` by logistic regression: texts of open lines, and whether they are lists. Run once, by hand."""
+    page = read_page(texts)
+    evidence, count = entry_evidence(page, line_kinds(page) == TEXT)
+    x, y = evidence[:, count >= 4], is_list[count >= 4].astype(np.float64)
+    weights = np.zeros(len(x))
+    for _ in range(rounds):
+        error = 1 / (1 + np.exp(-(weights @ x))) - y
+        weights -= 0.5 * (x @ error / len(y) + 2e-4 * weights)
+    return weights
+
+
+def _batched(texts: list[str | None], work) -> Iterator:
+    """``work`` over slabs of the texts, nulls as empty."""
+    plain = [x or "" for x in texts]
+    for a, b, _ in W.slabs(plain):
+        yield work(plain[a:b])
+
+
+def statistics(texts: list[str]) -> np.ndarray:
+    """(texts x ``STATISTICS``)."""
+    page = read_page(texts, all_facts=True)
+    count = _per(page.doc, page.n)
+    _, mean, power = _spread(page.size, page.doc, page.n)
+    marked = np.array([bool(m := LEAD.match(x)) and m.lastgroup in ("mark", "link") for x in page.lines], bool).reshape(-1)
+    share = lambda mask: _share(_per(page.doc, page.n, mask), count)
+    own = page.facts | {
+        "end_punct_share": share(page.ends),
+        "n_lines": count,
+        "mean_line_length": mean,
+        "line_spread": np.sqrt(_share(power, count)),
+        "line_autocorrelation": autocorrelations(page.size, page.doc, page.n, 1)[0],
+        "indent_period": indentation(page.indent, page.doc, page.n),
+        "delimiter_alignment": share(page.cells >= 2),
+        "bullet_share": share(marked),
+    }
+    return np.stack([own[name] for name in STATISTICS], axis=1)
+
+
+def _names(kinds: np.ndarray) -> list[str | None]:
+    return [None if k < 0 else KINDS[k] for k in kinds.tolist()]
 
 
 def kind_of(text: str | None) -> str | None:
     """The kind of most of a text's characters; null for null, empty and blank texts."""
-    if not text or not text.strip():
-        return None
-    rows = line_kinds(text)
-    if not rows:
-        return None
-    share = dict.fromkeys(KINDS, 0)
-    for line, kind in rows:
-        if kind != "none":
-            share[kind] += len(line.strip())
-    if not any(share.values()):
-        return "junk" if _symbols(text) > 0.35 else "prose"
-    best = max(KINDS, key=lambda k: share[k])
-    if best in ("prose", "list") and repetition(text) > 0.5:
-        return "junk"
-    return best
-
-
-def statistics(text: str | None) -> list[float]:
-    """The values of ``STATISTICS`` for one text."""
-    text = text or ""
-    lines = [x for x in re.split(r"\r\n|\n|\r", text) if x.strip()]
-    words = WORD.findall(text)
-    body = [ch for ch in text if not ch.isspace()]
-    if not body:
-        return [float(len(text))] + [0.0] * (len(STATISTICS) - 1)
-    lengths = [len(x) for x in lines]
-    mean = sum(lengths) / len(lengths)
-    indents = Counter(len(x) - len(x.lstrip(" \t")) for x in lines)
-    indent, often = max(indents.items(), key=lambda kv: (kv[0] > 0, kv[1]))
-    low = [w.lower() for w in words]
-    return [
-        float(len(text)),
-        float(len(words)),
-        sum(map(len, words)) / len(words) if words else 0.0,
-        sum(1 for ch in body if not ch.isalnum()) / len(body),
-        sum(1 for ch in body if ch.isdigit()) / len(body),
-        sum(1 for x in lines if SENTENCE_END.search(x)) / len(lines),
-        sum(1 for w in low if w in COMMON) / len(low) if low else 0.0,
-        len(set(low)) / len(low) if low else 0.0,
-        float(len(lines)),
-        mean,
-        math.sqrt(sum((n - mean) ** 2 for n in lengths) / len(lengths)),
-        autocorrelation(lengths),
-        often / len(lines) if indent else 0.0,
-        sum(1 for c in _delimited(lines) if c >= 2) / len(lines),
-        sum(1 for x in lines if BULLET.match(x) or TAG_LINE.match(x) or LINK_LINE.match(x)) / len(lines),
-        repetition(text),
-    ]
+    return _names(kinds_of([text or ""]))[0]
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        values = [statistics(x) for x in texts]
-        cols = [batch.column("id"), pa.array([kind_of(x) for x in texts], pa.string())]
-        cols += [pa.array([round(v[k], 6) for v in values], pa.float64()) for k in range(len(STATISTICS))]
+        kinds = [k for part in _batched(texts, kinds_of) for k in _names(part)]
+        values = np.concatenate([*_batched(texts, statistics), np.zeros((0, len(STATISTICS)))])
+        cols = [batch.column("id"), pa.array(kinds, pa.string())] + [pa.array(np.round(values[:, k], 6)) for k in range(len(STATISTICS))]
         yield pa.RecordBatch.from_arrays(cols, names=["id", "kind", *STATISTICS])
 
 
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([kind_of(x) for x in batch.column("text").to_pylist()], pa.string())], names=["id", "kind"])
+        kinds = [k for part in _batched(batch.column("text").to_pylist(), kinds_of) for k in _names(part)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kinds, pa.string())], names=["id", "kind"])
 
 
 def text_statistics(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
