@@ -81,6 +81,19 @@ def test_encoding_round_trip_and_edges(spark):
     assert encoding.decode(encoding.Encoder().encode(one)) == one
 
 
+@have_tokenizer
+def test_windows_grow_and_stay_small():
+    """Ordinary documents go through the tree; a join encodes a few characters again, more only without a safe offset."""
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("abcdeé漢") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(0, 400))) for _ in range(40)] + ["", None, "y" * 900 + " x", "it's " * 300]
+    enc = encoding.Encoder(leaf=32, window=4)
+    assert enc.encode_all(texts) == [enc.direct(x or "") for x in texts]
+    assert 0 < enc.joined < 2 * sum(len(x or "") for x in texts)
+    words = encoding.Encoder()
+    words.encode("several plain words of text, then more; " * 500)
+    assert 0 < words.joined < 0.1 * 20000
+
+
 WORD = re.compile(r"[^\W_]+")
 
 
