@@ -119,6 +119,8 @@ def test_leaks_match_brute_force(spark):
     assert {(x["doc_id"], x["item_id"]) for x in got.filter("exact >= 8").collect()} == want
     assert got.count() == got.select("doc_id", "item_id").distinct().count()
     assert leakage.leaks(c.limit(0), i).count() == 0 and leakage.leaks(c, i.limit(0)).count() == 0
+    key = lambda df: sorted(tuple(x) for x in df.collect())
+    assert key(leakage.leaks(c, i, most_chars=100)) == key(got)  # a test side in several blocks
 
 
 def test_leaks_tolerate_a_replaced_word(spark):
@@ -129,6 +131,20 @@ def test_leaks_tolerate_a_replaced_word(spark):
     assert r["exact"] == 6 and r["tolerant"] == 12
 
 
+def test_every_tolerant_passage_is_found():
+    """Planted passages with one and two replaced words, in every place the definition tolerates: none is lost."""
+    words = [f"w{k}" for k in range(12)]
+    for size in (8, 10, 12):
+        side = leakage.TestSide([7], [" ".join(words[:size])])
+        places = [(i,) for i in range(1, size - 1)] + [(i, j) for i in range(1, size) for j in range(i + leakage.APART + 1, size - 1)]
+        texts = ["before " + " ".join("other" if k in own else w for k, w in enumerate(words[:size])) + " behind" for own in places]
+        got = {t: (exact, far) for t, item, exact, far in side.search(texts) if item == 7}
+        for t, own in enumerate(places):
+            runs = [b - a - 1 for a, b in zip((-1, *own), (*own, size))]
+            if all(r >= leakage.APART for r in runs[:-1]):  # else the stretch before a difference is too short to be bridged
+                assert got[t] == (max(runs), size)
+
+
 @pytest.mark.parametrize(
     "text, kind",
     [
