@@ -44,14 +44,7 @@ _ODD = np.random.default_rng(21).integers(1, 1 << 63, size=SPAN, dtype=np.uint64
 
 def seeds(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, masks x positions): the seed values of every window that lies within one text."""
-    n = len(codes) - SPAN + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty((len(IGNORED), 0), np.uint64)
-    inside = np.ones(n, bool)
-    for k in range(1, SPAN):  # a window must not begin in one text and end in another
-        cut = offsets[1:-1] - k
-        inside[cut[(cut >= 0) & (cut < n)]] = False
-    at = np.flatnonzero(inside)
+    at = W.windows(offsets, SPAN)
     parts = [codes[at + p] * _ODD[p] for p in range(SPAN)]
     whole = reduce(np.add, parts)
     return at, np.stack([W.mix(whole - parts[i] - parts[j] + np.uint64(k)) for k, (i, j) in enumerate(IGNORED)])

@@ -7,38 +7,37 @@ Signature
     if the same k-mers are smallest in both and stand in the same order, so the probability falls
     with edits as well as with reordering.
 Candidates
-    Equal texts are one class first, whatever their number: only its smallest id is signed. Equal
-    signature values give candidate pairs by an equi-join; no group is collected, no bucket capped.
+    Equal texts are one class first, whatever their number: only its smallest id is signed, where its row
+    lies. Equal signature values give candidate pairs by an equi-join; no group is collected, no bucket capped.
     Each signature row carries 128 bits: the text's shingle count and three bits of every table's
     minimum. Inside the join they drop pairs whose sizes rule the threshold out, or whose minima
-    agree too rarely (``LEAST_EQUAL`` of ``TABLES``; a pair at the threshold fails that test about
-    three times in ten thousand).
-Verification
-    The candidates' shingle sets are intersected exactly, which applies the definition of the
-    threshold; the pairs that hold are aligned within a band around the diagonal, in numpy over
-    batches of pairs. The alignment gives the words edited between the two texts, or -1 where it left
-    the band: such pairs share their shingles but not their order (whole passages were moved).
+    agree too rarely (``least_equal`` of ``TABLES``; a pair at the threshold fails the default about
+    three times in ten thousand; 0 switches the test off).
 Closure
-    Two texts that are both linked to a third are candidates too, and are verified in the same way;
-    this finds most of the few pairs that no table brought together.
+    Two texts that are both candidates with a third are a candidate pair too; this finds most of the few
+    pairs that no table brought together.
+Verification
+    All candidates at once, over the texts that are in one. A pair is aligned within a band around the diagonal, in
+    numpy over batches. ``d`` edited words change at most ``3 d`` shingles on either side, so a small distance proves the
+    similarity; only where it doesn't (or the alignment left its band, as whole passages were moved) are the shingle sets
+    intersected exactly. ``edits`` is the alignment's distance, -1 where it left the band.
 
 Edge cases: null texts and ids, and texts under ``MIN_WORDS`` words, take no part; a repeated row
-counts once (of several texts under one id the smallest counts); other columns are ignored; empty
-tables give an empty result.
+counts once (of several texts under one id, each is compared; copies are those of the text with the smallest
+digest); other columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorefield.llm import words as W
 from lorefield.session import materialise
 
 KMER = 4
@@ -49,24 +48,9 @@ MIN_WORDS = 20
 BAND = 12
 LEAST_EQUAL = 9
 FAR = 1 << 28
-WORD = re.compile(r"[^\W_]+")
+#: Members of a class of equal texts that are paired in one task.
+PORTION = 2000
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-_CODES: dict[str, int] = {}
-_MOST_CODES = 2_000_000
-
-
-def word_codes(text: str) -> np.ndarray:
-    """64-bit codes of the words of ``text``: maximal runs of letters and digits, lower-cased."""
-    if len(_CODES) > _MOST_CODES:
-        _CODES.clear()
-    known = _CODES
-    out = []
-    for w in WORD.findall(text.lower()):
-        code = known.get(w)
-        if code is None:
-            code = known[w] = xxhash.xxh64_intdigest(w)
-        out.append(code)
-    return np.array(out, dtype=np.uint64)
 
 
 @lru_cache(maxsize=64)
@@ -75,28 +59,20 @@ def _odd(count: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, size=count, dtype=np.uint64) | np.uint64(1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def kmer_codes(words: np.ndarray, k: int) -> np.ndarray:
-    """One code per run of ``k`` consecutive words."""
+def kmer_codes(codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """One code per run of ``k`` words that begins at a position of ``at``."""
     weights = _odd(k, 11)
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    acc = words[:n] * weights[0]
+    acc = codes[at] * weights[0]
     for j in range(1, k):
-        acc = acc + words[j : n + j] * weights[j]
-    return _mix(acc)
+        acc = acc + codes[at + j] * weights[j]
+    return W.mix(acc)
 
 
 def _labelled(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Codes in which the r-th repetition of a k-mer within its text differs from the first."""
-    order = np.lexsort((code, doc))
-    same = (code[order][1:] == code[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    both = W.mix(code + doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    order = np.argsort(both, kind="stable")
+    same = both[order][1:] == both[order][:-1]
     if not same.any():
         return code
     run = np.concatenate([[False], same])
@@ -104,23 +80,25 @@ def _labelled(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
     first = np.maximum.accumulate(np.where(run, 0, where))
     label = np.zeros(len(code), np.uint64)
     label[order] = (where - first).astype(np.uint64)
-    return np.where(label > 0, _mix(code + label * np.uint64(0x9E3779B97F4A7C15)), code)
+    return np.where(label > 0, W.mix(code + label * np.uint64(0x9E3779B97F4A7C15)), code)
 
 
-def signatures(texts: list[np.ndarray], salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Signature values (``len(texts) x TABLES``) and sketches (``len(texts) x 2``).
+def signatures(codes: np.ndarray, offsets: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Signature values (texts x TABLES) and sketches (texts x 2).
 
-    Every entry of ``texts`` holds the word codes of a text of at least ``KMER + SAMPLE - 1`` words.
+    ``codes`` and ``offsets`` hold the words of texts of at least ``KMER + SAMPLE - 1`` words each.
     """
-    parts = [kmer_codes(w, KMER) for w in texts]
-    sizes = np.array([len(p) for p in parts])
+    n = len(offsets) - 1
+    at = W.windows(offsets, KMER)
+    doc = np.searchsorted(offsets, at, side="right") - 1
+    sizes = np.diff(offsets) - KMER + 1
     starts = np.cumsum(sizes) - sizes
-    doc = np.repeat(np.arange(len(parts)), sizes)
-    code = _labelled(np.concatenate(parts), doc)
+    code = _labelled(kmer_codes(codes, at, KMER), doc)
     mult, add, join = _odd(TABLES, 12), _odd(TABLES, 13), _odd(SAMPLE, 14)
-    values = np.empty((len(parts), TABLES), np.uint64)
-    sketch = np.zeros((len(parts), 2), np.uint64)
-    shingles = np.array([len(np.unique(kmer_codes(w, SHINGLE))) for w in texts])
+    values = np.empty((n, TABLES), np.uint64)
+    sketch = np.zeros((n, 2), np.uint64)
+    triple = W.windows(offsets, SHINGLE)
+    shingles = W.distinct(np.searchsorted(offsets, triple, side="right") - 1, kmer_codes(codes, triple, SHINGLE), n)
     sketch[:, 0] = np.minimum(shingles, 65535).astype(np.uint64) << np.uint64(48)
     half = TABLES // 2
     for t in range(TABLES):
@@ -133,15 +111,15 @@ def signatures(texts: list[np.ndarray], salt: int = 0) -> tuple[np.ndarray, np.n
                 bits = (low >> np.uint64(7)) & np.uint64(7)
                 sketch[:, t // half] |= bits << np.uint64(3 * (t % half))
             hit = np.flatnonzero(v == np.repeat(low, sizes))
-            if len(hit) != len(parts):  # two k-mers with one hash value: the first counts
-                _, at = np.unique(doc[hit], return_index=True)
-                hit = hit[at]
+            if len(hit) != n:  # two k-mers with one hash value: the first counts
+                _, at_first = np.unique(doc[hit], return_index=True)
+                hit = hit[at_first]
             picked.append(hit)
             v[hit] = TOP
         rank = np.sort(np.stack(picked, axis=1), axis=1)
-        acc = np.full(len(parts), (t + 1 + TABLES * salt) * 0x9FB21C651E98DF25 % (1 << 64), np.uint64)
+        acc = np.full(n, (t + 1 + TABLES * salt) * 0x9FB21C651E98DF25 % (1 << 64), np.uint64)
         for s in range(SAMPLE):
-            acc = _mix(acc + code[rank[:, s]] * join[s])
+            acc = W.mix(acc + code[rank[:, s]] * join[s])
         values[:, t] = acc
     return values, sketch
 
@@ -211,19 +189,27 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def proven(distance: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether a distance in words proves the similarity of texts with ``a`` and ``b`` different shingles."""
+    common = np.maximum(np.maximum(a, b) - SHINGLE * distance.astype(np.float64), 0)
+    return common >= threshold * np.maximum(a + b - common, 1) - 1e-9
+
+
 def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        ids = batch.column("id").to_pylist()
-        tabs = batch.column("tab").to_pylist()
-        for at in range(0, len(texts), 1024):
-            for tab in sorted(set(tabs[at : at + 1024])):
-                own = [(i, w) for i, x, t in zip(ids[at : at + 1024], texts[at : at + 1024], tabs[at : at + 1024]) if t == tab and len(w := word_codes(x)) >= MIN_WORDS]
-                if not own:
+        texts, ids, tabs = (batch.column(c).to_pylist() for c in ("text", "id", "tab"))
+        for tab in sorted(set(tabs)):
+            own = list(dict.fromkeys((i, x) for i, x, t in zip(ids, texts, tabs) if t == tab))
+            for a, b, _ in W.slabs([x for _, x in own]):
+                codes, offsets = W.word_codes([x for _, x in own[a:b]])
+                size = np.diff(offsets)
+                long = size >= MIN_WORDS
+                if not long.any():
                     continue
-                values, sketch = signatures([w for _, w in own], salt=tab)
+                codes, offsets = codes[np.repeat(long, size)], np.concatenate([[0], np.cumsum(size[long])])
+                values, sketch = signatures(codes, offsets, salt=tab)
                 sketch[:, 1] |= np.uint64(tab) << np.uint64(48)
-                keys = np.repeat(np.array([i for i, _ in own], np.int64), TABLES)
+                keys = np.repeat(np.array([i for i, _ in own[a:b]], np.int64)[long], TABLES)
                 marks = np.repeat(sketch, TABLES, axis=0).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values.reshape(-1).view(np.int64)), pa.array(keys), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy())],
@@ -234,27 +220,32 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _verifier(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-            def codes(text: str) -> tuple[np.ndarray, np.ndarray]:
-                if text not in known:
-                    words = word_codes(text)
-                    known[text] = words, np.unique(kmer_codes(words, SHINGLE))
-                return known[text]
-
-            pairs = [(codes(x), codes(y)) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
-            alike = [i for i, (x, y) in enumerate(pairs) if jaccard(x[1], y[1]) >= threshold - 1e-12]
+            left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
+            texts = list(dict.fromkeys(left + right))
+            number = {x: k for k, x in enumerate(texts)}
+            codes, offsets = W.word_codes(texts)
+            words = [codes[offsets[k] : offsets[k + 1]] for k in range(len(texts))]
+            sets: list[np.ndarray | None] = [None] * len(texts)
+
+            def shingles(k: int) -> np.ndarray:
+                if sets[k] is None:
+                    sets[k] = np.unique(kmer_codes(words[k], np.arange(max(0, len(words[k]) - SHINGLE + 1)), SHINGLE))
+                return sets[k]
+
+            pairs = np.array([(number[x], number[y]) for x, y in zip(left, right)], np.int64).reshape(-1, 2)
+            order = np.argsort([len(words[k]) for k in pairs[:, 0]], kind="stable")
             edits = np.full(len(pairs), -1, np.int64)
-            alike.sort(key=lambda i: len(pairs[i][0][0]))
-            for at in range(0, len(alike), 256):
-                own = alike[at : at + 256]
-                dist = alignment_distance([pairs[i][0][0] for i in own], [pairs[i][1][0] for i in own])
+            alike = np.zeros(len(pairs), bool)
+            for at in range(0, len(order), 256):
+                own = order[at : at + 256]
+                dist = alignment_distance([words[k] for k in pairs[own, 0]], [words[k] for k in pairs[own, 1]])
                 edits[own] = np.where(dist < FAR, dist, -1)
-            own = np.array(sorted(alike), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("tab").take(pa.array(own)), batch.column("a").take(pa.array(own)), batch.column("b").take(pa.array(own)), pa.array(edits[own])],
-                names=["tab", "a", "b", "edits"],
-            )
+                sizes = np.array([[len(shingles(k)) for k in pair] for pair in pairs[own]]).reshape(-1, 2)
+                alike[own] = proven(dist, sizes[:, 0], sizes[:, 1], threshold)
+            for i in np.flatnonzero(~alike).tolist():
+                alike[i] = jaccard(shingles(pairs[i, 0]), shingles(pairs[i, 1])) >= threshold - 1e-12
+            kept = pa.array(np.flatnonzero(alike))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in ("tab", "a", "b")), pa.array(edits[alike])], names=["tab", "a", "b", "edits"])
 
     return run
 
@@ -281,47 +272,49 @@ def prepare(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     return out
 
 
-def near_duplicates(tables: dict[str, tuple[DataFrame, str, str]], threshold: float = 0.6) -> tuple[DataFrame, DataFrame, list[str]]:
+def near_duplicates(tables: dict[str, tuple[DataFrame, str, str]], threshold: float = 0.6, least_equal: int = LEAST_EQUAL) -> tuple[DataFrame, DataFrame, list[str]]:
     """Links between different texts, and the classes of equal texts.
 
     Returns ``(links, members, names)``: ``links(tab, a, b, edits)`` holds one row per pair of class
     representatives whose shingle similarity is at least ``threshold`` (``edits`` bounds their word
-    edit distance, -1 if the alignment left its band); ``members(tab, id, rep)`` holds the ids of
-    every class of two or more equal texts. ``names[tab]`` is the table's name.
+    edit distance, -1 if the alignment left its band); ``members(tab, id, rep, n)`` holds the ids of
+    every class of two or more equal texts and its size. ``names[tab]`` is the table's name.
     """
     names = list(tables)
     rows = prepare(tables)
-    keyed = rows.select("tab", "id", F.unhex(F.md5("text")).alias("key")).groupBy("tab", "key", "id").agg(F.lit(1).alias("one"))
-    classes = keyed.groupBy("tab", "key").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    repeated = classes.filter("n > 1").select("tab", "key", "rep")
-    members = materialise(keyed.join(repeated, ["tab", "key"]).select("tab", "id", "rep"), "nd-members")
-    copies = members.filter("id <> rep").select("tab", "id").distinct()
-    texts = rows.groupBy("tab", "id").agg(F.min("text").alias("text")).join(copies, ["tab", "id"], "left_anti")
-
-    sig = texts.mapInArrow(_sign_batches, "sig long, id long, s0 long, s1 long")
+    keyed = rows.select("tab", "id", F.unhex(F.md5("text")).alias("key")).groupBy("tab", "id").agg(F.min("key").alias("key"))
+    classes = keyed.groupBy("tab", "key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    members = materialise(keyed.join(classes, ["tab", "key"]).select("tab", "id", "rep", "n"), "nd-members")
+    # only the few ids that stand for no class leave the scan; its texts aren't shuffled for it unless these ids are many
+    texts = rows.join(members.filter("id <> rep").select("tab", "id"), ["tab", "id"], "left_anti")
+
+    sig = texts.select("tab", "id", "text").mapInArrow(_sign_batches, "sig long, id long, s0 long, s1 long")
     l, r = sig.alias("l"), sig.alias("r")
     size_l, size_r = F.shiftrightunsigned(F.col("l.s0"), 48), F.shiftrightunsigned(F.col("r.s0"), 48)
     possible = (F.greatest(size_l, size_r) >= 65535) | (F.least(size_l, size_r) + 1e-9 >= threshold * F.greatest(size_l, size_r))
     found = (
         l.join(r.hint("shuffle_hash"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.id") < F.col("r.id")))
-        .filter(possible & (_agree() >= LEAST_EQUAL))
+        .filter(possible & (_agree() >= least_equal))
         # of both sides, lest an inferred filter on one side keep the two from sharing one exchange
         .select(F.greatest(F.shiftrightunsigned(F.col("l.s1"), 48), F.shiftrightunsigned(F.col("r.s1"), 48)).cast("int").alias("tab"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
         .distinct()
     )
-    first = materialise(_verify(found, texts, threshold), "nd-links")
-    both = first.select("tab", "a", "b").unionByName(first.select("tab", F.col("b").alias("a"), F.col("a").alias("b")))
+    direct = materialise(found, "nd-direct")
+    both = direct.unionByName(direct.select("tab", F.col("b").alias("a"), F.col("a").alias("b")))
     hop = both.alias("x").join(both.alias("y"), (F.col("x.tab") == F.col("y.tab")) & (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")))
-    hop = hop.select(F.col("x.tab").alias("tab"), F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
-    hop = hop.join(first, ["tab", "a", "b"], "left_anti")
-    links = first.unionByName(_verify(hop, texts, threshold))
-    return links, members, names
+    hop = hop.select(F.col("x.tab").alias("tab"), F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+    pairs = materialise(direct.unionByName(hop).distinct(), "nd-pairs")
+    return materialise(_verify(pairs, texts, threshold), "nd-links"), members, names
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    t_a = texts.select("tab", F.col("id").alias("a"), F.col("text").alias("text_a"))
-    t_b = texts.select("tab", F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(t_a, ["tab", "a"]).join(t_b, ["tab", "b"]).mapInArrow(_verifier(threshold), "tab int, a long, b long, edits long")
+    """The pairs that hold; only texts that are in one are shuffled, once for both sides."""
+    ids = pairs.select("tab", F.col("a").alias("id")).unionByName(pairs.select("tab", F.col("b").alias("id"))).distinct()
+    own = texts.join(ids, ["tab", "id"], "left_semi")
+    t_a = own.select("tab", F.col("id").alias("a"), F.col("text").alias("text_a"))
+    t_b = own.select("tab", F.col("id").alias("b"), F.col("text").alias("text_b"))
+    held = pairs.join(t_a, ["tab", "a"]).join(t_b, ["tab", "b"]).mapInArrow(_verifier(threshold), "tab int, a long, b long, edits long")
+    return held.groupBy("tab", "a", "b").agg(F.max("edits").alias("edits"))  # a repeated row is compared as often
 
 
 def expand(links: DataFrame, members: DataFrame, texts: DataFrame, names: list[str]) -> DataFrame:
@@ -340,15 +333,18 @@ def expand(links: DataFrame, members: DataFrame, texts: DataFrame, names: list[s
         .distinct()
     )
     own = members.join(long_enough, ["tab", "rep"], "left_semi")
-    within = own.alias("x").join(own.alias("y"), (F.col("x.tab") == F.col("y.tab")) & (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id")))
-    within = within.select(F.col("x.tab").alias("tab"), F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    # a class is paired in portions: one side is dealt out, the other goes to every portion
+    portions = F.ceil(F.col("n") / PORTION).cast("int")
+    one = own.select("tab", "rep", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), portions).cast("int").alias("portion"))
+    all_of = own.select("tab", "rep", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), portions - 1)).alias("portion"))
+    within = one.join(all_of, ["tab", "rep", "portion"]).filter("x < y").select("tab", "x", "y")
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("tab") + 1)
     return across.unionByName(within).select(label.alias("src"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def classes(links: DataFrame, members: DataFrame, names: list[str]) -> DataFrame:
     """Pairs between class representatives, with the number of copies each stands for."""
-    n = members.groupBy("tab", "rep").agg(F.count("*").alias("n"))
+    n = members.select("tab", "rep", "n").distinct()
     label = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("tab") + 1)
     return (
         links.join(n.select("tab", F.col("rep").alias("a"), F.col("n").alias("na")), ["tab", "a"], "left")

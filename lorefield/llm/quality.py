@@ -68,16 +68,6 @@ def _per(keys: np.ndarray, n: int, values: np.ndarray | None = None) -> np.ndarr
     return np.bincount(keys, values, n).astype(np.float64)
 
 
-def _distinct(keys: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
-    """Distinct codes per key."""
-    if not len(keys):
-        return np.zeros(n)
-    both = W.mix(codes + keys.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    order = np.argsort(both)
-    fresh = np.concatenate([[True], both[order][1:] != both[order][:-1]])
-    return _per(keys[order[fresh]], n)
-
-
 def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return part / np.maximum(whole, 1)
 
@@ -214,7 +204,7 @@ def read_page(texts: list[str], all_facts: bool = False) -> Page:
     n_words = _per(line_at, n_lines)
     letters = _per(line_at, n_lines, size)
     spoken = np.where(letters > 0, _share(_per(line_at, n_lines, size * good), letters), 1.0)
-    distinct = _distinct(line_at, codes, n_lines)
+    distinct = W.distinct(line_at, codes, n_lines)
     many = n_words >= 8
     heap = many & (_share(_per(line_at, n_lines, common), n_words) < 0.04) & ((_share(distinct, n_words) < 0.6) | (_per(line_at, n_lines, upper) == 0))
     # the last character that is neither blank nor a closing mark ends a sentence or doesn't
@@ -259,7 +249,7 @@ def read_page(texts: list[str], all_facts: bool = False) -> Page:
         triple = W.mix(tokens[:-2] * np.uint64(3) + tokens[1:-1] * np.uint64(5) + tokens[2:] * np.uint64(7))
         whole = token_doc[:-2] == token_doc[2:]
         total = _per(token_doc[:-2][whole], n)
-        once = _distinct(token_doc[:-2][whole], triple[whole], n)
+        once = W.distinct(token_doc[:-2][whole], triple[whole], n)
         repeat = np.where(total >= 10, 1 - _share(once, total), 0.0)
     solid_of = np.searchsorted(chars_of, at, side="right")
     facts = {"odd_ratio": _share(_per(solid_of, n, symbol[at]), _per(solid_of, n)), "repeat_share": repeat}
@@ -273,7 +263,7 @@ def read_page(texts: list[str], all_facts: bool = False) -> Page:
             "symbol_ratio": _share(_per(solid_of, n, ~flag(W.WORDS)[at]), _per(solid_of, n)),
             "digit_ratio": _share(_per(solid_of, n, flag(W.DIGIT)[at]), _per(solid_of, n)),
             "common_share": _share(_per(word_doc, n, common), total),
-            "distinct_share": _share(_distinct(word_doc, codes if len(word_doc) else codes[:0], n), total),
+            "distinct_share": _share(W.distinct(word_doc, codes if len(word_doc) else codes[:0], n), total),
         }
     return Page(
         n, lines, doc, indent, (last - first).astype(np.float64), spoken, _share(count(symbol), body), _share(count(flag(W.NOISE) & solid), body),

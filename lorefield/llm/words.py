@@ -76,6 +76,27 @@ def span_codes(cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(np.add.reduceat(chars * weight, first) + size.astype(np.uint64))
 
 
+def distinct(keys: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """How many different codes each of the keys 0..n-1 has."""
+    if not len(keys):
+        return np.zeros(n, np.int64)
+    order = np.argsort(mixed := mix(codes + keys.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+    fresh = np.concatenate([[True], mixed[order][1:] != mixed[order][:-1]])
+    return np.bincount(keys[order[fresh]], minlength=n)
+
+
+def windows(offsets: np.ndarray, size: int) -> np.ndarray:
+    """Positions at which ``size`` consecutive words of one text begin."""
+    n = int(offsets[-1]) - size + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    inside = np.ones(n, bool)
+    for k in range(1, size):  # a window must not begin in one text and end in another
+        cut = offsets[1:-1] - k
+        inside[cut[(cut >= 0) & (cut < n)]] = False
+    return np.flatnonzero(inside)
+
+
 def slabs(texts: list[str]):
     """(first, last, text) groups of consecutive texts of at most about ``SLAB`` characters, joined by newlines."""
     at = 0

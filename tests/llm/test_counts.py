@@ -65,6 +65,31 @@ def test_near_duplicates_of_empty_tables(spark):
     assert near_dup.expand(links, members, near_dup.prepare(tables), names).count() == 0
 
 
+def test_a_large_class_is_paired_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "PORTION", 4)
+    text = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(i, text) for i in range(23)] + [(30, text + " more")], "chunk_id long, text string")
+    tables = {"chunk": (df, "chunk_id", "text")}
+    links, members, names = near_dup.near_duplicates(tables)
+    got = [(r["id_a"], r["id_b"]) for r in near_dup.expand(links, members, near_dup.prepare(tables), names).collect()]
+    ids = [*range(23), 30]
+    assert sorted(got) == [(a, b) for a in ids for b in ids if a < b]
+    assert {r["edits"] for r in links.collect()} == {1}
+
+
+def test_a_distance_proves_no_more_than_the_shingles_hold():
+    r = random.Random(9)
+    for _ in range(400):
+        a = [r.randrange(30) for _ in range(r.randrange(20, 60))]
+        b = list(a)
+        for _ in range(r.randrange(0, 9)):
+            way, at = r.randrange(3), r.randrange(len(b))
+            b[at : at + (way != 1)] = [] if way == 0 else [r.randrange(30, 40)]
+        x, y = (set(zip(w, w[1:], w[2:])) for w in (a, b))
+        if near_dup.proven(np.array([edit_distance(a, b)]), np.array([len(x)]), np.array([len(y)]), 0.6)[0]:
+            assert len(x & y) >= 0.6 * len(x | y)
+
+
 def edit_distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
