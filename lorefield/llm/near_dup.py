@@ -14,7 +14,7 @@ Candidates
     agree too rarely (``least_equal`` of ``TABLES``; a pair at the threshold fails the default about
     three times in ten thousand; 0 switches the test off).
 Closure
-    Two texts that are both candidates with a third are a candidate pair too; this finds most of the few
+    Two texts that are both likely candidates with a third are a candidate pair too; this finds most of the few
     pairs that no table brought together.
 Verification
     All candidates at once, over the texts that are in one. A pair is aligned within a band around the diagonal, in
@@ -47,6 +47,8 @@ TABLES = 32
 MIN_WORDS = 20
 BAND = 12
 LEAST_EQUAL = 9
+#: Minima that agree in a candidate pair over which the closure goes: most pairs at the threshold have more.
+HOP_EQUAL = 14
 FAR = 1 << 28
 #: Members of a class of equal texts that are paired in one task.
 PORTION = 2000
@@ -296,11 +298,13 @@ def near_duplicates(tables: dict[str, tuple[DataFrame, str, str]], threshold: fl
         l.join(r.hint("shuffle_hash"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.id") < F.col("r.id")))
         .filter(possible & (_agree() >= least_equal))
         # of both sides, lest an inferred filter on one side keep the two from sharing one exchange
-        .select(F.greatest(F.shiftrightunsigned(F.col("l.s1"), 48), F.shiftrightunsigned(F.col("r.s1"), 48)).cast("int").alias("tab"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        .distinct()
+        .select(F.greatest(F.shiftrightunsigned(F.col("l.s1"), 48), F.shiftrightunsigned(F.col("r.s1"), 48)).cast("int").alias("tab"), F.col("l.id").alias("a"), F.col("r.id").alias("b"), _agree().alias("equal"))
+        .groupBy("tab", "a", "b")
+        .agg(F.max("equal").alias("equal"))
     )
     direct = materialise(found, "nd-direct")
-    both = direct.unionByName(direct.select("tab", F.col("b").alias("a"), F.col("a").alias("b")))
+    likely, direct = direct.filter(F.col("equal") >= min(HOP_EQUAL, TABLES)).drop("equal"), direct.drop("equal")
+    both = likely.unionByName(likely.select("tab", F.col("b").alias("a"), F.col("a").alias("b")))
     hop = both.alias("x").join(both.alias("y"), (F.col("x.tab") == F.col("y.tab")) & (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")))
     hop = hop.select(F.col("x.tab").alias("tab"), F.col("x.b").alias("a"), F.col("y.b").alias("b"))
     pairs = materialise(direct.unionByName(hop).distinct(), "nd-pairs")
