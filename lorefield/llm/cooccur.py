@@ -1,21 +1,26 @@
 """Items that appear together: an incremental table of pair counts in hash buckets.
 
-State (Parquet tables in one folder, replaced as a whole by each update):
-``baskets(basket, item)``, ``marginals(item, n)``, ``tracked(item)``, ``big(basket)`` and
-``pairs(bucket, item_a, item_b, n)``, the last partitioned by ``bucket``, a hash of the pair.
+State: Parquet tables below one folder, each partitioned by a hash ``bucket`` of its key.
+``baskets(basket, item)``, ``marginals(item, n, tracked)``, ``pairs(item_a, item_b, n)`` without the big baskets,
+``scores(item_a, item_b, n_ab, n_a, n_b)`` of all pairs that meet often enough, and ``big(basket)``. An update writes the
+buckets that it touches into a new version; every other bucket stays the files of the version that wrote it last.
 
 Update
-    Changed baskets are compared with their stored content; every added or removed item gives a
-    signed marginal delta, every changed basket the signed pairs of its old and new content. Deltas
-    are summed by hash before the shuffle and merged into the stored counts; pairs of items that
-    become frequent only now are counted afresh from the baskets that hold them. Scores are then
-    recomputed for the pairs that a delta or a changed marginal touches.
+    Changed baskets are compared with their stored content. What was added or removed gives signed
+    marginal deltas; their old and new content gives signed pairs. Deltas are summed by hash before
+    the shuffle and merged into the stored counts of the buckets they fall into. Scores are recomputed for the pairs
+    with an item that was added or removed anywhere, and for no others; the rule is applied when they are
+    read, as it depends on the number of baskets.
 Pruning, exact for the rule n(a,b) >= floor
-    n(a,b) <= n(a), so only items in at least ``floor`` baskets are tracked. Baskets are split by
-    size: at most ``floor - 1`` baskets are *big*; a pair that occurs ``floor`` times is in at least
-    one other basket, so big baskets enumerate no pairs. They only add to the pairs that the others
-    have produced, by two equi-joins. The others are at most ``limit`` items long, so their pairs
-    are linear in the input.
+    n(a,b) <= n(a), so pairs are counted of *tracked* items only: those that have been in at least ``low`` baskets and
+    in no more than ``high``, two bounds set when all baskets are loaded (the floor, and twice the most baskets
+    an item of an associated pair can be in). An item that becomes tracked later has its baskets
+    looked up in all buckets, and its pairs counted there. When the number of baskets has moved so far that the
+    bounds no longer hold, the pairs are counted anew from the stored baskets.
+    Baskets are split by size: at most ``low - 1`` baskets are *big*; a pair that occurs ``low`` times is in at least
+    one other basket, so big baskets enumerate no pairs. They only add to the pairs that the others have
+    produced: an item's big baskets are a list of at most ``low - 1``, and two lists are intersected. The size limit is
+    thus a quantile of the sizes: it follows their distribution, not their number.
 
 Edge cases: null baskets and empty items take no part; a repeated contribution counts once; an empty
 table gives empty counts; ties need no rule, as every pair above the thresholds is returned.
@@ -23,15 +28,23 @@ table gives empty counts; ties need no rule, as every pair above the thresholds
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorefield.session import scratch_path
 
 BUCKETS = 16
 LEAST_LIMIT = 32
+SCHEMAS = {
+    "baskets": "basket long, item string",
+    "marginals": "item string, n long, tracked boolean",
+    "pairs": "item_a string, item_b string, n long",
+    "scores": "item_a string, item_b string, n_ab long, n_a long, n_b long",
+    "big": "basket long",
+}
+KEYS = {"baskets": ("basket",), "marginals": ("item",), "pairs": ("item_a", "item_b"), "scores": ("item_a", "item_b"), "big": ("basket",)}
 
 
 @dataclass(frozen=True)
@@ -46,6 +59,17 @@ class Rule:
         return max(self.least, -(-baskets // self.share), 1)
 
 
+@dataclass(frozen=True)
+class Facts:
+    """Baskets with an item, the bounds of tracking, the size limit, and how many baskets are over it."""
+
+    total: int = 0
+    low: int = 0
+    high: int = 0
+    limit: int = LEAST_LIMIT
+    big: int = 0
+
+
 def _pairs_of(rows: DataFrame) -> DataFrame:
     """Pairs (item_a < item_b) within each basket of ``rows(basket, item, sign)``.
 
@@ -70,123 +94,158 @@ def _size_limit(sizes: DataFrame, floor: int) -> int:
     return limit
 
 
-class PairTable:
-    """Persistent pair counts; ``update`` writes a new version of the table and returns it."""
+def _bucket(name: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*KEYS[name]), F.lit(buckets)).cast("int").alias("bucket")
 
-    def __init__(self, spark: SparkSession, path: str | None = None, rule: Rule = Rule(), version: int = -1):
-        self.spark, self.rule, self.version = spark, rule, version
-        self.root = path or scratch_path(spark, "pair-table")
 
-    def _at(self, name: str, version: int | None = None) -> str:
-        return f"{self.root}/v{self.version if version is None else version}/{name}"
+class PairTable:
+    """Persistent pair counts; ``update`` writes what changes and returns the new state."""
 
-    def table(self, name: str) -> DataFrame:
-        schema = {"pairs": "item_a string, item_b string, n long, bucket int", "marginals": "item string, n long", "tracked": "item string"}.get(name)
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)  # a partitioned table may be empty
-        return reader.parquet(self._at(name))
+    def __init__(self, spark: SparkSession, path: str | None = None, rule: Rule = Rule(), buckets: int = BUCKETS):
+        self.spark, self.rule, self.buckets = spark, rule, buckets
+        self.root = path or scratch_path(spark, "pair-table")
+        self.version, self.facts = -1, Facts()
+        self.files: dict[str, dict[int, int]] = {name: {} for name in SCHEMAS}  # the version that wrote a bucket
+
+    def table(self, name: str, buckets: set[int] | None = None) -> DataFrame:
+        """A table, or some of its buckets."""
+        own = {k: v for k, v in self.files[name].items() if buckets is None or k in buckets}
+        if not own:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/v{v}/{name}/bucket={k}" for k, v in sorted(own.items())])
+
+    def _write(self, name: str, rows: DataFrame, touched: set[int] | None) -> None:
+        """Replace the touched buckets (all, if None) by ``rows``, which holds all rows of these buckets."""
+        path, key = f"{self.root}/v{self.version}/{name}", KEYS[name][-1]
+        salts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        spread = rows.withColumn("bucket", _bucket(name, self.buckets)).repartition("bucket", F.pmod(F.xxhash64(F.lit(1), key), F.lit(salts)))
+        spread.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = there.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(there)
+        fresh = {int(n.split("=")[1]): self.version for s in found if (n := s.getPath().getName()).startswith("bucket=")}
+        kept = {} if touched is None else {k: v for k, v in self.files[name].items() if k not in touched}
+        self.files[name] = kept | fresh
+
+    def _note(self, name: str, rows: DataFrame) -> DataFrame:
+        """What an update uses more than once is written beside the tables."""
+        path = f"{self.root}/v{self.version}/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _touched(self, name: str, rows: DataFrame) -> set[int]:
+        """The buckets that rows fall into: at most ``buckets`` numbers."""
+        return {r["bucket"] for r in rows.select(_bucket(name, self.buckets)).distinct().collect()}
 
     def update(self, changed: DataFrame) -> PairTable:
         """Merge ``changed(basket, item)``: the whole new content of every basket it names.
 
         A row with a null or empty item stands for a basket that has lost all its items.
         """
-        spark, rule = self.spark, self.rule
-        new = PairTable(spark, self.root, rule, self.version + 1)
-        content = changed.filter(F.col("basket").isNotNull()).select("basket", F.coalesce("item", F.lit("")).alias("item")).distinct()
-        fresh = content.filter("item <> ''")
+        new = PairTable(self.spark, self.root, self.rule, self.buckets)
+        new.version, new.files, new.facts = self.version + 1, {k: dict(v) for k, v in self.files.items()}, self.facts
+        content = changed.filter(F.col("basket").isNotNull()).select(F.col("basket").cast("long").alias("basket"), F.coalesce("item", F.lit("")).alias("item")).distinct()
         if self.version < 0:
-            old_all = old = None
-            fresh.write.parquet(new._at("baskets"))
-            deltas = fresh.select("item", F.lit(1).alias("d"))
-        else:
-            old_all = self.table("baskets")
-            named = content.select("basket").distinct()
-            old = old_all.join(named, "basket", "left_semi")
-            old_all.join(named, "basket", "left_anti").unionByName(fresh).write.parquet(new._at("baskets"))
-            deltas = fresh.select("item", F.lit(1).alias("d")).unionByName(old.select("item", F.lit(-1).alias("d")))
-        merged = deltas.groupBy("item").agg(F.sum("d").alias("d"))
-        if old is not None:
-            merged = merged.unionByName(self.table("marginals").select("item", F.col("n").alias("d"))).groupBy("item").agg(F.sum("d").alias("d"))
-        merged.filter("d > 0").select("item", F.col("d").alias("n")).write.parquet(new._at("marginals"))
-
-        baskets = new.table("baskets")
-        total = baskets.select("basket").distinct().count()
-        floor = rule.floor(total)
-        # n(a,b) <= min(n(a), n(b)), so a pair of lift 4 has no item in more than N/lift baskets
-        tracked = new.table("marginals").filter((F.col("n") >= floor) & (F.col("n") * rule.lift <= total))
-        tracked.select("item").write.parquet(new._at("tracked"))
-        tracked = new.table("tracked")
-
-        sizes = baskets.join(tracked, "item", "left_semi").groupBy("basket").agg(F.count("*").alias("n"))
-        limit = _size_limit(sizes, floor)
-        sizes.filter(F.col("n") > limit).select("basket").write.parquet(new._at("big"))
-        big = new.table("big")
-        spark.createDataFrame([(total, floor, limit)], "total long, floor long, size_limit long").write.parquet(new._at("facts"))
-
-        def usable(rows: DataFrame) -> DataFrame:
-            return rows.join(tracked, "item", "left_semi").join(big, "basket", "left_anti")
-
-        if old is None:
-            signed = _pairs_of(usable(baskets).withColumn("sign", F.lit(1)))
-            stored = None
-        else:
-            before, big_before = self.table("tracked"), self.table("big")
-            newly = tracked.join(before, "item", "left_anti")
-            # baskets that cross the size limit count as changed as well
-            crossing = big.join(big_before, "basket", "left_anti").unionByName(big_before.join(big, "basket", "left_anti"))
-            touched = content.select("basket").unionByName(crossing).distinct()
-            was = old_all.join(touched, "basket", "left_semi").join(big_before, "basket", "left_anti")
-            was = was.join(before, "item", "left_semi").join(newly, "item", "left_anti")
-            now = usable(baskets.join(touched, "basket", "left_semi")).join(newly, "item", "left_anti")
-            delta = _pairs_of(was.withColumn("sign", F.lit(-1)).unionByName(now.withColumn("sign", F.lit(1))))
-            holds_new = baskets.join(newly, "item", "left_semi").select("basket").distinct()
-            afresh = _pairs_of(usable(baskets.join(holds_new, "basket", "left_semi")).withColumn("sign", F.lit(1)))
-            marked = newly.select(F.col("item").alias("fresh_item"))
-            one = afresh.join(marked.withColumn("a", F.lit(1)), F.col("item_a") == F.col("fresh_item"), "left").drop("fresh_item")
-            one = one.join(marked.withColumn("b", F.lit(1)), F.col("item_b") == F.col("fresh_item"), "left").drop("fresh_item")
-            afresh = one.filter("a is not null or b is not null").select("sign", "item_a", "item_b")
-            signed = delta.unionByName(afresh)
-            gone = before.join(tracked, "item", "left_anti")
-            stored = self.table("pairs").select("item_a", "item_b", F.col("n").alias("sign"))
-            stored = stored.join(gone.withColumnRenamed("item", "item_a"), "item_a", "left_anti").join(gone.withColumnRenamed("item", "item_b"), "item_b", "left_anti")
-            signed = signed.join(gone.withColumnRenamed("item", "item_a"), "item_a", "left_anti").join(gone.withColumnRenamed("item", "item_b"), "item_b", "left_anti")
-        summed = signed.groupBy("item_a", "item_b").agg(F.sum("sign").alias("n"))
-        if stored is not None:
-            summed = summed.unionByName(stored.withColumnRenamed("sign", "n").select("item_a", "item_b", "n")).groupBy("item_a", "item_b").agg(F.sum("n").alias("n"))
-        bucket = F.pmod(F.xxhash64("item_a", "item_b"), F.lit(BUCKETS)).cast("int")
-        kept = summed.filter("n > 0").withColumn("bucket", bucket)
-        kept.repartition("bucket", F.pmod(F.xxhash64("item_b"), F.lit(8))).write.partitionBy("bucket").parquet(new._at("pairs"))
+            new._write("baskets", content.filter("item <> ''"), None)
+            return new._recount()
+        content = new._note("changed", content)
+        touched = new._touched("baskets", content)
+        stored, named = self.table("baskets", touched), content.select("basket").distinct()
+        old, fresh = stored.join(named, "basket", "left_semi"), content.filter("item <> ''")
+        new._write("baskets", stored.join(named, "basket", "left_anti").unionByName(fresh), touched)
+        sign = lambda rows, d: rows.select("basket", "item", F.lit(d).alias("d"))
+        moved = sign(fresh, 1).unionByName(sign(old, -1)).groupBy("basket", "item").agg(F.sum("d").alias("d")).filter("d <> 0")
+        moved = new._note("moved", moved.groupBy("item").agg(F.sum("d").alias("d")))
+        gained, lost = (rows.agg(F.count_distinct("basket")).first()[0] for rows in (fresh, old))
+        new.facts = replace(self.facts, total=self.facts.total + gained - lost)
+
+        of_items = new._touched("marginals", moved)
+        before = self.table("marginals", of_items)
+        merged = before.unionByName(moved.select("item", F.col("d").alias("n"), F.lit(False).alias("tracked"))).groupBy("item").agg(F.sum("n").alias("n"), F.max("tracked").alias("was"))
+        inside = (F.col("n") >= self.facts.low) & (F.col("n") <= self.facts.high)
+        new._write("marginals", merged.filter("n > 0 or was").select("item", "n", (F.col("was") | inside).alias("tracked")), of_items)
+        size = fresh.groupBy("basket").agg(F.count("*").alias("n")).filter(F.col("n") > self.facts.limit).select("basket")
+        new._write("big", self.table("big").join(named, "basket", "left_anti").unionByName(size), None)
+        new.facts = replace(new.facts, big=new.table("big").count())
+        if not new._holds():
+            return new._recount()
+
+        was_tracked = self.table("marginals").filter("tracked").select("item")
+        newly = new._note("newly", new.table("marginals", of_items).filter("tracked").select("item").join(before.filter("tracked").select("item"), "item", "left_anti"))
+        small = lambda rows, state: rows if not state.facts.big else rows.join(state.table("big"), "basket", "left_anti")
+        tracked = lambda rows: rows.join(was_tracked, "item", "left_semi")
+        one = lambda rows, d: rows.select("basket", "item", F.lit(d).alias("sign"))
+        signed = _pairs_of(one(tracked(small(old, self)), -1).unionByName(one(tracked(small(fresh, new)), 1)))
+        if not newly.isEmpty():
+            holders = new.table("baskets").join(newly, "item", "left_semi").select("basket").distinct()
+            own = small(new.table("baskets").join(holders, "basket", "left_semi"), new).join(new.table("marginals").filter("tracked").select("item"), "item", "left_semi")
+            mark = lambda c: newly.select(F.col("item").alias(c), F.lit(True).alias(f"new_{c}"))
+            afresh = _pairs_of(one(own, 1)).join(mark("item_a"), "item_a", "left").join(mark("item_b"), "item_b", "left")
+            signed = signed.unionByName(afresh.filter("new_item_a or new_item_b").select("sign", "item_a", "item_b"))
+        delta = new._note("delta", signed.groupBy("item_a", "item_b").agg(F.sum("sign").alias("n")).filter("n <> 0"))
+        of_pairs = new._touched("pairs", delta)
+        summed = self.table("pairs", of_pairs).unionByName(delta.select("item_a", "item_b", "n")).groupBy("item_a", "item_b").agg(F.sum("n").alias("n"))
+        new._write("pairs", summed.filter("n > 0"), of_pairs)
+
+        # a score can only have changed where an item was added or removed
+        items = moved.select("item").unionByName(newly).distinct()
+        every = new.table("pairs").select("item_a", "item_b").unionByName(self.table("scores").select("item_a", "item_b"))
+        hit = lambda c: every.join(items.withColumnRenamed("item", c), c, "left_semi").select("item_a", "item_b")
+        affected = new._note("affected", hit("item_a").unionByName(hit("item_b")).distinct())
+        of_scores = new._touched("scores", affected)
+        kept = self.table("scores", of_scores).join(affected, ["item_a", "item_b"], "left_anti")
+        new._write("scores", kept.unionByName(new._scores(affected)), of_scores)
         return new
 
-    def counts(self) -> DataFrame:
-        """(item_a, item_b, n_ab): stored counts plus what the big baskets add to them."""
-        pairs = self.table("pairs").select("item_a", "item_b", "n")
-        inside = self.table("baskets").join(self.table("big"), "basket", "left_semi").join(self.table("tracked"), "item", "left_semi")
-        a = inside.select("basket", F.col("item").alias("item_a"))
-        b = inside.select("basket", F.col("item").alias("item_b"))
-        more = pairs.select("item_a", "item_b").join(a, "item_a").join(b, ["basket", "item_b"]).groupBy("item_a", "item_b").agg(F.count("*").alias("n"))
-        both = pairs.unionByName(more)
-        return both.groupBy("item_a", "item_b").agg(F.sum("n").alias("n_ab"))
-
-    def scores(self, changed_items: DataFrame | None = None) -> DataFrame:
-        """(item_a, item_b, n_a, n_b, n_ab, total, lift) of all pairs, or of those with a changed item."""
-        counts = self.counts()
-        if changed_items is not None:
-            hit = changed_items.select("item").distinct()
-            left = counts.join(hit.withColumnRenamed("item", "item_a"), "item_a", "left_semi")
-            right = counts.join(hit.withColumnRenamed("item", "item_b"), "item_b", "left_semi")
-            counts = left.unionByName(right).distinct()
+    def _holds(self) -> bool:
+        """Whether the bounds of tracking are still exact for the number of baskets there are."""
+        f = self.facts
+        return f.low <= self.rule.floor(f.total) and f.total <= f.high * self.rule.lift and f.big < f.low
+
+    def _recount(self) -> PairTable:
+        """Set the bounds, and count everything from the stored baskets."""
+        baskets, rule = self.table("baskets"), self.rule
+        sizes = self._note("sizes", baskets.groupBy("basket").agg(F.count("*").alias("n")))
+        total = sizes.count()
+        low = rule.floor(total)
+        limit = _size_limit(sizes, low)
+        self._write("big", sizes.filter(F.col("n") > limit).select("basket"), None)
+        self.facts = Facts(total, low, max(1, -(-2 * total // rule.lift)), limit, self.table("big").count())
+        inside = (F.col("n") >= low) & (F.col("n") <= self.facts.high)
+        self._write("marginals", baskets.groupBy("item").agg(F.count("*").alias("n")).withColumn("tracked", inside), None)
+        own = baskets.join(self.table("marginals").filter("tracked").select("item"), "item", "left_semi")
+        own = own.join(self.table("big"), "basket", "left_anti") if self.facts.big else own
+        pairs = _pairs_of(own.withColumn("sign", F.lit(1)))
+        self._write("pairs", pairs.groupBy("item_a", "item_b").agg(F.sum("sign").alias("n")), None)
+        self._write("scores", self._scores(None), None)
+        return self
+
+    def _scores(self, affected: DataFrame | None) -> DataFrame:
+        """Scores of the affected pairs (all, if None), with what the big baskets add to them."""
+        counts = self.table("pairs")
+        counts = counts if affected is None else counts.join(affected, ["item_a", "item_b"], "left_semi")
+        n_ab = F.col("n")
+        if self.facts.big:
+            big = self.table("big")
+            inside = self.table("baskets", self._touched("baskets", big)).join(big, "basket", "left_semi")
+            lists = inside.groupBy("item").agg(F.collect_set("basket").alias("in_big"))  # fewer than low each
+            for side in ("item_a", "item_b"):
+                counts = counts.join(lists.select(F.col("item").alias(side), F.col("in_big").alias(f"big_{side}")), side, "left")
+            n_ab = n_ab + F.coalesce(F.size(F.array_intersect("big_item_a", "big_item_b")), F.lit(0))
+        counts = counts.select("item_a", "item_b", n_ab.cast("long").alias("n_ab")).filter(F.col("n_ab") >= self.rule.least)
         m = self.table("marginals")
-        total = self.table("facts").first()["total"]
-        out = counts.join(m.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a")
-        out = out.join(m.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b").withColumn("total", F.lit(total).cast("long"))
-        lift = F.col("n_ab") * F.col("total") / (F.col("n_a").cast("double") * F.col("n_b"))
-        return out.select("item_a", "item_b", "n_a", "n_b", "n_ab", "total", lift.alias("lift"))
+        for side, name in (("item_a", "n_a"), ("item_b", "n_b")):
+            counts = counts.join(m.select(F.col("item").alias(side), F.col("n").alias(name)), side)
+        return counts.select("item_a", "item_b", "n_ab", "n_a", "n_b")
+
+    def scores(self) -> DataFrame:
+        """(item_a, item_b, n_ab, n_a, n_b, lift) of all pairs that meet at least ``least`` times."""
+        lift = F.col("n_ab") * F.lit(self.facts.total).cast("double") / (F.col("n_a").cast("double") * F.col("n_b"))
+        return self.table("scores").withColumn("lift", lift)
 
     def associated(self) -> DataFrame:
         """The scored pairs that satisfy the rule."""
-        r = self.rule
-        wide = lambda c: F.col(c).cast("decimal(38,0)")  # noqa: E731 - products of counts outgrow a long
+        r, total = self.rule, F.lit(self.facts.total)
+        wide = lambda c: c.cast("decimal(38,0)")  # noqa: E731 - products of counts outgrow a long
         return self.scores().filter(
-            (F.col("n_ab") >= r.least) & (F.col("n_ab") * r.share >= F.col("total")) & (wide("n_ab") * wide("total") >= r.lift * wide("n_a") * wide("n_b"))
+            (F.col("n_ab") >= r.least) & (F.col("n_ab") * r.share >= total) & (wide(F.col("n_ab")) * wide(total) >= r.lift * wide(F.col("n_a")) * wide(F.col("n_b")))
         )

@@ -32,17 +32,27 @@ def _items(rows: DataFrame) -> DataFrame:
     return rows.select("basket", F.concat_ws("=", "t", "v").alias("item"))
 
 
+def _in_steps(spark: SparkSession, sf: str, late: str) -> cooccur.PairTable:
+    """The pair table of an earlier state, without the contributions of one origin, and then of the baskets these change."""
+    rows = read_table(spark, sf, "tag_values")
+    own = F.lower(F.coalesce("origin", F.lit(""))) == late
+    table = cooccur.PairTable(spark).update(_items(rows.filter(~own)))
+    changed = rows.filter(own & F.col("chunk_id").isNotNull()).select("chunk_id").distinct()
+    return table.update(_items(rows.join(changed, "chunk_id", "left_semi")))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    table = cooccur.PairTable(spark).update(_items(read_table(spark, sf, "tag_values")))
-    return table.associated().select("item_a", "item_b")
+    return _in_steps(spark, sf, "tmp").associated().select("item_a", "item_b")
 
 
 def p2_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """The same result in two steps: first without the tmp contributions, then with the baskets they change."""
+    """The same result with a detour: the late contributions are taken back and given again."""
     rows = read_table(spark, sf, "tag_values")
-    tmp = F.lower(F.coalesce("origin", F.lit(""))) == "tmp"
-    table = cooccur.PairTable(spark).update(_items(rows.filter(~tmp)))
-    changed = rows.filter(tmp & F.col("chunk_id").isNotNull()).select("chunk_id").distinct()
+    own = F.lower(F.coalesce("origin", F.lit(""))) == "tmp"
+    changed = rows.filter(own & F.col("chunk_id").isNotNull()).select("chunk_id").distinct()
+    named = changed.select(F.col("chunk_id").alias("basket"), F.lit("").alias("item"))
+    table = _in_steps(spark, sf, "tmp")
+    table = table.update(_items(rows.filter(~own).join(changed, "chunk_id", "left_semi")).unionByName(named))
     table = table.update(_items(rows.join(changed, "chunk_id", "left_semi")))
     return table.associated().select("item_a", "item_b", "n_a", "n_b", "n_ab")
 
