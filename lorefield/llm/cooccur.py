@@ -81,17 +81,20 @@ def _pairs_of(rows: DataFrame) -> DataFrame:
     return rest.select("sign", "item_a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("item_b"))
 
 
-def _size_limit(sizes: DataFrame, floor: int) -> int:
-    """The smallest power of two, from ``LEAST_LIMIT``, that fewer than ``floor`` baskets exceed."""
-    # one row per power of two: at most some forty rows come to the driver
-    rows = sizes.groupBy(F.ceil(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("baskets")).collect()
+def _size_limit(sizes: dict[int, int], floor: int) -> tuple[int, int]:
+    """The smallest power of two, from ``LEAST_LIMIT``, that fewer than ``floor`` baskets exceed, and how many exceed it.
+
+    ``sizes`` counts the baskets by the power of two that their size doesn't exceed.
+    """
     above, limit = 0, LEAST_LIMIT
-    for r in sorted(rows, key=lambda r: -r["power"]):
-        if above + r["baskets"] >= floor:
-            limit = max(limit, 2 ** r["power"])
+    for power in sorted(sizes, reverse=True):
+        if 2**power <= LEAST_LIMIT:
+            break
+        if above + sizes[power] >= floor:
+            limit = 2**power
             break
-        above += r["baskets"]
-    return limit
+        above += sizes[power]
+    return limit, above
 
 
 def _bucket(name: str, buckets: int) -> Column:
@@ -155,17 +158,19 @@ class PairTable:
         sign = lambda rows, d: rows.select("basket", "item", F.lit(d).alias("d"))
         moved = sign(fresh, 1).unionByName(sign(old, -1)).groupBy("basket", "item").agg(F.sum("d").alias("d")).filter("d <> 0")
         moved = new._note("moved", moved.groupBy("item").agg(F.sum("d").alias("d")))
-        gained, lost = (rows.agg(F.count_distinct("basket")).first()[0] for rows in (fresh, old))
-        new.facts = replace(self.facts, total=self.facts.total + gained - lost)
+        sized = fresh.select("basket", F.lit(1).alias("side")).unionByName(old.select("basket", F.lit(0).alias("side"))).groupBy("basket", "side").agg(F.count("*").alias("n"))
+        over = (F.col("side") == 1) & (F.col("n") > self.facts.limit)
+        growth, large = sized.agg(F.sum(2 * F.col("side") - 1), F.count(F.when(over, 1))).first()
+        new.facts = replace(self.facts, total=self.facts.total + (growth or 0))
 
         of_items = new._touched("marginals", moved)
         before = self.table("marginals", of_items)
         merged = before.unionByName(moved.select("item", F.col("d").alias("n"), F.lit(False).alias("tracked"))).groupBy("item").agg(F.sum("n").alias("n"), F.max("tracked").alias("was"))
         inside = (F.col("n") >= self.facts.low) & (F.col("n") <= self.facts.high)
         new._write("marginals", merged.filter("n > 0 or was").select("item", "n", (F.col("was") | inside).alias("tracked")), of_items)
-        size = fresh.groupBy("basket").agg(F.count("*").alias("n")).filter(F.col("n") > self.facts.limit).select("basket")
-        new._write("big", self.table("big").join(named, "basket", "left_anti").unionByName(size), None)
-        new.facts = replace(new.facts, big=new.table("big").count())
+        if large or self.facts.big:
+            new._write("big", self.table("big").join(named, "basket", "left_anti").unionByName(sized.filter(over).select("basket")), None)
+            new.facts = replace(new.facts, big=new.table("big").count())
         if not new._holds():
             return new._recount()
 
@@ -205,11 +210,15 @@ class PairTable:
         """Set the bounds, and count everything from the stored baskets."""
         baskets, rule = self.table("baskets"), self.rule
         sizes = self._note("sizes", baskets.groupBy("basket").agg(F.count("*").alias("n")))
-        total = sizes.count()
+        # one row per power of two: at most some forty rows come to the driver
+        by_power = {r["power"]: r["baskets"] for r in sizes.groupBy(F.ceil(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("baskets")).collect()}
+        total = sum(by_power.values())
         low = rule.floor(total)
-        limit = _size_limit(sizes, low)
-        self._write("big", sizes.filter(F.col("n") > limit).select("basket"), None)
-        self.facts = Facts(total, low, max(1, -(-2 * total // rule.lift)), limit, self.table("big").count())
+        limit, big = _size_limit(by_power, low)
+        self.facts = Facts(total, low, max(1, -(-2 * total // rule.lift)), limit, big)
+        self.files["big"] = {}
+        if big:
+            self._write("big", sizes.filter(F.col("n") > limit).select("basket"), None)
         inside = (F.col("n") >= low) & (F.col("n") <= self.facts.high)
         self._write("marginals", baskets.groupBy("item").agg(F.count("*").alias("n")).withColumn("tracked", inside), None)
         own = baskets.join(self.table("marginals").filter("tracked").select("item"), "item", "left_semi")
