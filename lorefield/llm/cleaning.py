@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EDGE = "^[ \\t\\u00a0]+|[ \\t\\u00a0]+$"
+EDGE = " \t\u00a0"
 
 
 def clean_value(value: Column) -> Column:
     """Strip spaces, tabs and no-break spaces at both ends; null becomes empty."""
-    return F.regexp_replace(F.coalesce(value, F.lit("")), EDGE, "")
+    return F.btrim(F.coalesce(value, F.lit("")), F.lit(EDGE))
 
 
 def clean_tag(tag: Column) -> Column:
     """Strip, lower-case, then drop one leading ``@`` and one trailing ``:``; null becomes empty."""
-    return F.regexp_replace(F.lower(clean_value(tag)), "^@|:$", "")
+    low = F.lower(clean_value(tag))
+    at = F.when(low.startswith("@"), 2).otherwise(1)
+    return F.substring(low, at, F.length(low) - at + F.when(low.endswith(":"), 0).otherwise(1))
 
 
 def clean_sql(expr: str, tag: bool = False) -> str:

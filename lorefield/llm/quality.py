@@ -53,10 +53,10 @@ ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{32,}|(?:[0-9a-fA-F]{2}[\s:]?){16,}|(?:%[
 BREAK = re.compile(r"\r\n?")
 DELIMITERS = "|│\t;,"
 LAGS = 12
-#: Weights of (1, mean length / 40, share of lines near the longest, share of short open lines, share of lines with an inner
+#: Weights of (1, mean of the mean and the median length / 40, share of lines near the longest, share of short open lines, share of lines with an inner
 #: sentence end, recurrence of the lengths, recurrence of the indents); a positive sum makes a list. The first five are fitted
 #: by ``fit_entries``; no labelled document has recurring lengths or indents, so the last two are set by hand.
-ENTRY = np.array([2.05, -4.65, -2.96, 3.34, -1.97, 4.0, 8.0])
+ENTRY = np.array([1.82, -4.95, -2.42, 3.2, -1.79, 4.0, 8.0])
 STATISTICS = (
     "n_chars n_words mean_word_length symbol_ratio digit_ratio end_punct_share common_share distinct_share "
     "n_lines mean_line_length line_spread line_autocorrelation indent_period delimiter_alignment bullet_share repeat_share"
@@ -304,9 +304,13 @@ def entry_evidence(page: Page, open_lines: np.ndarray) -> tuple[np.ndarray, np.n
     longest = np.zeros(page.n)
     np.maximum.at(longest, doc, size)
     short = (size <= 60) & ~page.ends[open_lines]
-    mean = _share(_per(doc, page.n, size), count)
     near = _share(_per(doc, page.n, size >= 0.75 * longest[doc]), count)
-    parts = (np.ones(page.n), mean / 40, near, _share(_per(doc, page.n, short), count), _share(_per(doc, page.n, page.inner[open_lines]), count), recurrence(size, doc, page.n), indentation(page.indent[open_lines], doc, page.n))
+    order = np.lexsort((size, doc))
+    middle = np.zeros(page.n)
+    some = count > 0
+    middle[some] = size[order][(np.cumsum(count) - count + count // 2).astype(np.int64)[some]]
+    typical = (_share(_per(doc, page.n, size), count) + middle) / 2
+    parts = (np.ones(page.n), typical / 40, near, _share(_per(doc, page.n, short), count), _share(_per(doc, page.n, page.inner[open_lines]), count), recurrence(size, doc, page.n), indentation(page.indent[open_lines], doc, page.n))
     return np.stack(parts), count
 
 
