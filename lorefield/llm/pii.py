@@ -8,7 +8,8 @@ of its direct neighbours. Labels: other, email, phone, id_number, and begin and
 name.
 
 Training maximises the likelihood of the rows of ``pii_examples`` (``ROWS`` rows: the documented
-bound) by Adam with exact gradients from forward-backward, once per process and lexicon.
+bound) by Adam with exact gradients from forward-backward. It runs on the driver once per labelled table and lexicon: the
+weights are kept in the shared folder under a digest of both, and later sessions read them from there.
 
 Decoding runs in numpy over whole batches. Features of a token type are looked up once and kept as
 one row of a table, so a token costs ``2*REACH+1`` gathers. From the emissions follows an upper
@@ -27,26 +28,30 @@ dropped; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorefield.llm.pii_examples import PARTICLES, TITLES, Writer
+from lorefield.session import checkpoint_dir
 
 LABELS = ("O", "email", "phone", "id_number", "B-address", "I-address", "B-name", "I-name")
 KIND = (None, "email", "phone", "id_number", "address", "address", "name", "name")
 REACH = 4
-ROWS = 14000
+ROWS = 18000
 N = len(LABELS)
-#: Added to the email label of mailbox-like tokens at decoding: nearly every one is an email.
-MAIL_PRIOR = 4.0
-LAST = 5
+EPOCHS = 6
+#: Share of the name words that the lexicon is taken from in training, as it knows only a part of those in use.
+HIDDEN = 0.33
+LAST = 3
 
 _HOST = r"[^\W_](?:[\w\-]*[^\W_])?"
 _TIE = r"(?: ?@ ?| ?\(at\) ?| ?\[at\] ?)"
@@ -224,7 +229,6 @@ class Tagger:
         em[:-1] += self.m.pairs[1][c[:-1], c[1:]]
         em[2:] += self.m.pairs[2][c[:-2], c[2:]]
         em[:-2] += self.m.pairs[3][c[:-2], c[2:]]
-        em[c == 7, 1] += MAIL_PRIOR
         fill = (ids == 0) | (c == 1)
         em[fill, 1:] = -1e4
         return em
@@ -366,7 +370,8 @@ _POSTCODE = re.compile(r"\d{5}")
 def _is_address(tokens: list[str], a: int, b: int) -> bool:
     """A number and a word."""
     words = [t.strip() for t in tokens[a:b]]
-    return any(w[:1].isdigit() for w in words) and any(w[:1].isalpha() and len(w) > 2 for w in words) and "|" not in words
+    cells = any(t[:1] == "\t" or t[:2] == "  " for t in tokens[a + 1 : b])
+    return any(w[:1].isdigit() for w in words) and any(w[:1].isalpha() and len(w) > 2 for w in words) and "|" not in words and not cells
 
 
 def _has_street(tokens: list[str], a: int, b: int) -> bool:
@@ -395,8 +400,10 @@ def _is_name(tokens: list[str], a: int, b: int) -> bool:
     words = [t.strip() for t in tokens[a:b]]
     if any(tokens[i] == "," and not tokens[i + 1][0].isspace() for i in range(a, b - 1)):  # cells of a row
         return False
+    if any(len(w) == 1 and not w.isalnum() and w not in ".,-'’" for w in words):  # other marks are in no name
+        return False
     parts = [w for w in words if _NAME_PART.fullmatch(w) and _fold(w) not in _PARTICLE_WORDS]
-    if not any(len(w) > 2 for w in parts) or len(parts) > 8:  # initials alone are none, nor is running text
+    if not any(len(w) > 2 for w in parts):  # initials alone are none
         return False
     joined = any(w == "-" for w in words)
     if len(parts) - (1 if joined and len(parts) == 2 else 0) >= 2:
@@ -440,97 +447,100 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - m).sum(axis=axis)) + m.squeeze(axis)
 
 
-def train(words: tuple[tuple[str, str, str], ...], rows: int = ROWS, epochs: int = 10, seed: int = 5) -> Model:
+def train(words: tuple[tuple[str, str, str], ...], rows: int = ROWS, epochs: int = EPOCHS, seed: int = 5) -> Model:
     """Fit the field on ``rows`` labelled rows; ``words`` is the lexicon as (word, type, language)."""
     by_lang: dict[str, tuple[list[str], list[str]]] = {}
     for w, kind, lang in words:
         by_lang.setdefault(lang, ([], []))[0 if kind == "given" else 1].append(w)
     lexicon: dict[str, int] = {}
-    for w, kind, _ in words:
+    for w, kind, lang in words:
         tongue = 4 * (1 + ("en", "de", "fr", "es").index(lang)) if lang in ("en", "de", "fr", "es") else 0
         lexicon[_fold(w)] = tongue + (lexicon.get(_fold(w), 0) % 4 | (1 if kind == "given" else 2))
     rng = np.random.default_rng(seed)
-    data = [_align(r) for r in Writer(by_lang).rows(rows)]
     features: dict[str, int] = {}
+    types: dict[tuple[str, bool], int] = {}
+    of_type: list[np.ndarray] = []
+    class_of: list[int] = []
     seqs = []
-    for toks, labels in data:
-        fids, klass = [], []
+    for toks, labels in (_align(r) for r in Writer(by_lang).rows(rows)):
+        own = []
         for t, lab in zip(toks, labels):
-            key = normal(t)
             # part of the names are hidden from the lexicon, as part of the text's names are
-            names, c = describe(key, {} if lab >= 6 and rng.random() < 0.45 else lexicon)
-            fids.append(np.array([features.setdefault(x, len(features)) for x in names]))
-            klass.append(c)
-        seqs.append((fids, np.array(klass), np.array(labels)))
+            key = normal(t), bool(lab >= 6 and rng.random() < HIDDEN)
+            if key not in types:
+                names, c = describe(key[0], {} if key[1] else lexicon)
+                types[key] = len(types)
+                of_type.append(np.array([features.setdefault(x, len(features)) for x in names]))
+                class_of.append(c)
+            own.append(types[key])
+        seqs.append((np.array(own), np.array(labels)))
+    classes = np.array(class_of)
     width = (2 * REACH + 1) * N
-    n_feat = len(features)
-    params = [np.zeros((n_feat, width)), np.zeros((4, CLASSES, CLASSES, N)), np.zeros((N, N))]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    order = np.argsort([len(s[1]) for s in seqs], kind="stable")
+    params = [np.zeros((len(features), width), np.float32), np.zeros((4, CLASSES, CLASSES, N), np.float32), np.zeros((N, N), np.float32)]
+    first, second, mean = ([np.zeros_like(p) for p in params] for _ in range(3))
+    order = np.argsort([len(s[0]) for s in seqs], kind="stable")
     batches = [order[k : k + 96] for k in range(0, len(order), 96)]
-    step, mean = 0, [np.zeros_like(p) for p in params]
-    forbid = np.zeros((N, N))
+    step = 0
+    forbid = np.zeros((N, N), np.float32)
     for y in (5, 7):
         for x in range(N):
             if x not in (y, y - 1):
                 forbid[x, y] = -1e4
     for epoch in range(epochs):
-        rate = 0.08 * (1 - epoch / epochs) + 0.005
+        rate = 0.06 * (1 - epoch / epochs) + 0.003
         for which in rng.permutation(len(batches)):
             own = [seqs[i] for i in batches[which]]
-            size = np.array([len(s[1]) for s in own])
+            size = np.array([len(s[0]) for s in own])
             T, B = int(size.max()), len(own)
-            # flat features with their sequence and place
-            tok_feat = [f for s in own for f in s[0]]
-            counts = np.array([len(f) for f in tok_feat])
-            flat = np.concatenate(tok_feat)
-            owner = np.repeat(np.arange(len(tok_feat)), counts)
+            used_types, of_token = np.unique(np.concatenate([s[0] for s in own]), return_inverse=True)
+            parts = [of_type[k] for k in used_types]
+            counts = np.array([len(f) for f in parts])
+            flat, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), counts)
             seq = np.repeat(np.arange(B), size)
             place = np.concatenate([np.arange(n) for n in size])
-            rowsum = np.add.reduceat(params[0][flat], np.cumsum(counts) - counts, axis=0)
-            em = np.zeros((B, T, N))
+            rowsum = np.add.reduceat(params[0][flat], np.cumsum(counts) - counts, axis=0)[of_token]
+            em = np.zeros((B, T, N), np.float32)
+            shifts = []
             for k, o in enumerate(range(-REACH, REACH + 1)):
                 to = place - o
-                ok = (to >= 0) & (to < size[seq])
+                ok = np.flatnonzero((to >= 0) & (to < size[seq]))
+                shifts.append((ok, seq[ok], to[ok]))
                 em[seq[ok], to[ok]] += rowsum[ok, k * N : (k + 1) * N]
-            klass = np.zeros((B, T), np.int64)
-            klass[seq, place] = np.concatenate([s[1] for s in own])
-            gold = np.zeros((B, T), np.int64)
-            gold[seq, place] = np.concatenate([s[2] for s in own])
-            live = np.arange(T)[None, :] < size[:, None]
-            prev = np.where(np.arange(T)[None, :] > 0, np.roll(klass, 1, 1), 0)
-            nxt = np.where(np.arange(T)[None, :] < size[:, None] - 1, np.roll(klass, -1, 1), 0)
-            prev2 = np.where(np.arange(T)[None, :] > 1, np.roll(klass, 2, 1), 0)
-            nxt2 = np.where(np.arange(T)[None, :] < size[:, None] - 2, np.roll(klass, -2, 1), 0)
-            around = ((prev, klass), (klass, nxt), (prev2, klass), (klass, nxt2))
+            klass, gold = np.zeros((B, T), np.int64), np.zeros((B, T), np.int64)
+            klass[seq, place] = classes[used_types][of_token]
+            gold[seq, place] = np.concatenate([s[1] for s in own])
+            at, live = np.arange(T)[None, :], np.arange(T)[None, :] < size[:, None]
+            near = {k: np.where((at >= k) & (at < size[:, None] + k), np.roll(klass, k, 1), 0) for k in (1, 2, -1, -2)}
+            around = ((near[1], klass), (klass, near[-1]), (near[2], klass), (klass, near[-2]))
             for table, (x, y) in zip(params[1], around):
                 em += table[x, y]
             move = params[2] + forbid
-            a = np.zeros((B, T, N))
+            a = np.zeros((B, T, N), np.float32)
             a[:, 0] = em[:, 0] + move[0]
             for t in range(1, T):
                 a[:, t] = np.where(live[:, t, None], _logsum(a[:, t - 1, :, None] + move[None], 1) + em[:, t], a[:, t - 1])
             z = _logsum(a[:, T - 1] + move[:, 0], 1)
-            b = np.zeros((B, T, N))
+            b = np.zeros((B, T, N), np.float32)
             b[:, T - 1] = move[:, 0]
             for t in range(T - 2, -1, -1):
                 nxt_b = _logsum(move[None] + (em[:, t + 1] + b[:, t + 1])[:, None, :], 2)
                 b[:, t] = np.where(live[:, t + 1, None], nxt_b, move[:, 0])
-            post = np.exp(a + b - z[:, None, None]) * live[..., None]
-            diff = post.copy()
+            diff = np.exp(a + b - z[:, None, None]) * live[..., None]
             bi, ti = np.nonzero(live)
             diff[bi, ti, gold[bi, ti]] -= 1
             grad_rows = np.zeros_like(rowsum)
-            for k, o in enumerate(range(-REACH, REACH + 1)):
-                to = place - o
-                ok = (to >= 0) & (to < size[seq])
-                grad_rows[ok, k * N : (k + 1) * N] = diff[seq[ok], to[ok]]
+            for k, (ok, s_ok, t_ok) in enumerate(shifts):
+                grad_rows[ok, k * N : (k + 1) * N] = diff[s_ok, t_ok]
+            by = np.argsort(of_token, kind="stable")
+            by_type = np.add.reduceat(grad_rows[by], np.searchsorted(of_token[by], np.arange(len(parts))), axis=0)
             by = np.argsort(flat, kind="stable")
             used, first_at = np.unique(flat[by], return_index=True)
-            g0 = np.add.reduceat(grad_rows[owner[by]], first_at, axis=0)
+            g0 = np.add.reduceat(by_type[owner[by]], first_at, axis=0)
             g1 = np.zeros_like(params[1])
             for table, (x, y) in zip(g1, around):
-                np.add.at(table, (x[live], y[live]), diff[live])
+                cell = x[live] * CLASSES + y[live]
+                for n in range(N):
+                    table[:, :, n] = np.bincount(cell, diff[live][:, n], CLASSES * CLASSES).reshape(CLASSES, CLASSES)
             g2 = np.zeros_like(params[2])
             if T > 1:
                 both = a[:, :-1, :, None] + move[None, None] + (em[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]
@@ -539,30 +549,60 @@ def train(words: tuple[tuple[str, str, str], ...], rows: int = ROWS, epochs: int
                 np.add.at(g2, (gold[:, :-1][ok], gold[:, 1:][ok]), -1)
             step += 1
             for k, g in enumerate((g0, g1, g2)):
-                at = used if k == 0 else slice(None)  # features that the batch doesn't have keep their weights
-                p, m1, m2 = params[k][at], first[k][at], second[k][at]
-                g = g / B + 1e-4 * p
+                at_k = used if k == 0 else slice(None)  # features that the batch doesn't have keep their weights
+                p, m1, m2 = params[k][at_k], first[k][at_k], second[k][at_k]
+                g = g / B + 6e-4 * p
                 m1 = 0.9 * m1 + 0.1 * g
                 m2 = 0.99 * m2 + 0.01 * g * g
-                first[k][at], second[k][at] = m1, m2
-                params[k][at] = p - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+                first[k][at_k], second[k][at_k] = m1, m2
+                params[k][at_k] = p - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         if epoch >= epochs - LAST:  # the mean over the last epochs varies less than the last one
             for m, p in zip(mean, params):
                 m += p / LAST
-    params = mean
-    moves = params[2] + forbid
-    return Model(lexicon, features, params[0].astype(np.float32), params[1].astype(np.float32), moves.astype(np.float32), moves[0].astype(np.float32))
+    moves = mean[2] + forbid
+    return Model(lexicon, features, mean[0], mean[1], moves, moves[0])
+
+
+def _digest(words: tuple[tuple[str, str, str], ...]) -> str:
+    """What a trained model depends on: the labelled table, how it is drawn, the features and the lexicon."""
+    from lorefield.llm import pii_examples
+
+    code = "".join(inspect.getsource(x) for x in (pii_examples, train, describe, normal, _align))
+    return hashlib.sha256(repr((words, ROWS, EPOCHS, LAST, HIDDEN, REACH, TOKEN.pattern, code)).encode()).hexdigest()[:32]
+
+
+_MODELS: dict[str, Model] = {}
+
+
+def model_for(words: tuple[tuple[str, str, str], ...], spark: SparkSession | None = None) -> Model:
+    """The model of a lexicon: of this process, else the one stored in the shared folder, else trained and stored there."""
+    key = _digest(words)
+    if key not in _MODELS:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/lorefield-models/{key}" if spark else None
+        stored = None
+        if path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+            if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+                stored = spark.read.schema("model binary").parquet(path).first()
+        if stored is None:
+            model = train(words, ROWS, EPOCHS)
+            if path:
+                spark.createDataFrame([(bytearray(pickle.dumps(model, protocol=5)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+        _MODELS[key] = model if stored is None else pickle.loads(stored["model"])
+    return _MODELS[key]
 
 
-@lru_cache(maxsize=4)
-def model_for(words: tuple[tuple[str, str, str], ...]) -> Model:
-    return train(words)
+#: The lexicon comes to the driver, as the model's features name its words; a larger table is no lexicon.
+MOST_WORDS = 200_000
 
 
 def lexicon_of(names: DataFrame) -> tuple[tuple[str, str, str], ...]:
-    """The lexicon as a tuple. It is a fixed table of some hundred words, so it fits the driver."""
+    """The lexicon as a tuple: a fixed table of some hundred words. One of over ``MOST_WORDS`` is refused."""
     rows = names.filter("word is not null and word_type in ('given', 'family')").select("word", "word_type", F.coalesce("lang", F.lit("en")).alias("lang")).distinct()
-    return tuple(sorted((r["word"], r["word_type"], r["lang"]) for r in rows.collect()))
+    found = rows.limit(MOST_WORDS + 1).collect()
+    if len(found) > MOST_WORDS:
+        raise ValueError(f"the name lexicon has over {MOST_WORDS} words")
+    return tuple(sorted((r["word"], r["word_type"], r["lang"]) for r in found))
 
 
 _TAGGERS: dict[int, Tagger] = {}
@@ -627,7 +667,8 @@ def _redactor(shared: _Shared):
 
 def _share(rows: DataFrame, words: tuple[tuple[str, str, str], ...]) -> _Shared:
     # a few MB, bounded by ROWS labelled rows
-    return _Shared(rows.sparkSession.sparkContext.broadcast(model_for(words)), hash(words) & 0x7FFFFFFF)
+    spark = rows.sparkSession
+    return _Shared(spark.sparkContext.broadcast(model_for(words, spark)), hash(words) & 0x7FFFFFFF)
 
 
 def _slim(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

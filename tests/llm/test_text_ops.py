@@ -221,11 +221,12 @@ def test_items(tagger, text, want):
 
 
 def test_held_out_accuracy(tagger):
+    """On sentences by another hand, which training never draws from."""
     by: dict = {}
     for w, kind, lang in LEXICON:
         by.setdefault(lang, ([], []))[0 if kind == "given" else 1].append(w)
     right = wrong = missed = 0
-    for row in pii.Writer(by, seed=77).rows(500):
+    for row in pii.Writer(by, seed=77).rows(400, held_out=True):
         text = "".join(t for t, _ in row)
         pos, gold = 0, set()
         for t, kind in row:
@@ -234,7 +235,33 @@ def test_held_out_accuracy(tagger):
             pos += len(t)
         got = {(k, a) for k, a, _ in tagger.items([text])[0]}
         right, wrong, missed = right + len(got & gold), wrong + len(got - gold), missed + len(gold - got)
-    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.93
+    assert right / (right + wrong) > 0.8 and right / (right + missed) > 0.85
+
+
+def test_training_sentences_are_not_the_held_out_ones():
+    from lorefield.llm import pii_examples as X
+
+    trained = {line for table in (X.NAMED, X.CONTACT, X.PLAIN) for text in table.values() for line in text.split("\n")} - {"{S} {S}"}
+    assert not trained & {line for lines in X.HELD_OUT.values() for line in lines}
+
+
+def test_a_stored_model_is_read_back(spark, monkeypatch):
+    words = LEXICON[:40]
+    monkeypatch.setattr(pii, "ROWS", 40)
+    monkeypatch.setattr(pii, "EPOCHS", 3)
+    key = pii._digest(words)
+    monkeypatch.setattr(pii, "_digest", lambda words: key)
+    first = pii.model_for(words, spark)
+    monkeypatch.setattr(pii, "_MODELS", {})
+    monkeypatch.setattr(pii, "train", None)  # training again would fail
+    again = pii.model_for(words, spark)
+    assert (again.weights == first.weights).all() and again.features == first.features
+
+
+def test_names_of_any_length_count():
+    tokens = pii.tokens_of("Ana María del Carmen Luisa Isabel Teresa Pilar Sofía de los Fuentes y Quintana")
+    assert pii._is_name(tokens, 0, len(tokens))
+    assert not pii._is_name(pii.tokens_of("Anna | Berg"), 0, 3)
 
 
 def test_pruning_equals_whole_viterbi(tagger):
