@@ -20,7 +20,7 @@ Verification
     All candidates at once, over the texts that are in one. A pair is aligned within a band around the diagonal, in
     numpy over batches. ``d`` edited words change at most ``3 d`` shingles on either side, so a small distance proves the
     similarity; only where it doesn't (or the alignment left its band, as whole passages were moved) are the shingle sets
-    intersected exactly. ``edits`` is the alignment's distance, -1 where it left the band.
+    intersected exactly. ``edits`` is the alignment's distance, -1 where it proved nothing.
 
 Edge cases: null texts and ids, and texts under ``MIN_WORDS`` words, take no part; a repeated row
 counts once (of several texts under one id, each is compared; copies are those of the text with the smallest
@@ -126,15 +126,18 @@ def signatures(codes: np.ndarray, offsets: np.ndarray, salt: int = 0) -> tuple[n
     return values, sketch
 
 
-def alignment_distance(a: list[np.ndarray], b: list[np.ndarray], band: int = BAND) -> np.ndarray:
+def alignment_distance(a: list[np.ndarray], b: list[np.ndarray], band: int = BAND, most: np.ndarray | None = None) -> np.ndarray:
     """Upper bounds of the edit distances (in words) of the pairs, by alignment within a band.
 
+    A pair whose every alignment costs more than ``most`` gets ``FAR``, as does one that leaves the band.
+
     The band follows the straight line between the corners, ``band`` cells to either side of it, so
     a bound is exact if the best alignment stays inside. All pairs advance together, row by row.
     """
     n = np.array([len(x) for x in a])
     m = np.array([len(x) for x in b])
     rows, width = int(n.max(initial=0)), 2 * band + 1
+    limit = most
     pad_b = np.zeros((len(b), int(m.max(initial=0)) + 1), np.uint64)
     for i, x in enumerate(b):
         pad_b[i, : len(x)] = x
@@ -142,6 +145,7 @@ def alignment_distance(a: list[np.ndarray], b: list[np.ndarray], band: int = BAN
     for i, x in enumerate(a):
         pad_a[i, : len(x)] = x
     far = np.int32(FAR)
+    own = np.arange(len(a))  # the pairs that are still aligned
     offs = np.arange(width, dtype=np.int64) - band
     centre = np.zeros(len(a), np.int64)
     cols = offs[None, :] + centre[:, None]
@@ -152,7 +156,7 @@ def alignment_distance(a: list[np.ndarray], b: list[np.ndarray], band: int = BAN
     def finish(at: np.ndarray) -> None:
         k = m[at] - centre[at] + band
         inside = (k >= 0) & (k < width)
-        result[at[inside]] = cost[at[inside], k[inside]]
+        result[own[at[inside]]] = cost[at[inside], k[inside]]
 
     if (n == 0).any():
         finish(np.flatnonzero(n == 0))
@@ -178,7 +182,13 @@ def alignment_distance(a: list[np.ndarray], b: list[np.ndarray], band: int = BAN
         ends = np.flatnonzero(n == i)
         if len(ends):
             finish(ends)
-    return result
+        if most is not None and i % 8 == 0:
+            going = (n > i) & (cost.min(1) <= most)
+            if going.sum() * 4 < len(own) * 3:
+                own, n, m, centre, slope, cost, pad_a, pad_b, most = (x[going] for x in (own, n, m, centre, slope, cost, pad_a, pad_b, most))
+                if not len(own):
+                    break
+    return result if most is None else np.where(result > limit, far, result)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -219,35 +229,55 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 )
 
 
+def farthest(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """The largest distance that still proves the similarity of texts with ``a`` and ``b`` different shingles."""
+    return np.floor((np.maximum(a, b) - threshold / (1 + threshold) * (a + b) + 1e-9) / SHINGLE).astype(np.int64)
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[tuple[int, int, int], str, str]]]:
+    """Pairs of texts from rows sorted by pair; a repeated row is another text of its side."""
+    key, sides, out, held = None, ([], []), [], 0
+    for batch in batches:
+        for tab, a, b, i, text in zip(*(batch.column(c).to_pylist() for c in ("tab", "a", "b", "id", "text"))):
+            if (tab, a, b) != key:
+                out += [(key, x, y) for x in dict.fromkeys(sides[0]) for y in dict.fromkeys(sides[1])]
+                key, sides = (tab, a, b), ([], [])
+                if held > W.SLAB * 4:
+                    yield out
+                    out, held = [], 0
+            sides[i == b].append(text)
+            held += len(text)
+    out += [(key, x, y) for x in dict.fromkeys(sides[0]) for y in dict.fromkeys(sides[1])]
+    if out:
+        yield out
+
+
 def _verifier(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            texts = list(dict.fromkeys(left + right))
+        for rows in _paired(batches):
+            texts = list(dict.fromkeys(x for _, *both in rows for x in both))
             number = {x: k for k, x in enumerate(texts)}
             codes, offsets = W.word_codes(texts)
             words = [codes[offsets[k] : offsets[k + 1]] for k in range(len(texts))]
-            sets: list[np.ndarray | None] = [None] * len(texts)
-
-            def shingles(k: int) -> np.ndarray:
-                if sets[k] is None:
-                    sets[k] = np.unique(kmer_codes(words[k], np.arange(max(0, len(words[k]) - SHINGLE + 1)), SHINGLE))
-                return sets[k]
-
-            pairs = np.array([(number[x], number[y]) for x, y in zip(left, right)], np.int64).reshape(-1, 2)
-            order = np.argsort([len(words[k]) for k in pairs[:, 0]], kind="stable")
+            sets = [np.unique(kmer_codes(w, np.arange(max(0, len(w) - SHINGLE + 1)), SHINGLE)) for w in words]
+            pairs = np.array([(number[x], number[y]) for _, x, y in rows], np.int64).reshape(-1, 2)
+            size = np.array([len(x) for x in sets], np.float64)[pairs]
+            most = farthest(size[:, 0], size[:, 1], threshold)
             edits = np.full(len(pairs), -1, np.int64)
-            alike = np.zeros(len(pairs), bool)
-            for at in range(0, len(order), 256):
-                own = order[at : at + 256]
-                dist = alignment_distance([words[k] for k in pairs[own, 0]], [words[k] for k in pairs[own, 1]])
+            order = np.flatnonzero(most >= 0)
+            order = order[np.argsort([len(words[k]) for k in pairs[order, 0]], kind="stable")]
+            for at in range(0, len(order), 512):
+                own = order[at : at + 512]
+                dist = alignment_distance([words[k] for k in pairs[own, 0]], [words[k] for k in pairs[own, 1]], most=most[own])
                 edits[own] = np.where(dist < FAR, dist, -1)
-                sizes = np.array([[len(shingles(k)) for k in pair] for pair in pairs[own]]).reshape(-1, 2)
-                alike[own] = proven(dist, sizes[:, 0], sizes[:, 1], threshold)
+            alike = (edits >= 0) & proven(edits, size[:, 0], size[:, 1], threshold)
             for i in np.flatnonzero(~alike).tolist():
-                alike[i] = jaccard(shingles(pairs[i, 0]), shingles(pairs[i, 1])) >= threshold - 1e-12
-            kept = pa.array(np.flatnonzero(alike))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in ("tab", "a", "b")), pa.array(edits[alike])], names=["tab", "a", "b", "edits"])
+                alike[i] = jaccard(sets[pairs[i, 0]], sets[pairs[i, 1]]) >= threshold - 1e-12
+            best: dict[tuple[int, int, int], int] = {}
+            for i in np.flatnonzero(alike).tolist():
+                best[rows[i][0]] = max(best.get(rows[i][0], -1), int(edits[i]))
+            cols = list(zip(*[(*key, e) for key, e in best.items()])) if best else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["tab", "a", "b", "edits"])
 
     return run
 
@@ -279,7 +309,7 @@ def near_duplicates(tables: dict[str, tuple[DataFrame, str, str]], threshold: fl
 
     Returns ``(links, members, names)``: ``links(tab, a, b, edits)`` holds one row per pair of class
     representatives whose shingle similarity is at least ``threshold`` (``edits`` bounds their word
-    edit distance, -1 if the alignment left its band); ``members(tab, id, rep, n)`` holds the ids of
+    edit distance, -1 if the alignment proved nothing); ``members(tab, id, rep, n)`` holds the ids of
     every class of two or more equal texts and its size. ``names[tab]`` is the table's name.
     """
     names = list(tables)
@@ -312,13 +342,14 @@ def near_duplicates(tables: dict[str, tuple[DataFrame, str, str]], threshold: fl
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that hold; only texts that are in one are shuffled, once for both sides."""
-    ids = pairs.select("tab", F.col("a").alias("id")).unionByName(pairs.select("tab", F.col("b").alias("id"))).distinct()
-    own = texts.join(ids, ["tab", "id"], "left_semi")
-    t_a = own.select("tab", F.col("id").alias("a"), F.col("text").alias("text_a"))
-    t_b = own.select("tab", F.col("id").alias("b"), F.col("text").alias("text_b"))
-    held = pairs.join(t_a, ["tab", "a"]).join(t_b, ["tab", "b"]).mapInArrow(_verifier(threshold), "tab int, a long, b long, edits long")
-    return held.groupBy("tab", "a", "b").agg(F.max("edits").alias("edits"))  # a repeated row is compared as often
+    """The pairs that hold. Every text is shuffled once to its pairs, and then once with each of them.
+
+    Both joins are shuffles at every size, so the plan of a small input is that of a large one.
+    """
+    ends = F.explode(F.array("a", "b")).alias("id")
+    with_text = pairs.select("tab", "a", "b", ends).join(texts.select("tab", "id", "text").hint("merge"), ["tab", "id"])
+    sides = with_text.select("tab", "a", "b", "id", "text").repartition("tab", "a", "b").sortWithinPartitions("tab", "a", "b", "id")
+    return sides.mapInArrow(_verifier(threshold), "tab int, a long, b long, edits long")
 
 
 def expand(links: DataFrame, members: DataFrame, texts: DataFrame, names: list[str]) -> DataFrame:

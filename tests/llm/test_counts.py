@@ -86,6 +86,7 @@ def test_a_distance_proves_no_more_than_the_shingles_hold():
             way, at = r.randrange(3), r.randrange(len(b))
             b[at : at + (way != 1)] = [] if way == 0 else [r.randrange(30, 40)]
         x, y = (set(zip(w, w[1:], w[2:])) for w in (a, b))
+        assert near_dup.proven(np.array([d := near_dup.farthest(np.array([len(x)]), np.array([len(y)]), 0.6)[0]]), np.array([len(x)]), np.array([len(y)]), 0.6)[0] or d < 0
         if near_dup.proven(np.array([edit_distance(a, b)]), np.array([len(x)]), np.array([len(y)]), 0.6)[0]:
             assert len(x & y) >= 0.6 * len(x | y)
 
@@ -112,7 +113,11 @@ def test_banded_alignment_is_exact_within_its_band():
                 b.insert(r.randrange(len(b) + 1), r.randrange(6))
         pairs.append((a, b))
     got = near_dup.alignment_distance([np.array(a, np.uint64) for a, _ in pairs], [np.array(b, np.uint64) for _, b in pairs])
-    assert got.tolist() == [edit_distance(a, b) for a, b in pairs]
+    want = [edit_distance(a, b) for a, b in pairs]
+    assert got.tolist() == want
+    most = np.array([r.randrange(0, 6) for _ in pairs])
+    near = near_dup.alignment_distance([np.array(a, np.uint64) for a, _ in pairs], [np.array(b, np.uint64) for _, b in pairs], most=most)
+    assert near.tolist() == [d if d <= m else near_dup.FAR for d, m in zip(want, most.tolist())]
 
 
 def brute_pairs(rows, rule):
