@@ -14,16 +14,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` if the session names one.
 
-    A temporary folder is used only where the setting is absent, as in local tests.
+    A temporary folder is used only where the setting is absent and the session runs in one process, as in local
+    tests. On a cluster without the setting there is no folder that every executor sees, so this raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jsc.get() if jsc.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "lorefield-shared")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
@@ -31,8 +37,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, for tables that are written and read again."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, for tables that are written and read again.
+
+    All of a session's scratch tables lie in one folder, which goes when the session's JVM ends.
+    """
+    root = checkpoint_dir(spark).rstrip("/")
+    app = spark.sparkContext.applicationId
+    if _FOLDERS.get(app) != root:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/lorefield-{app}")
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        _FOLDERS[app] = root
+    return f"{root}/lorefield-{app}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
