@@ -51,3 +51,9 @@ def vecs(spark: SparkSession, sf: str) -> DataFrame:
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
+
+
+def vector_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """(chunk_id, id): the vector that stands for a chunk, its id modulo their number, as the chunks have none of their own."""
+    count = read_table(spark, sf, "embeddings").count()  # read from the footers
+    return chunks(spark, sf).select("chunk_id").filter("chunk_id is not null").distinct().withColumn("id", F.col("chunk_id") % max(count, 1))

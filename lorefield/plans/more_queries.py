@@ -12,7 +12,7 @@ from lorefield.functions import vectors as V
 from lorefield.operators import search as S
 from lorefield.operators import tags as G
 from lorefield.operators import vector_search as X
-from lorefield.plans.common import Registry, chunk_tags, chunks, files, r6, vecs
+from lorefield.plans.common import Registry, chunk_tags, chunks, files, r6, vecs, vector_ids
 from lorefield.plans.spec import FilterRow, SearchSpec, apply_filters, parse_stack
 from lorefield.plans.tag_queries import INLINE, SRC
 from lorefield.plans.vector_queries import COS, DEFS, E
@@ -43,7 +43,7 @@ _stack("q041_file_tag_without", "-without -file-tag status=blocked", f"path NOT
 _stack("q049_file_level_filters", "stale -file-tag project -without -file-tag mute -with -files *.md", f"coalesce(contains(lower(text), 'stale'), true) AND regexp_matches(path, '\\.md$') AND path IN (SELECT path FROM chunk_results WHERE chunk_id IN ({TAGGED} lower(tag) = 'project')) AND path NOT IN (SELECT path FROM chunk_results WHERE path IS NOT NULL AND chunk_id IN ({TAGGED} lower(tag) = 'mute'))")
 
 
-@R.add("""SELECT DISTINCT chunk_id, path FROM chunk_results WHERE chunk_id IN (SELECT chunk_id FROM search_entries e JOIN chunk_results c USING (path) WHERE e.entry_id % 50 = 0) AND coalesce(contains(lower(text), 'digest'), true)""")
+@R.add("""SELECT DISTINCT chunk_id, path FROM chunk_results WHERE chunk_id IN (SELECT chunk_id FROM search_entries e JOIN chunk_results c USING (path) WHERE e.entry_id IS NOT NULL) AND coalesce(contains(lower(text), 'digest'), true)""")
 def q050_post_filter_funnel(spark, sf):
     """Any candidate set goes through the stack; ids without a chunk drop out."""
     paths = read_table(spark, sf, "search_entries").filter("entry_id is not null").select("path").filter("path is not null").distinct()
@@ -99,7 +99,7 @@ def q084_two_stage_embedding(spark, sf):
     return X.top_k(vecs(spark, sf), d, 20, least=0.2).select("grp", "id", r6(F.col("score")).alias("score")).filter("score > 0.2")
 
 
-@R.add("""SELECT DISTINCT e.query_id, c.chunk_id FROM (SELECT DISTINCT query_id, path FROM search_entries WHERE query_id % 50 = 0) e JOIN (SELECT DISTINCT chunk_id, path FROM chunk_results) c USING (path)""")
+@R.add("""SELECT DISTINCT e.query_id, c.chunk_id FROM (SELECT DISTINCT query_id, path FROM search_entries WHERE query_id IS NOT NULL) e JOIN (SELECT DISTINCT chunk_id, path FROM chunk_results) c USING (path)""")
 def q088_inner_join(spark, sf):
     e = read_table(spark, sf, "search_entries").filter("query_id is not null").select("query_id", "path").distinct()
     return e.join(chunks(spark, sf).select("chunk_id", "path").distinct(), "path").select("query_id", "chunk_id").distinct()
@@ -209,24 +209,18 @@ def q175_file_matches_predicate(spark, sf):
     return chunks(spark, sf).join(ids, "chunk_id", "left_semi").filter("path is not null").select("path").distinct()
 
 
-@R.add("""WITH v AS (SELECT vec_id AS id, label, vec_id % 97 AS serial FROM embeddings), d AS (SELECT label, max(serial) AS newest FROM v WHERE id % 50 = 0 GROUP BY label) SELECT v.id, v.label, v.serial FROM v JOIN d USING (label) WHERE v.serial >= d.newest""")
-def q185_fresh_only(spark, sf):
-    """Records at least as new as the newest definition of their tag, by serial."""
-    v = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", (F.col("vec_id") % 97).alias("serial"))
-    d = v.filter("id % 50 = 0").groupBy("label").agg(F.max("serial").alias("newest"))
-    return v.join(d, "label").filter("serial >= newest").select("id", "label", "serial")
-
-
-@R.add("SELECT vec_id AS id FROM embeddings WHERE vec_id % 97 > 60")
-def q186_since_bookmark(spark, sf):
-    return read_table(spark, sf, "embeddings").filter("vec_id % 97 > 60").select(F.col("vec_id").alias("id"))
+@R.add("""SELECT DISTINCT chunk_id FROM chunk_results WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT c.chunk_id FROM chunk_results c JOIN tag_events e USING (path) WHERE e.session = 's0001' AND e.ts IS NOT NULL AND c.chunk_id IS NOT NULL
+    AND epoch_us(TIMESTAMP '2026-06-01') // 1000000 - epoch_us(date_trunc('second', e.ts)) // 1000000 < 2592000)""")
+def q205_surface_cooldown(spark, sf):
+    """Chunks that weren't surfaced to a session within thirty days: an event on a chunk's path has surfaced it."""
+    from datetime import datetime
 
+    from lorefield.operators.recall import cool_down
 
-@R.add("""WITH e AS (SELECT session, max(ts) AS last FROM (SELECT DISTINCT event_id, session, ts FROM tag_events) WHERE session IS NOT NULL AND ts <= TIMESTAMP '2026-06-01' GROUP BY session) SELECT session FROM e WHERE last < TIMESTAMP '2026-05-01'""")
-def q205_surface_cooldown(spark, sf):
-    """Sessions whose last event before a moment lies outside the cool-down window."""
-    e = read_table(spark, sf, "tag_events").filter("session is not null").filter(F.col("ts") <= F.lit("2026-06-01").cast("timestamp_ntz"))
-    return e.groupBy("session").agg(F.max("ts").alias("last")).filter(F.col("last") < F.lit("2026-05-01").cast("timestamp_ntz")).select("session")
+    e = read_table(spark, sf, "tag_events").filter("session = 's0001' and ts is not null").select("path", "ts").distinct()
+    surfaced = chunks(spark, sf).select("chunk_id", "path").distinct().join(e, "path")
+    cands = chunks(spark, sf).select("chunk_id").filter("chunk_id is not null").distinct()
+    return cool_down(cands, surfaced, datetime(2026, 6, 1), 30 * 86400)
 
 
 @R.add("SELECT vec_id AS id, len(embedding) AS dims, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM embeddings")
@@ -262,7 +256,7 @@ def hashed_embedding(rows, key: str, text: str, dims: int = 64):
     mine AS (SELECT * FROM rows WHERE chunk_id % 50 = 0),
     lines AS (SELECT chunk_id, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM mine),
     words AS (SELECT *, regexp_split_to_array(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '\\s+') AS w FROM lines WHERE trim(line, ' ') <> ''),
-    tries AS (SELECT DISTINCT chunk_id, path, line_no, n, array_to_string(w[1:n], ' ') AS anchor FROM words, (SELECT unnest(range(1, 9)) AS n) WHERE n <= len(w)),
+    tries AS (SELECT DISTINCT chunk_id, path, line_no, n, array_to_string(w[1:n], ' ') AS anchor FROM words, (SELECT unnest(range(1, 2000)) AS n) WHERE n <= len(w)),
     free AS (SELECT * FROM tries t WHERE NOT EXISTS (SELECT 1 FROM rows o WHERE o.path = t.path AND o.chunk_id <> t.chunk_id AND contains(o.text, t.anchor))),
     best AS (SELECT chunk_id, anchor FROM free QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY n, line_no, anchor) = 1)
     SELECT chunk_id, min(path) AS path, coalesce(min(anchor), min(chunk_range)) AS anchor FROM mine LEFT JOIN best USING (chunk_id) GROUP BY chunk_id""")
@@ -322,12 +316,11 @@ def q033_tag_write_path(spark, sf):
     return back.groupBy("origin").agg(F.count("*").alias("n"))
 
 
-@R.add("""SELECT vec_id AS id, len(embedding) AS dims FROM embeddings WHERE vec_id IN (SELECT chunk_id % 500 FROM chunk_results WHERE chunk_id % 50 = 0)""")
+@R.add("""SELECT vec_id AS id, len(embedding) AS dims FROM embeddings WHERE vec_id IN (SELECT chunk_id % (SELECT count(*) FROM embeddings) FROM chunk_results WHERE chunk_id IS NOT NULL)""")
 def q035_vector_multi_get(spark, sf):
     from lorefield.sources import store
 
-    keys = chunks(spark, sf).filter("chunk_id % 50 = 0").select((F.col("chunk_id") % 500).alias("id"))
-    return store.get_many(vecs(spark, sf), "id", keys).select("id", F.size("vec").cast("long").alias("dims"))
+    return store.get_many(vecs(spark, sf), "id", vector_ids(spark, sf).select("id")).select("id", F.size("vec").cast("long").alias("dims"))
 
 
 @R.add(f"""SELECT CAST(b.id AS VARCHAR) AS chunk, max({COS}) AS score FROM {DEFS} a, {E} b WHERE b.id % 50 = 0 GROUP BY b.id""")

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from lorefield.functions import vectors as V
 from lorefield.operators import search as S
 from lorefield.operators import vector_search as X
-from lorefield.plans.common import Registry, chunks, r6, vecs
-from lorefield.session import read_table
+from lorefield.plans.common import Registry, chunks, r6, vecs, vector_ids
+from lorefield.operators.hot import HotTable
+from lorefield.session import read_table, scratch_path
+from lorefield.sources import store
 
 R = Registry()
 E = "(SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, 'topic-' || label AS tag FROM embeddings)"
@@ -49,19 +51,44 @@ def q184_hot_correlations(spark, sf):
     return X.top_k(vecs(spark, sf), q, 20).select("grp", "id", r6(F.col("score")).alias("score"))
 
 
-@R.add(f"""WITH s AS (SELECT a.tag, b.id, max({COS}) AS score FROM {DEFS} a, {E} b GROUP BY a.tag, b.id),
-    old AS (SELECT tag, id, score FROM s WHERE id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY tag ORDER BY score DESC, id) <= 20),
-    fresh AS (SELECT tag, id, score FROM s WHERE id % 7 = 0)
-    SELECT tag AS grp, id, score FROM (SELECT * FROM old UNION ALL SELECT * FROM fresh) QUALIFY row_number() OVER (PARTITION BY tag ORDER BY score DESC, id) <= 20""")
+#: Definitions after an edit: the first definition of topic-3 becomes what vector 7 says.
+EDITED = f"(SELECT d.tag, d.id, d.file_id, CASE WHEN d.tag = 'topic-3' AND d.file_id = 1 THEN (SELECT vec FROM {E} WHERE id = 7) ELSE d.vec END AS vec FROM {DEFS} d)"
+SWEPT = f"(SELECT tag, id, score FROM (SELECT a.tag, b.id, max({COS}) AS score FROM {EDITED} a, {E} b GROUP BY a.tag, b.id) QUALIFY row_number() OVER (PARTITION BY tag ORDER BY score DESC, id) <= 20)"
+
+
+def _hot(spark, sf):
+    """A hot table after two sweeps: without the chunks whose id is divisible by 7, then with them and an edited definition."""
+    v, d = vecs(spark, sf), _defs(spark, sf).select("tag", "file_id", "vec")
+    other = v.filter("id = 7").select(F.lit("topic-3").alias("tag"), F.lit(1).alias("file_id"), F.col("vec").alias("seventh"))
+    edited = d.join(F.broadcast(other), ["tag", "file_id"], "left").select("tag", "file_id", F.coalesce("seventh", "vec").alias("vec"), F.when(F.col("seventh").isNull(), 1).otherwise(2).alias("serial"))
+    serial = F.when(F.col("id") % 7 == 0, 2).otherwise(1)
+    table = HotTable(spark, k=20, digits=6).sweep(v.filter("id % 7 <> 0").select("id", "vec", F.lit(1).alias("serial")), d.withColumn("serial", F.lit(1)))
+    return table.sweep(v.select("id", "vec", serial.alias("serial")), edited), edited
+
+
+@R.add(f"SELECT tag AS grp, id, score FROM {SWEPT}")
 def q184_incremental_sweep(spark, sf):
-    """Kept candidates plus the scores of new chunks (ids divisible by 7), ranked again."""
-    v = vecs(spark, sf)
-    q = _defs(spark, sf).select(F.col("tag").alias("grp"), F.col("id").alias("qid"), "vec")
-    kept = X.top_k(v.filter("id % 7 <> 0"), q, 20).select("grp", "id", "score")
-    new = X.top_k(v.filter("id % 7 = 0"), q, 20).select("grp", "id", "score")
-    w = Window.partitionBy("grp").orderBy(F.desc("score"), "id")
-    both = kept.unionByName(new).select("grp", "id", r6(F.col("score")).alias("score"))
-    return both.withColumn("rn", F.row_number().over(w)).filter("rn <= 20").drop("rn")
+    """Stored buckets and a bookmark: only changed chunks are scored, and only the edited tag is built anew."""
+    return _hot(spark, sf)[0].buckets().select(F.col("tag").alias("grp"), F.col("chunk_id").alias("id"), "score")
+
+
+@R.add(f"SELECT tag AS grp, id, score FROM {SWEPT} WHERE id % 5 <> 0 AND tag <> 'topic-4'")
+def q185_fresh_only(spark, sf):
+    """Stored correlations no older than their chunk and their tag's newest definition, after later writes of both."""
+    table, defs = _hot(spark, sf)
+    v = vecs(spark, sf).select("id", F.when(F.col("id") % 5 == 0, 3).otherwise(1).alias("serial"))
+    newer = defs.select("tag", F.when(F.col("tag") == "topic-4", 3).otherwise(F.col("serial")).alias("serial"))
+    return table.fresh(v, newer).select(F.col("tag").alias("grp"), F.col("chunk_id").alias("id"), "score")
+
+
+@R.add("SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 = 0")
+def q186_since_bookmark(spark, sf):
+    """Vectors are written in two stamped batches; the walk since the first gives those of the second."""
+    path = scratch_path(spark, "stamped")
+    v = vecs(spark, sf).select("id", "vec")
+    store.stamp(v, path, 1)
+    store.stamp(v.filter("id % 3 = 0"), path, 2)
+    return store.since(spark, path, "id long, vec array<float>", 1).select("id")
 
 
 @R.add(f"""SELECT a.tag AS grp, b.tag AS other, max({COS}) AS score FROM {DEFS} a, {DEFS} b WHERE a.tag <> b.tag GROUP BY ALL""")
@@ -88,7 +115,7 @@ def q179_suggest_tags(spark, sf):
     """For the chunks whose id is divisible by 50, the five nearest tags by their best definition."""
     c = vecs(spark, sf).filter("id % 50 = 0").select(F.col("id").cast("string").alias("grp"), "id", "vec")
     d = _defs(spark, sf).select(F.col("tag").alias("grp"), "id", "vec")
-    best = X.best_pairs(c, d).select(F.col("grp").alias("chunk"), F.col("other").alias("tag"), r6(F.col("score")).alias("score"))
+    best = X.best_pairs(c, d, k=5, digits=6).select(F.col("grp").alias("chunk"), F.col("other").alias("tag"), r6(F.col("score")).alias("score"))
     w = Window.partitionBy("chunk").orderBy(F.desc("score"), "tag")
     return best.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").drop("rn")
 
@@ -120,7 +147,7 @@ def q078_centroid_prefilter(spark, sf):
 
 
 FTS = """(SELECT chunk_id, round(len(list_filter(tk, lambda w: w IN ('stale', 'recall', 'pass'))) / len(tk), 6) AS score FROM (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS tk FROM (SELECT DISTINCT chunk_id, text FROM chunk_results)) WHERE len(tk) > 0)"""
-MAPPED = "(SELECT c.chunk_id, e.id, e.vec FROM (SELECT DISTINCT chunk_id FROM chunk_results) c JOIN {E} e ON e.id = c.chunk_id % 500)".replace("{E}", E)
+MAPPED = f"(SELECT c.chunk_id, e.id, e.vec FROM (SELECT DISTINCT chunk_id FROM chunk_results) c JOIN {E} e ON e.id = c.chunk_id % (SELECT count(*) FROM embeddings))"
 FTS20 = f"(SELECT * FROM {FTS} WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 40)"
 VEC20 = f"(SELECT b.chunk_id, {COS} AS score FROM {E} a, {MAPPED} b WHERE a.id = 0 ORDER BY score DESC, b.chunk_id LIMIT 40)"
 
@@ -130,13 +157,16 @@ def _fts(spark, sf):
     return S.ranked(S.by_strategy(rows, "stale recall pass", "density"), 40).select("chunk_id", "score")
 
 
-def _vec(spark, sf):
-    """Each chunk takes the vector of its id modulo 500: the fixture has no vectors of its own."""
+def _near(spark, sf):
+    """(chunk_id, score): every chunk by its cosine with vector 0."""
     v = vecs(spark, sf)
     q = v.filter("id = 0").select(F.lit(1).alias("k"), F.col("vec").alias("q"))
-    ids = chunks(spark, sf).select("chunk_id").distinct().withColumn("id", F.col("chunk_id") % 500)
-    rows = ids.join(v, "id").withColumn("k", F.lit(1)).join(F.broadcast(q), "k")
-    return rows.select("chunk_id", r6(V.cosine(F.col("q"), F.col("vec"))).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(40)
+    scored = v.withColumn("k", F.lit(1)).join(F.broadcast(q), "k").select("id", r6(V.cosine(F.col("q"), F.col("vec"))).alias("score"))  # one row
+    return vector_ids(spark, sf).join(scored, "id").select("chunk_id", "score")
+
+
+def _vec(spark, sf):
+    return _near(spark, sf).orderBy(F.desc("score"), "chunk_id").limit(40)
 
 
 @R.add(f"""SELECT chunk_id, coalesce(f.score, 0) AS fts_score, coalesce(v.score, 0) AS vec_score, round(coalesce(f.score, 0) + coalesce(v.score, 0), 6) AS score FROM {FTS20} f FULL JOIN {VEC20} v USING (chunk_id) ORDER BY score DESC, chunk_id LIMIT 20""")
@@ -153,18 +183,18 @@ def q062_split_intersect(spark, sf):
 
 @R.add(f"""SELECT DISTINCT chunk_id FROM chunk_results WHERE contains(lower(text), 'digest') AND chunk_id IN (SELECT chunk_id FROM (SELECT b.chunk_id, {COS} AS score FROM {E} a, {MAPPED} b WHERE a.id = 0 ORDER BY score DESC, b.chunk_id LIMIT 200))""")
 def q043_about_filter(spark, sf):
-    v = vecs(spark, sf)
-    q = v.filter("id = 0").select(F.lit(1).alias("k"), F.col("vec").alias("q"))
-    ids = chunks(spark, sf).select("chunk_id").distinct().withColumn("id", F.col("chunk_id") % 500)
-    near = ids.join(v, "id").withColumn("k", F.lit(1)).join(F.broadcast(q), "k").select("chunk_id", r6(V.cosine(F.col("q"), F.col("vec"))).alias("score"))
-    top = near.orderBy(F.desc("score"), "chunk_id").limit(200)
+    top = _near(spark, sf).orderBy(F.desc("score"), "chunk_id").limit(200)
     return chunks(spark, sf).filter(F.contains(F.lower("text"), F.lit("digest"))).join(top, "chunk_id", "left_semi").select("chunk_id").distinct()
 
 
-@R.add("""SELECT chunk_id FROM (SELECT DISTINCT chunk_id FROM chunk_results WHERE chunk_id IS NOT NULL) WHERE chunk_id NOT IN (SELECT vec_id + 1000003 FROM embeddings)""")
+@R.add("SELECT DISTINCT chunk_id FROM chunk_results WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunk_results WHERE chunk_id IS NOT NULL AND starts_with(path, 'notes/') AND text IS NOT NULL)")
 def q036_missing_vectors(spark, sf):
-    have = read_table(spark, sf, "embeddings").select((F.col("vec_id") + 1000003).alias("chunk_id"))
-    return chunks(spark, sf).select("chunk_id").filter("chunk_id is not null").distinct().join(have, "chunk_id", "left_anti")
+    """A store holds the vectors of one folder's chunks; what a batch has still to embed."""
+    from lorefield.plans.more_queries import hashed_embedding
+
+    path, c = scratch_path(spark, "vectors"), chunks(spark, sf)
+    store.stamp(hashed_embedding(c.filter("startswith(path, 'notes/') and chunk_id is not null"), "chunk_id", "text"), path, 1)
+    return store.missing(c, store.read(spark, path, "chunk_id long, vec array<float>"), "chunk_id")
 
 
 @R.add(f"""SELECT id, round(least(1.0, greatest(0.0, (score + 1) / 2)), 6) AS score FROM (SELECT b.id, {COS[6:-4]} AS score FROM {E} a, {E} b WHERE a.id = 0)""")

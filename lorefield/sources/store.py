@@ -32,3 +32,20 @@ def get_many(table: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 def missing(wanted: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """The wanted keys that the table doesn't have."""
     return wanted.select(key).filter(F.col(key).isNotNull()).distinct().join(table.select(key), key, "left_anti")
+
+
+def stamp(rows: DataFrame, path: str, serial: int) -> None:
+    """Append rows under the serial of their write; serials only grow."""
+    rows.withColumn("serial", F.lit(serial).cast("long")).write.mode("append").partitionBy("serial").parquet(path)
+
+
+def since(spark: SparkSession, path: str, schema: str, bookmark: int) -> DataFrame:
+    """Rows written after a bookmark, with their serial: whole partitions, so nothing older is read."""
+    return read(spark, path, f"{schema}, serial long").filter(F.col("serial") > bookmark)
+
+
+def latest(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """The newest row of every key."""
+    rows = read(spark, path, f"{schema}, serial long")
+    newest = rows.groupBy(key).agg(F.max("serial").alias("serial"))
+    return rows.join(newest, [key, "serial"], "left_semi")
