@@ -15,14 +15,16 @@ from lorefield.functions import text as T
 AXES = ("vector", "trigram", "tag")
 
 
-def best_per_input(scored: DataFrame, keep: int) -> DataFrame:
-    """(chunk_id, score): the ``keep`` best chunks of every input, merged by maximum.
-
-    ``scored`` holds (input, chunk_id, score). The cut is made within an input, so a weak one keeps its own.
-    """
+def hits_per_input(scored: DataFrame, keep: int) -> DataFrame:
+    """(input, chunk_id, score, rank): the ``keep`` best chunks of every input of ``scored(input, chunk_id, score)``."""
     best = scored.groupBy("input", "chunk_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("input").orderBy(F.desc("score"), "chunk_id")
-    return best.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).groupBy("chunk_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
+
+
+def merged(hits: DataFrame) -> DataFrame:
+    """(chunk_id, score): the maximum over the inputs. Each input was cut by itself, so a weak one keeps its own."""
+    return hits.groupBy("chunk_id").agg(F.max("score").alias("score"))
 
 
 def _by_input(rows: DataFrame, scores: Column, *keep: str) -> DataFrame:
@@ -31,14 +33,23 @@ def _by_input(rows: DataFrame, scores: Column, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode(F.filter(numbered, lambda r: r["score"] > 0)).alias("r")).select(*keep, "r.input", "r.score")
 
 
+def _similar(text: Column, inputs: list[str], floor: float) -> Column:
+    """One trigram Jaccard per input; under the coverage floor it is 0."""
+    return T.let(T.gram_codes(F.lower(text)), lambda g: F.array(*[T.jaccard_with_floor(T.literal_codes(q.lower()), g, floor) for q in inputs]))
+
+
+def trigram_hits(chunks: DataFrame, inputs: list[str], keep: int, floor: float = 0.1) -> DataFrame:
+    """(input, chunk_id, score, rank): the ``keep`` best chunks per input by trigram Jaccard."""
+    return hits_per_input(_by_input(chunks.filter("text is not null"), _similar(F.col("text"), inputs, floor), "chunk_id"), keep)
+
+
 def trigram_pass(chunks: DataFrame, inputs: list[str], keep: int, floor: float = 0.1) -> DataFrame:
-    """(chunk_id, score): trigram Jaccard, the ``keep`` best chunks per input; under the coverage floor it is 0."""
-    scores = T.let(T.gram_codes(F.lower("text")), lambda g: F.array(*[T.jaccard_with_floor(T.literal_codes(q.lower()), g, floor) for q in inputs]))
-    return best_per_input(_by_input(chunks.filter("text is not null"), scores, "chunk_id"), keep)
+    """(chunk_id, score): the hits of all inputs, by their maximum."""
+    return merged(trigram_hits(chunks, inputs, keep, floor))
 
 
-def tag_pass(tags: DataFrame, inputs: list[str], keep: int, discussed: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, score): word overlap of the inputs with ``tag value``, for every chunk that carries one of the best.
+def tag_pass(tags: DataFrame, inputs: list[str], keep: int, discussed: DataFrame | None = None, floor: float = 0.1) -> DataFrame:
+    """(chunk_id, score): trigram Jaccard of the inputs with tag values, for every chunk that carries one of the best.
 
     Distinct pairs are scored and cut to the ``keep`` best per input; the chunks that carry them are all
     taken. Pairs in ``discussed`` (see ``exclude_discussed``) are left out before the cut.
@@ -47,8 +58,7 @@ def tag_pass(tags: DataFrame, inputs: list[str], keep: int, discussed: DataFrame
     if discussed is not None:
         exact, whole = _discussed(discussed)
         pairs = pairs.join(exact, ["tag", "value"], "left_anti").join(whole, "tag", "left_anti")
-    text = F.concat_ws(" ", "tag", "value")
-    scored = _by_input(pairs, F.array(*[T.word_overlap(F.lit(q), text) for q in inputs]), "tag", "value")
+    scored = _by_input(pairs, _similar(F.col("value"), inputs, floor), "tag", "value")
     w = Window.partitionBy("input").orderBy(F.desc("score"), "tag", "value")
     hits = scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).groupBy("tag", "value").agg(F.max("score").alias("score"))
     return tags.select("chunk_id", "tag", "value").join(hits, ["tag", "value"]).filter("chunk_id is not null").groupBy("chunk_id").agg(F.max("score").alias("score"))
@@ -88,17 +98,39 @@ def cool_down(cands: DataFrame, surfaced: DataFrame, now, window_seconds: int) -
     return cands.join(recent.select("chunk_id").distinct(), "chunk_id", "left_anti")
 
 
-def max_axis_by_tag(cands: DataFrame, tags: DataFrame, evidence: int = 10) -> DataFrame:
-    """(tag, vector, trigram, tag_axis, score, chunks): tags voted for by candidate chunks.
+def description_similarity(definitions: DataFrame, inputs: list[str]) -> DataFrame:
+    """(input, tag, score): trigram Jaccard of every input with the tags' descriptions, without a floor."""
+    scores = T.let(T.gram_codes(F.lower("description")), lambda g: F.array(*[T.jaccard(T.literal_codes(q.lower()), g) for q in inputs]))
+    return _by_input(definitions, scores, "tag")
+
+
+def connections(vector_defs: DataFrame, trigram_defs: DataFrame, vector_hits: DataFrame, trigram_hits: DataFrame, tags: DataFrame, k: int, evidence: int = 10, admitted: int = 40) -> DataFrame:
+    """(tag, vector_ed, trigram_ed, vector_ec, trigram_ec, score, chunks): the ``k`` tags nearest to the inputs.
 
-    Evidence is the ``evidence`` smallest chunk ids, after a cut to the 40 best-ranked chunks per tag.
+    Two axes compare the inputs with the tags' definitions ``(input, tag, score)``, two let the inputs' best chunks
+    ``(input, chunk_id, score, rank)`` vote for the tags they carry. An axis is the maximum over the inputs, the score that
+    over the axes; ties go by tag. Per input a tag admits the first ``admitted`` of its chunks, vector hits before
+    trigram hits; the ``evidence`` smallest ids of all are shown.
     """
-    votes = tags.filter("tag is not null").select("chunk_id", F.col("tag").alias("name")).distinct().join(cands, "chunk_id")
-    w = Window.partitionBy("name").orderBy(F.desc("score"), "chunk_id")
-    ranked = votes.withColumn("rn", F.row_number().over(w))
-    ids = F.slice(F.array_sort(F.collect_list(F.when(F.col("rn") <= 40, F.col("chunk_id")))), 1, evidence)
-    out = ranked.groupBy("name").agg(F.max("vector").alias("vector"), F.max("trigram").alias("trigram"), F.max("tag").alias("tag_axis"), F.max("score").alias("score"), ids.alias("ids"))
-    return out.select(F.col("name").alias("tag"), "vector", "trigram", "tag_axis", "score", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("chunks"))
+    own = tags.filter("tag is not null and chunk_id is not null").select("chunk_id", "tag").distinct()
+    votes = None
+    for number, (axis, hits) in enumerate((("vector_ec", vector_hits), ("trigram_ec", trigram_hits))):
+        one = hits.select("input", "chunk_id", "score", F.lit(axis).alias("axis"), (F.col("rank") + number * 1_000_000).alias("at"))
+        votes = one if votes is None else votes.unionByName(one)
+    votes = votes.filter("score > 0").join(own, "chunk_id")
+    scores = votes.select("tag", "axis", "score")
+    for axis, rows in (("vector_ed", vector_defs), ("trigram_ed", trigram_defs)):
+        scores = scores.unionByName(rows.select("tag", F.lit(axis).alias("axis"), "score"))
+    names = ("vector_ed", "trigram_ed", "vector_ec", "trigram_ec")
+    wide = scores.groupBy("tag").agg(*[F.coalesce(F.max(F.when(F.col("axis") == n, F.col("score"))), F.lit(0.0)).alias(n) for n in names]).withColumn("score", F.greatest(*names))
+    best = wide.filter("score > 0").orderBy(F.desc("score"), "tag").limit(k)
+    first = votes.groupBy("input", "tag", "chunk_id").agg(F.min("at").alias("at"))
+    order = F.row_number().over(Window.partitionBy("input", "tag").orderBy("at"))
+    shown = first.withColumn("rn", order).filter(F.col("rn") <= admitted).select("tag", "chunk_id").distinct()
+    # at most ``admitted`` ids per input
+    shown = shown.groupBy("tag").agg(F.slice(F.array_sort(F.collect_list("chunk_id")), 1, evidence).alias("ids"))
+    out = best.join(shown, "tag", "left")
+    return out.select("tag", *names, "score", F.coalesce(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), F.lit("")).alias("chunks"))
 
 
 CELLS = (("main", "meaning"), ("main", "tags"), ("conversation", "meaning"), ("conversation", "tags"))

@@ -93,24 +93,34 @@ def _quote(gram: str) -> str:
     return re.escape(gram)
 
 
-def bm25(chunks: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """Hits with their ``score``: BM25 over the query's trigrams."""
+def statistics(chunks: DataFrame, query: str, text: str = "text", key: str = "chunk_id") -> tuple[dict[str, int], int, float]:
+    """(document frequency of each of the query's grams, chunks, mean number of grams), by one pass that ends in one row."""
     grams = query_grams(query)
-    stats = {r["gram"]: (r["df"], r["total"]) for r in gram_counts(chunks, query, text).collect()}
+    body = F.lower(F.coalesce(F.col(text), F.lit("")))
     size = F.greatest(F.length(F.coalesce(F.col(text), F.lit(""))) - 2, F.lit(0))
-    mean = chunks.select("chunk_id", size.alias("n")).distinct().agg(F.avg("n")).first()[0] or 1.0
+    flags = chunks.select(key, size.alias("n"), *[F.contains(body, F.lit(g)).alias(f"g{i}") for i, g in enumerate(grams)]).distinct()
+    row = flags.agg(F.count("*").alias("total"), F.avg("n").alias("mean"), *[F.sum(F.col(f"g{i}").cast("long")).alias(f"g{i}") for i in range(len(grams))]).first()
+    return {g: row[f"g{i}"] or 0 for i, g in enumerate(grams)}, row["total"], row["mean"] or 1.0
 
-    def total_score(body: Column) -> Column:
-        size = F.greatest(F.length(body) - 2, F.lit(0))
-        score = F.lit(0.0)
-        for g in grams:
-            df, total = stats[g]
-            idf = math.log(1 + (total - df + 0.5) / (df + 0.5))
-            score = score + idf * T.let(_occurrences(body, g), lambda tf: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / float(mean))))
-        return score
 
-    score = T.let(F.lower(text), total_score)
-    return T.hits(chunks, F.round(score, 6), *_kept(chunks))
+def _kept_grams(df: dict[str, int], total: int, share: float) -> list[str]:
+    return [g for g, n in df.items() if n <= share * total] or list(df)
+
+
+def bm25_score(body: Column, df: dict[str, int], total: int, mean: float) -> Column:
+    """BM25 of a lower-cased text over the query's trigrams."""
+    size = F.greatest(F.length(body) - 2, F.lit(0))
+    score = F.lit(0.0)
+    for g, n in df.items():
+        idf = math.log(1 + (total - n + 0.5) / (n + 0.5))
+        score = score + idf * T.let(_occurrences(body, g), lambda tf: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / float(mean))))
+    return F.round(score, 6)
+
+
+def bm25(chunks: DataFrame, query: str, text: str = "text") -> DataFrame:
+    """Hits with their ``score``: BM25 over the query's trigrams."""
+    stats = statistics(chunks, query, text)
+    return T.hits(chunks, T.let(F.lower(text), lambda body: bm25_score(body, *stats)), *_kept(chunks))
 
 
 def _kept(chunks: DataFrame) -> list[str]:
@@ -146,13 +156,25 @@ def escalating(chunks: DataFrame, query: str, k: int, text: str = "text") -> Dat
     return cov.unionByName(den.join(some, "strategy", "left_anti"))
 
 
-def multi(chunks: DataFrame, query: str, k: int, text: str = "text") -> DataFrame:
-    """(chunk_id, score, strategy): the best ``k`` of each strategy, the maximum per chunk, then the best ``k``."""
-    parts = None
-    for s in ("bm25", "coverage", "density", "overlap"):
-        one = ranked(by_strategy(chunks, query, s, text), k).select("chunk_id", "score", F.lit(s).alias("strategy"))
-        parts = one if parts is None else parts.unionByName(one)
-    merged = parts.groupBy("chunk_id").agg(F.max("score").alias("score"), F.max_by("strategy", F.struct("score", "strategy")).alias("first"), F.count("*").alias("n"))
+def multi(chunks: DataFrame, query: str, k: int, text: str = "text", share: float = 0.5) -> DataFrame:
+    """(chunk_id, score, strategy): the best ``k`` of each strategy, the maximum per chunk, then the best ``k``.
+
+    Two passes over the texts: one for the statistics, one that gives a chunk all four scores as rows. Each strategy
+    is cut within the tasks before anything is shuffled.
+    """
+    df, total, mean = statistics(chunks, query, text)
+    grams, words = _kept_grams(df, total, share), query_words(query)
+
+    def scores(body: Column) -> Column:
+        found = _hits(body, grams)
+        whole = F.round(found / F.lit(max(1, len(grams))), 6)
+        cells = (("bm25", bm25_score(body, df, total, mean)), ("coverage", F.when(whole >= 1, whole)), ("density", density(body, words)), ("overlap", found.cast("double")))
+        return F.array(*[F.struct(F.lit(s).alias("strategy"), c.cast("double").alias("score")) for s, c in cells])
+
+    rows = chunks.select("chunk_id", F.explode(F.filter(T.let(F.lower(text), scores), lambda c: c["score"] > 0)).alias("c"))
+    w = Window.partitionBy("strategy").orderBy(F.desc("score"), "chunk_id")
+    best = rows.select("chunk_id", "c.strategy", "c.score").distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    merged = best.groupBy("chunk_id").agg(F.max("score").alias("score"), F.max_by("strategy", F.struct("score", "strategy")).alias("first"), F.count("*").alias("n"))
     named = merged.select("chunk_id", "score", F.when(F.col("n") > 1, "multi").otherwise(F.col("first")).alias("strategy"))
     return ranked(named, k)
 

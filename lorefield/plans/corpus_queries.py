@@ -202,21 +202,30 @@ def q170_human_sizes(spark, sf):
     return files(spark, sf).filter("file_length is not null").select("path", T.human_size(F.col("file_length")).alias("size"))
 
 
-@R.add("""SELECT v, CAST(string_split(v, ':')[1] AS INTEGER) AS chapter, CAST(string_split(v, ':')[2] AS INTEGER) AS verse FROM (SELECT DISTINCT regexp_extract(text, '(\\d{1,3}:\\d{1,3})', 1) AS v FROM chunk_results) WHERE v <> ''""")
+@R.add("""SELECT v, CAST(string_split(v, ':')[1] AS INTEGER) AS chapter, CAST(string_split(v, ':')[2] AS INTEGER) AS verse FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '(\\d{1,3}:\\d{1,3})', 1)) AS v FROM chunk_results)""")
 def q166_chapter_verse(spark, sf):
     v = F.regexp_extract_all("text", F.lit(r"(\d{1,3}:\d{1,3})"), F.lit(1))
     rows = chunks(spark, sf).select(F.explode(v).alias("v")).distinct()
     return rows.select("v", T.chapter_verse(F.col("v")).alias("c")).select("v", "c.chapter", "c.verse")
 
 
-@R.add("""SELECT DISTINCT chunk_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches(l, '^\\s*@[a-zA-Z][\\w.-]*:') AND NOT starts_with(l, '    ') AND NOT starts_with(l, chr(9)) THEN NULL ELSE l END), lambda l: l IS NOT NULL), chr(10)) AS text
-    FROM chunk_results WHERE NOT contains(text, '```') AND NOT regexp_matches(text, '\\S[^\\n]*@[a-zA-Z][\\w.-]*:')""")
+#: Lines of all chunk texts, with what stands before their first tag and whether they lie in a fence.
+TAG_LINES = """(SELECT *, CASE WHEN starts_with(ltrim(line, ' '), '```') THEN true ELSE fences % 2 = 1 END AS fenced, regexp_extract(line, '^(.*?)@[a-zA-Z][\\w.-]*:', 1) AS pre, regexp_matches(line, '@[a-zA-Z][\\w.-]*:') AS tagged
+    FROM (SELECT *, sum(CASE WHEN starts_with(ltrim(line, ' '), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY chunk_id, text ORDER BY no) AS fences
+      FROM (SELECT chunk_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM (SELECT DISTINCT chunk_id, text FROM chunk_results WHERE text IS NOT NULL))))"""
+
+
+@R.add(f"""WITH l AS (SELECT *, tagged AND (pre = '' OR substr(pre, length(pre), 1) IN (' ', chr(9))) AND length(regexp_replace(pre, '[^`"]', '', 'g')) % 2 = 0 AND NOT fenced AND NOT starts_with(line, chr(9)) AND NOT starts_with(line, '    ') AS own FROM {TAG_LINES}),
+    k AS (SELECT chunk_id, text AS body, no, CASE WHEN own THEN regexp_replace(line, '@([a-zA-Z][\\w.-]*):[ \\t]*([^\\n]*)', '') ELSE line END AS line FROM l WHERE NOT (own AND regexp_matches(line, '^\\s*@[a-zA-Z][\\w.-]*:')))
+    SELECT t.chunk_id, coalesce(string_agg(line, chr(10) ORDER BY no), '') AS text FROM (SELECT DISTINCT chunk_id, text FROM chunk_results WHERE text IS NOT NULL) t LEFT JOIN k ON k.chunk_id IS NOT DISTINCT FROM t.chunk_id AND k.body = t.text GROUP BY t.chunk_id, t.text
+    UNION ALL SELECT DISTINCT chunk_id, text FROM chunk_results WHERE text IS NULL""")
 def q142_strip_tags(spark, sf):
     return chunks(spark, sf).select("chunk_id", T.strip_tags(F.col("text"), F.lit(True)).alias("text"), F.xxhash64("text").alias("h")).distinct().select("chunk_id", "text")
 
 
-@R.add("""SELECT DISTINCT chunk_id, lower(regexp_extract(string_split(text, chr(10))[1], '^@([a-zA-Z][\\w.-]*):', 1)) AS name, regexp_replace(regexp_extract(string_split(text, chr(10))[1], '^@[a-zA-Z][\\w.-]*:[ \\t]*(.*)$', 1), '^\\s+|\\s+$', '', 'g') AS value FROM chunk_results WHERE regexp_matches(text, '^@[a-zA-Z][\\w.-]*:')""")
+@R.add(f"""WITH l AS (SELECT *, min(CASE WHEN NOT regexp_matches(line, '^@([a-zA-Z][\\w.-]*):') THEN no END) OVER (PARTITION BY chunk_id, text) AS stop FROM {TAG_LINES})
+    SELECT DISTINCT chunk_id, lower(regexp_extract(line, '^@([a-zA-Z][\\w.-]*):', 1)) AS name, regexp_replace(regexp_extract(line, '^@[a-zA-Z][\\w.-]*:[ \\t]*(.*)$', 1), '^\\s+|\\s+$', '', 'g') AS value FROM l WHERE no < coalesce(stop, 1000000)""")
 def q144_tag_block_head(spark, sf):
     """Every line of every chunk's tag block."""
     rows = chunks(spark, sf).filter(F.col("text").rlike(r"^@[a-zA-Z][\w.-]*:")).select("chunk_id", T.tag_block(F.col("text")).alias("block")).distinct()
-    return rows.select("chunk_id", F.explode("block").alias("b")).select("chunk_id", "b.name", "b.value")
+    return rows.select("chunk_id", F.explode("block").alias("b")).select("chunk_id", "b.name", "b.value").distinct()

@@ -10,7 +10,7 @@ from lorefield.functions import vectors as V
 from lorefield.operators import graph as H
 from lorefield.operators import recall as K
 from lorefield.operators import tags as G
-from lorefield.plans.common import Registry, chunk_tags, chunks, r6, vecs
+from lorefield.plans.common import Registry, chunk_tags, chunks, files, r6, vecs, vector_ids
 from lorefield.plans.tag_queries import SRC, TOTALS
 from lorefield.session import read_table
 
@@ -83,73 +83,120 @@ def _trigram_sql(q: str) -> str:
     return "[" + ", ".join("'" + g.replace("'", "''") + "'" for g in grams) + "]"
 
 
-TRI = "list_distinct(CASE WHEN length(text) >= 3 THEN list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), CAST(i AS INTEGER), 3)) WHEN length(text) > 0 THEN [lower(text)] ELSE [] END)"
+def _grams_of(c: str) -> str:
+    return f"list_distinct(CASE WHEN length({c}) >= 3 THEN list_transform(range(1, length({c}) - 1), lambda i: substr(lower({c}), CAST(i AS INTEGER), 3)) WHEN length({c}) > 0 THEN [lower({c})] ELSE [] END)"
 
 
-def _jac(q: str) -> str:
+def _jac(q: str, floor: float = 0.1) -> str:
     g = _trigram_sql(q)
-    return f"CASE WHEN len(list_intersect({g}, g)) / len({g}) < 0.1 THEN 0.0 ELSE len(list_intersect({g}, g)) / (len({g}) + len(g) - len(list_intersect({g}, g))) END"
+    return f"CASE WHEN len(list_intersect({g}, g)) / len({g}) < {floor} THEN 0.0 ELSE len(list_intersect({g}, g)) / (len({g}) + len(g) - len(list_intersect({g}, g))) END"
 
 
-TRIGRAM_SQL = f"SELECT chunk_id, max(round(greatest({_jac(INPUTS[0])}, {_jac(INPUTS[1])}), 6)) AS score FROM (SELECT chunk_id, {TRI} AS g FROM {CH} WHERE text IS NOT NULL) GROUP BY chunk_id HAVING score > 0 ORDER BY score DESC, chunk_id LIMIT 50"
+E_SQL = "(SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
+RAW = "list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec)))"
+COS = f"round({RAW}, 6)"
+NORMAL = f"round(least(1.0, greatest(0.0, ({RAW} + 1) / 2)), 6)"
+OF_CHUNK = "chunk_id % (SELECT count(*) FROM embeddings)"
+#: The reserved pairs of a session: one value of status, and everything of project.
+TALKED = "NOT (tag = 'status' AND value = 'open') AND tag <> 'project'"
+DEFINED = f"(SELECT DISTINCT tag, value AS description FROM {SRC} WHERE origin = 'ext' AND value <> '')"
+TOPICS = f"(SELECT 'topic-' || label AS tag, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 2)"
 
 
-def _over(q: str) -> str:
-    words = "[" + ", ".join(f"'{w}'" for w in q.lower().split()) + "]"
-    return f"len(list_filter({words}, lambda w: contains(lower(tag || ' ' || value), w))) / {len(q.split())}"
+def _vector_sql(i: int) -> str:
+    return f"(SELECT {i} AS input, c.chunk_id, {NORMAL} AS score FROM (SELECT DISTINCT chunk_id FROM chunk_results WHERE chunk_id IS NOT NULL) c JOIN {E_SQL} b ON b.id = c.{OF_CHUNK}, {E_SQL} a WHERE a.id = {i} ORDER BY score DESC, c.chunk_id LIMIT 50)"
 
 
-TAG_SQL = f"SELECT chunk_id, max(score) AS score FROM (SELECT DISTINCT chunk_id, tag, value FROM {SRC}) JOIN (SELECT tag, value, round(greatest({_over(INPUTS[0])}, {_over(INPUTS[1])}), 6) AS score FROM (SELECT DISTINCT tag, value FROM {SRC} WHERE value <> '')) USING (tag, value) WHERE score > 0 GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 50"
-E_SQL = "(SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
-COS = "round(list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))), 6)"
-VEC_SQL = f"SELECT c.chunk_id, max({COS}) AS score FROM (SELECT DISTINCT chunk_id FROM chunk_results) c JOIN {E_SQL} b ON b.id = c.chunk_id % 500, {E_SQL} a WHERE a.id IN (0, 1) GROUP BY c.chunk_id ORDER BY score DESC, c.chunk_id LIMIT 50"
-MERGE_SQL = f"""(SELECT chunk_id, coalesce(max(score) FILTER (axis = 'vector'), 0) AS vector, coalesce(max(score) FILTER (axis = 'trigram'), 0) AS trigram, coalesce(max(score) FILTER (axis = 'tag'), 0) AS tag, max(score) AS score FROM (
-    SELECT *, 'vector' AS axis FROM ({VEC_SQL}) UNION ALL SELECT *, 'trigram' FROM ({TRIGRAM_SQL}) UNION ALL SELECT *, 'tag' FROM ({TAG_SQL})) GROUP BY chunk_id)"""
+def _text_sql(i: int) -> str:
+    return f"(SELECT {i} AS input, chunk_id, max(round({_jac(INPUTS[i])}, 6)) AS score FROM (SELECT chunk_id, {_grams_of('text')} AS g FROM {CH} WHERE text IS NOT NULL) GROUP BY chunk_id HAVING score > 0 ORDER BY score DESC, chunk_id LIMIT 50)"
+
+
+def _tag_sql(i: int, where: str = "true") -> str:
+    best = f"(SELECT tag, value, round({_jac(INPUTS[i])}, 6) AS score FROM (SELECT tag, value, {_grams_of('value')} AS g FROM (SELECT DISTINCT tag, value FROM {SRC} WHERE value <> '' AND {where})) WHERE score > 0 ORDER BY score DESC, tag, value LIMIT 50)"
+    return f"(SELECT {i} AS input, chunk_id, max(score) AS score FROM {SRC} JOIN {best} USING (tag, value) GROUP BY chunk_id)"
+
+
+def _both(make, *args) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM {make(i, *args)}" for i in range(len(INPUTS)))
+
 
+def _merge_sql(where: str = "true") -> str:
+    parts = (("vector", _both(_vector_sql)), ("trigram", _both(_text_sql)), ("tag", _both(_tag_sql, where)))
+    rows = " UNION ALL ".join(f"SELECT chunk_id, score, '{axis}' AS axis FROM ({sql})" for axis, sql in parts)
+    axes = ", ".join(f"coalesce(max(score) FILTER (axis = '{axis}'), 0) AS {axis}" for axis, _ in parts)
+    return f"(SELECT chunk_id, {axes}, max(score) AS score FROM ({rows}) GROUP BY chunk_id)"
 
-def _vector_pass(spark, sf):
+
+def _vector_hits(spark, sf):
+    """The best chunks of the input vectors 0 and 1, by cosine mapped to [0, 1]."""
     v = vecs(spark, sf)
     q = v.filter("id in (0, 1)").select(F.lit(1).alias("k"), F.col("id").alias("input"), F.col("vec").alias("q"))
-    ids = chunks(spark, sf).select("chunk_id").distinct().withColumn("id", F.col("chunk_id") % 500)
-    best = v.withColumn("k", F.lit(1)).join(F.broadcast(q), "k").groupBy("input", "id").agg(F.max(r6(V.cosine(F.col("q"), F.col("vec")))).alias("score"))
-    return K.best_per_input(ids.join(best, "id").select("input", "chunk_id", "score"), 50)
+    scored = v.withColumn("k", F.lit(1)).join(F.broadcast(q), "k")  # two rows
+    scored = scored.select(F.col("input").cast("int").alias("input"), "id", r6(V.normalised(V.cosine(F.col("q"), F.col("vec")))).alias("score"))
+    return K.hits_per_input(vector_ids(spark, sf).join(scored, "id").select("input", "chunk_id", "score"), 50)
 
 
 def _merged(spark, sf, discussed=None):
     tags = G.sources(chunk_tags(spark, sf))
-    return K.merge_axes({"vector": _vector_pass(spark, sf), "trigram": K.trigram_pass(chunks(spark, sf), INPUTS, 50), "tag": K.tag_pass(tags, INPUTS, 50, discussed)})
+    return K.merge_axes({"vector": K.merged(_vector_hits(spark, sf)), "trigram": K.trigram_pass(chunks(spark, sf), INPUTS, 50), "tag": K.tag_pass(tags, INPUTS, 50, discussed)})
 
 
-@R.add(TRIGRAM_SQL)
+@R.add(f"SELECT chunk_id, max(score) AS score FROM ({_both(_text_sql)}) GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 50")
 def q147_jaccard_with_floor(spark, sf):
     return K.trigram_pass(chunks(spark, sf), INPUTS, 50).orderBy(F.desc("score"), "chunk_id").limit(50)
 
 
-@R.add(f"SELECT * FROM {MERGE_SQL}")
+@R.add(f"SELECT * FROM {_merge_sql()}")
 def q111_max_merge(spark, sf):
     return _merged(spark, sf)
 
 
-@R.add(f"""WITH m AS (SELECT * FROM {MERGE_SQL}), own AS (SELECT DISTINCT chunk_id, tag, value FROM {SRC}),
-    left_over AS (SELECT DISTINCT chunk_id FROM own WHERE NOT (tag = 'status' AND value = 'open') AND tag <> 'project')
-    SELECT m.chunk_id, m.score FROM m WHERE (chunk_id IN (SELECT chunk_id FROM left_over) OR chunk_id NOT IN (SELECT chunk_id FROM own))
-      AND chunk_id IN (SELECT chunk_id FROM chunk_results WHERE path IS NOT NULL AND NOT regexp_matches(path, '\\.pdf$')) ORDER BY score DESC, chunk_id LIMIT 20""")
-def q188_recall(spark, sf):
-    """Merge of the passes, without discussed tags, within the path scope, best twenty."""
+def _candidates(spark, sf):
     from lorefield.functions import globs
 
     tags = G.sources(chunk_tags(spark, sf))
     discussed = spark.createDataFrame([("status", "open"), ("project", None)], "tag string, value string")
     kept = K.exclude_discussed(_merged(spark, sf, discussed), tags, discussed)
-    scope = chunks(spark, sf).filter(F.col("path").isNotNull() & globs.passes(F.col("path"), [], ["*.pdf"])).select("chunk_id").distinct()
-    return kept.join(scope, "chunk_id", "left_semi").orderBy(F.desc("score"), "chunk_id").limit(20).select("chunk_id", "score")
+    scope = chunks(spark, sf).filter(F.col("path").isNotNull() & globs.passes(F.col("path"), [], ["*.pdf"])).groupBy("chunk_id").agg(F.min("path").alias("path"))
+    return kept.join(scope, "chunk_id")
+
+
+@R.add(f"""WITH m AS (SELECT * FROM {_merge_sql(TALKED)}), own AS (SELECT DISTINCT chunk_id, tag, value FROM {SRC}),
+    left_over AS (SELECT DISTINCT chunk_id FROM own WHERE {TALKED}),
+    p AS (SELECT chunk_id, min(path) AS path FROM chunk_results WHERE path IS NOT NULL AND NOT regexp_matches(path, '\\.pdf$') GROUP BY chunk_id)
+    SELECT m.chunk_id, path, greatest(vector, trigram) AS meaning, tag AS tags FROM m JOIN p USING (chunk_id) WHERE chunk_id IN (SELECT chunk_id FROM left_over) OR chunk_id NOT IN (SELECT chunk_id FROM own)""")
+def q188_candidates(spark, sf):
+    """What recall allocates from: the merged passes without discussed tags, within the path scope."""
+    return _candidates(spark, sf).select("chunk_id", "path", F.greatest("vector", "trigram").alias("meaning"), F.col("tag").alias("tags"))
 
 
-@R.add(f"""WITH m AS (SELECT * FROM {MERGE_SQL}), v AS (SELECT m.*, t.tag AS name, row_number() OVER (PARTITION BY t.tag ORDER BY m.score DESC, m.chunk_id) AS rn FROM m JOIN (SELECT DISTINCT chunk_id, tag FROM {SRC}) t USING (chunk_id))
-    SELECT name AS tag, max(vector) AS vector, max(trigram) AS trigram, max(tag) AS tag_axis, max(score) AS score, array_to_string(list_sort(list(chunk_id) FILTER (rn <= 40))[1:10], ',') AS chunks FROM v GROUP BY name""")
+@R.add(None)
+def q188_recall(spark, sf):
+    """The candidates in the grid of source and axis; the filling is sequential, so it is tested in Python."""
+    c = _candidates(spark, sf).join(files(spark, sf).groupBy("path").agg(F.min("file_id").alias("file_id")), "path", "left")
+    source = F.when(F.col("path").endswith(".jsonl"), "conversation").otherwise("main")
+    rows = c.select(F.lit(1).cast("long").alias("request"), F.col("chunk_id").alias("key"), source.alias("source"), F.coalesce("file_id", F.lit(-1)).alias("file_id"), F.greatest("vector", "trigram").alias("meaning"), F.col("tag").alias("tags"))
+    return K.allocate_per_request(rows, 3, 20).select(F.col("key").alias("chunk_id"), "cell", "score")
+
+
+@R.add(f"""WITH ed AS (SELECT 'vector_ed' AS axis, b.tag, max({NORMAL}) AS score FROM {E_SQL} a, {TOPICS} b WHERE a.id IN (0, 1) GROUP BY b.tag
+      UNION ALL SELECT 'trigram_ed', tag, max(greatest({', '.join(f'round({_jac(q, 0)}, 6)' for q in INPUTS)})) AS score FROM (SELECT tag, {_grams_of('description')} AS g FROM {DEFINED}) GROUP BY tag),
+    hits AS (SELECT input, chunk_id, score, 'vector_ec' AS axis, row_number() OVER (PARTITION BY input ORDER BY score DESC, chunk_id) AS pos FROM ({_both(_vector_sql)})
+      UNION ALL SELECT input, chunk_id, score, 'trigram_ec', 1000000 + row_number() OVER (PARTITION BY input ORDER BY score DESC, chunk_id) FROM ({_both(_text_sql)})),
+    votes AS (SELECT h.*, t.tag FROM hits h JOIN (SELECT DISTINCT chunk_id, tag FROM {SRC}) t USING (chunk_id) WHERE score > 0),
+    s AS (SELECT tag, axis, score FROM votes UNION ALL SELECT tag, axis, score FROM ed WHERE score > 0),
+    w AS (SELECT tag, {', '.join(f"coalesce(max(score) FILTER (axis = '{n}'), 0) AS {n}" for n in ('vector_ed', 'trigram_ed', 'vector_ec', 'trigram_ec'))}, max(score) AS score FROM s GROUP BY tag),
+    best AS (SELECT * FROM w ORDER BY score DESC, tag LIMIT 20),
+    shown AS (SELECT DISTINCT tag, chunk_id FROM (SELECT input, tag, chunk_id, row_number() OVER (PARTITION BY input, tag ORDER BY min(pos)) AS rn FROM votes GROUP BY input, tag, chunk_id) WHERE rn <= 40)
+    SELECT best.*, coalesce((SELECT array_to_string(list_sort(list(chunk_id))[1:10], ',') FROM shown WHERE shown.tag = best.tag), '') AS chunks FROM best""")
 def q187_find_connections(spark, sf):
-    """Tags of the candidate chunks with their best score per axis and capped evidence."""
-    return K.max_axis_by_tag(_merged(spark, sf), G.sources(chunk_tags(spark, sf)))
+    """Tags near the inputs on four axes: vectors and trigrams, of definitions and of chunks."""
+    v, tags = vecs(spark, sf), G.sources(chunk_tags(spark, sf))
+    topics = v.withColumn("rn", F.row_number().over(Window.partitionBy("tag").orderBy("id"))).filter("rn <= 2").select(F.lit(1).alias("k"), "tag", "vec")
+    q = v.filter("id in (0, 1)").select(F.lit(1).alias("k"), F.col("id").alias("input"), F.col("vec").alias("q"))
+    by_vector = topics.join(F.broadcast(q), "k").select("input", "tag", r6(V.normalised(V.cosine(F.col("q"), F.col("vec")))).alias("score"))  # two rows
+    defined = tags.filter("origin = 'ext' and value <> ''").select("tag", F.col("value").alias("description")).distinct()
+    return K.connections(by_vector, K.description_similarity(defined, INPUTS), _vector_hits(spark, sf), K.trigram_hits(chunks(spark, sf), INPUTS, 50), tags, 20)
 
 
 @R.add(None)
@@ -189,7 +236,7 @@ def q192_tag_proposals(spark, sf):
     w = Window.partitionBy("tag").orderBy("id")
     defs = v.withColumn("rn", F.row_number().over(w)).filter("rn <= 2").select(F.col("tag").alias("grp"), "id", "vec")
     mine = v.filter("id % 50 = 0").select(F.col("id").cast("string").alias("grp"), "id", "vec")
-    best = best_pairs(mine, defs).select(F.col("grp").cast("long").alias("chunk"), F.col("other").alias("tag"), r6(F.col("score")).alias("score")).filter("score >= 0.1")
+    best = best_pairs(mine, defs, digits=6).select(F.col("grp").cast("long").alias("chunk"), F.col("other").alias("tag"), r6(F.col("score")).alias("score")).filter("score >= 0.1")
     best = best.join(v.select(F.col("id").alias("chunk"), "tag"), ["chunk", "tag"], "left_anti")
     rank = Window.partitionBy("chunk").orderBy(F.desc("score"), "tag")
     return best.withColumn("rn", F.row_number().over(rank)).filter("rn <= 10").drop("rn")

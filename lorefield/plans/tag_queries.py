@@ -80,7 +80,7 @@ def q140_extract_tags(spark, sf):
 
 
 @R.add(f"""SELECT tag, value, count(*) AS n, max(score) AS best, count(DISTINCT path) AS files, string_agg(DISTINCT CAST(chunk_id AS VARCHAR), ',' ORDER BY CAST(chunk_id AS VARCHAR)) AS locations
-    FROM (SELECT DISTINCT chunk_id, path, CAST(score AS DOUBLE) AS score, tag, value FROM {INLINE} WHERE chunk_id % 50 = 0) GROUP BY tag, value""")
+    FROM (SELECT DISTINCT chunk_id, path, CAST(score AS DOUBLE) AS score, tag, value FROM {INLINE} WHERE chunk_id IS NOT NULL) GROUP BY tag, value""")
 def q106_result_tag_tree(spark, sf):
     """The tags of a result set that holds all chunks."""
     rows = chunks(spark, sf).filter("chunk_id is not null").select("chunk_id", "path", "text", F.lit(0.5).alias("score")).distinct()

@@ -22,14 +22,14 @@ def docs(spark, texts):
 
 
 def test_search_modes(spark):
-    d = docs(spark, ["apple banana cherry", "apple banana grape", "orange melon grape", None, ""])
-    score = lambda s: {r["chunk_id"]: r["score"] for r in S.by_strategy(d, "apple banana", s, share=1.0).collect()}
+    d = docs(spark, ["amber cedar maple", "amber cedar birch", "olive lemon birch", None, ""])
+    score = lambda s: {r["chunk_id"]: r["score"] for r in S.by_strategy(d, "amber cedar", s, share=1.0).collect()}
     assert score("coverage") == {0: 1.0, 1: 1.0}
     assert score("density") == {0: 0.666667, 1: 0.666667}
     assert set(score("bm25")) == {0, 1}
-    assert score("overlap")[0] == 9.0  # "ana" occurs twice
-    assert [r["strategy"] for r in S.escalating(d, "banana melon", 5).collect()] == ["density"] * 3
-    assert S.multi(d, "apple banana", 1).first()["chunk_id"] == 0
+    assert score("overlap")[0] == 9.0
+    assert [r["strategy"] for r in S.escalating(d, "cedar lemon", 5).collect()] == ["density"] * 3
+    assert S.multi(d, "amber cedar", 1).first()["chunk_id"] == 0
     assert S.by_strategy(d, "", "density").count() == 0
 
 
@@ -71,7 +71,8 @@ def vec_rows(spark, rows):
 
 
 def test_vector_top_k_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(vector_search, "BLOCK", 7)
+    monkeypatch.setattr(vector_search, "CELL", 17)
+    monkeypatch.setattr(vector_search, "AT_ONCE", 60)
     rng = np.random.default_rng(0)
     m = rng.normal(size=(60, 5)).astype("f4")
     rows = [(i, f"g{i % 3}", [float(x) for x in m[i]]) for i in range(60)]
@@ -117,8 +118,8 @@ def test_size_statistics(spark):
 @pytest.mark.parametrize(
     "value, want",
     [
-        ("~/notes/recipe.md @food: hamburger", ("path", "~/notes/recipe.md", None, "", "", [("food", "hamburger")])),
-        ("doc-uuid-42 @food: hamburger @origin: texas", ("path", "doc-uuid-42", None, "", "", [("food", "hamburger"), ("origin", "texas")])),
+        ("~/lists/tools.md @shelf: upper", ("path", "~/lists/tools.md", None, "", "", [("shelf", "upper")])),
+        ("item-7 @shelf: upper @wood: oak", ("path", "item-7", None, "", "", [("shelf", "upper"), ("wood", "oak")])),
         ('a.md[2]:"x @y: z" @t: v', ("path", "a.md", 2, "string", "x @y: z", [("t", "v")])),
         ("%id^ @t: v", ("uuid", "id", 1, "", "", [("t", "v")])),
         ("a.md:/re.*x/ @t: v", ("path", "a.md", None, "regex", "re.*x", [("t", "v")])),

@@ -41,20 +41,20 @@ def test_null_and_empty_texts(spark):
 
 
 def test_first_tag_per_line_wins(spark):
-    text = "@ref: notes/ideas.md:42 @item: interesting concept"
+    text = "@cite: lists/paint.txt:7 @tone: a warm grey"
     got = column(spark, [text], lambda t: T.extract_tags(t, F.lit(False)))[0]
-    assert [(r["tag"], r["value"]) for r in got] == [("ref", "notes/ideas.md:42 @item: interesting concept")]
-    assert column(spark, [text], T.count_tags)[0] == ["ref", "item"]
+    assert [(r["tag"], r["value"]) for r in got] == [("cite", "lists/paint.txt:7 @tone: a warm grey")]
+    assert column(spark, [text], T.count_tags)[0] == ["cite", "tone"]
 
 
 @pytest.mark.parametrize(
     "text, tags",
     [
-        ("text\n```\n@decision: use a store\n```\n@status: open\n", ["status"]),
-        ("normal\n    @code: example\n\t@tab: indented\n@real: tag\n", ["real"]),
-        ("see `@decision: use a store` for details", []),
-        ("the `example` shows @decision: use a store", ["decision"]),
-        ("mail me@host: no", []),
+        ("above\n```\n@shade: within the fence\n```\n@state: dry\n", ["state"]),
+        ("left\n    @deep: four blanks\n\t@deeper: a tab\n@edge: none\n", ["edge"]),
+        ("she typed `@shade: teal` by hand", []),
+        ("a `word` and then @shade: teal", ["shade"]),
+        ("ring bell@door: never", []),
         ("@Mixed.Case-1: x", ["mixed.case-1"]),
         ("", []),
     ],
@@ -65,13 +65,13 @@ def test_mentions(spark, text, tags):
 
 
 def test_strip_tags(spark):
-    text = "the deadline is @due: friday\nmore\n@status: open\nend"
-    assert column(spark, [text], lambda t: T.strip_tags(t, F.lit(True))) == ["the deadline is \nmore\nend"]
+    text = "the rent was @paid: in march\nnext\n@state: dry\nlast"
+    assert column(spark, [text], lambda t: T.strip_tags(t, F.lit(True))) == ["the rent was \nnext\nlast"]
 
 
 def test_tag_block(spark):
-    got = column(spark, ["@to: a\n@status:  open \n\n@late: x"], T.tag_block)[0]
-    assert [(r["name"], r["value"]) for r in got] == [("to", "a"), ("status", "open")]
+    got = column(spark, ["@for: b\n@state:  dry \n\n@after: y"], T.tag_block)[0]
+    assert [(r["name"], r["value"]) for r in got] == [("for", "b"), ("state", "dry")]
     assert column(spark, ["@a: 1\n@a: 2"], lambda t: T.tag_block_get(T.tag_block(t), "A")) == ["1"]
 
 
