@@ -9,10 +9,14 @@ may stand before the target.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorefield.functions import text as T
+from lorefield.functions.predicates import checked_regex
 
 LEAD = r'^\s*(?:\d{4}-\d\d-\d\d\s+)?(?:(?:accepted|rejected|pending|deferred)\s+)?(?:insight:\s+"(?:\\.|[^"\\])*"\s+)?'
 TARGET = r'^(\\?%?[^:@\[\^]*?)\s*(?:\[([0-9]{1,6})\]|(\^))?\s*(?::\s*("(?:\\.|[^"\\])*"|/(?:\\.|[^/\\])*/|[^\s@"/][^\s@]*)?)?\s+(@[a-zA-Z][\w.-]*:.*)\z'
@@ -40,19 +44,35 @@ def parse_ext(value: Column) -> Column:
     return F.when(body.rlike(TARGET) & (base != ""), out)
 
 
+@F.pandas_udf("boolean")
+def _compiles(pattern: pd.Series) -> pd.Series:
+    """Whether patterns (few, distinct) are regular expressions that any engine reads."""
+
+    def fine(p: str) -> bool:
+        try:
+            checked_regex(p)
+        except (ValueError, re.error):
+            return False
+        return "(?P" not in p and not re.search(r"\\[ZAzGQEN]|\[[^\]]*\[", p)
+
+    return pattern.map(fine)
+
+
 def routes(tags: DataFrame, chunks: DataFrame) -> DataFrame:
     """(source_chunk, target_chunk, tag, value): what ``@ext`` values put on which chunks.
 
     Distinct targets are resolved once, by an equi-join on path and a test on the text, and joined
-    back. A target in the source's own file is rejected. An id stands for the chunks that carry it.
+    back. A target in the source's own file is rejected. An id stands for the chunks that carry it. An expression that
+    can't be read matches nothing.
     """
     ext = tags.filter((F.lower("tag") == "ext") & F.col("chunk_id").isNotNull()).select(F.col("chunk_id").alias("source_chunk"), parse_ext(F.col("value")).alias("e")).distinct()
     ext = ext.filter("e is not null and not e.invalid").select("source_chunk", "e.kind", "e.base", F.coalesce("e.nth", F.lit(0)).alias("nth"), "e.anchor_kind", "e.anchor", F.explode("e.tags").alias("t"))
     wanted = ext.select("kind", "base", "nth", "anchor_kind", "anchor").distinct()
-    body = chunks.filter("path is not null").select("chunk_id", "path", "chunk_range", "text").distinct()
+    readable = wanted.filter("anchor_kind <> 'regex'").unionByName(wanted.filter("anchor_kind = 'regex'").filter(_compiles(F.col("anchor"))))
+    body = chunks.filter("path is not null").select("chunk_id", "path", "chunk_range", "text")
     ids = tags.filter((F.lower("tag") == "id") & (F.coalesce("value", F.lit("")) != "")).select(T.trim_all(F.col("value")).alias("base"), "chunk_id").distinct()
-    by_path = wanted.filter("kind = 'path'").join(body.withColumnRenamed("path", "base"), "base")
-    by_id = wanted.filter("kind = 'uuid'").join(ids, "base").join(body.drop("path"), "chunk_id")
+    by_path = readable.filter("kind = 'path'").join(body.withColumnRenamed("path", "base"), "base")
+    by_id = readable.filter("kind = 'uuid'").join(ids, "base").join(body.drop("path"), "chunk_id")
     rows = by_path.unionByName(by_id, allowMissingColumns=True)
     text = F.coalesce("text", F.lit(""))
     hit = (
@@ -62,7 +82,9 @@ def routes(tags: DataFrame, chunks: DataFrame) -> DataFrame:
         | ((F.col("anchor_kind") == "range") & (F.coalesce("chunk_range", F.lit("")) == F.col("anchor")))
     )
     w = Window.partitionBy("kind", "base", "nth", "anchor_kind", "anchor").orderBy(F.coalesce(T.range_start(F.col("chunk_range")), F.lit(1 << 40)), "chunk_id")
-    found = rows.filter(hit).withColumn("rn", F.row_number().over(w))
+    # texts are only tested; repeated rows are removed without them
+    tested = rows.filter(hit).select("kind", "base", "nth", "anchor_kind", "anchor", "chunk_id", "chunk_range").distinct()
+    found = tested.withColumn("rn", F.row_number().over(w))
     bare = (F.col("anchor_kind") == "") & (F.col("kind") == "path")
     found = found.filter(F.when(F.col("nth") > 0, F.col("rn") == F.col("nth")).when(bare, F.col("rn") == 1).otherwise(True))
     found = found.select("kind", "base", "nth", "anchor_kind", "anchor", F.col("chunk_id").alias("target_chunk"))

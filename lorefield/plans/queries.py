@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorefield.plans import corpus_queries, event_queries, graph_queries, more_queries, search_queries, tag_queries, vector_queries
+from lorefield.plans import corpus_queries, event_queries, graph_queries, more_queries, row_queries, search_queries, tag_queries, vector_queries
 
-MODULES = (search_queries, tag_queries, vector_queries, corpus_queries, graph_queries, event_queries, more_queries)
+MODULES = (search_queries, tag_queries, vector_queries, corpus_queries, graph_queries, event_queries, more_queries, row_queries)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

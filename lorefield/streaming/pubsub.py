@@ -71,17 +71,17 @@ class MembershipState:
     """Transitions of a stream across micro-batches.
 
     Within a batch they come from a window per path; the last membership of every path is a table that
-    each batch reads and replaces in a new version, named by the batch.
+    each batch reads and replaces in a new version, named by the batch. The state is in these tables alone: with a
+    ``path`` a restarted job goes on from the version of the batch before.
     """
 
-    def __init__(self, spark: SparkSession, member: Column):
+    def __init__(self, spark: SparkSession, member: Column, path: str | None = None):
         self.spark, self.member = spark, member
-        self.base = scratch_path(spark, "membership")
-        self.last: str | None = None
+        self.base = path or scratch_path(spark, "membership")
 
     def __call__(self, batch: DataFrame, number: int) -> DataFrame:
         rows = V.clean_events(batch).filter("path is not null and ts is not null").persist()
-        before = None if self.last is None else self.spark.read.parquet(self.last)
+        before = None if number == 0 else self.spark.read.parquet(f"{self.base}/v{number - 1}")
         found = V.transitions(rows, self.member)
         if before is not None:
             # the first event of a path in this batch follows the path's last one in the batches before
@@ -95,7 +95,6 @@ class MembershipState:
         state = now if before is None else now.unionByName(before.join(now.select("path"), "path", "left_anti"))
         path = f"{self.base}/v{number}"
         state.write.mode("overwrite").parquet(path)
-        self.last = path
         return found
 
 

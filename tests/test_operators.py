@@ -143,6 +143,8 @@ def test_routes_and_links(spark):
     )
     got = {(r["source_chunk"], r["target_chunk"], r["tag"], r["value"]) for r in H.routes(t, ch).collect()}
     assert got == {(1, 2, "k", "v"), (1, 3, "k", "w"), (1, 3, "k", "id"), (1, 3, "k", "r"), (1, 3, "k", "x")}
+    odd = t.unionByName(spark.createDataFrame([(1, "ext", "a.md:/[open/ @k: none")], t.schema))  # no expression: matches nothing
+    assert H.routes(odd, ch).count() == len(got)
     links = {r["value"]: (r["target_chunk"], r["path"]) for r in H.resolve_links(t, ch).collect()}
     assert links == {"u1": (3, "a.md"), "a.md": (2, "a.md"), "none": (None, None)}
 
@@ -215,7 +217,10 @@ def test_streams_across_batches(spark, tmp_path):
     assert sorted(r["event_id"] for r in hits.collect()) == [1, 5]
     pairs = pubsub.run_to_end(pubsub.new_pairs(stream()), "t2")
     assert pairs.count() == 5
-    moved = pubsub.run_to_end(stream(), "t3", pubsub.MembershipState(spark, F.col("value").isin("1", "2")))
+    state = str(tmp_path / "state")
+    # a state of its own for every batch, as after a restart: what is known is in the tables
+    again = lambda batch, number: pubsub.MembershipState(spark, F.col("value").isin("1", "2"), state)(batch, number)
+    moved = pubsub.run_to_end(stream(), "t3", again)
     got = [(r["event_id"], r["change"]) for r in moved.orderBy("event_id").collect()]
     assert got == [(1, "enter"), (2, "stay"), (3, "leave"), (5, "enter")]
 
