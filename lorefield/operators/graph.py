@@ -14,6 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lorefield.functions import text as T
 from lorefield.functions.predicates import checked_regex
@@ -44,7 +45,7 @@ def parse_ext(value: Column) -> Column:
     return F.when(body.rlike(TARGET) & (base != ""), out)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _compiles(pattern: pd.Series) -> pd.Series:
     """Whether patterns (few, distinct) are regular expressions that any engine reads."""
 
