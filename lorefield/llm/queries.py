@@ -167,8 +167,26 @@ def _term_sql() -> str:
     )
 
 
+WORD_LIST = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+LEAK_SQL = f"""
+    WITH w AS (SELECT DISTINCT doc_id, {WORD_LIST} AS k FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+    v AS (SELECT DISTINCT item_id, {WORD_LIST} AS k FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+    d AS (SELECT DISTINCT doc_id, array_to_string(k[i:i + 7], ' ') AS g FROM (SELECT doc_id, k, unnest(range(1, len(k) - 6)) AS i FROM w WHERE len(k) >= 8)),
+    t AS (SELECT DISTINCT item_id, array_to_string(k[i:i + 7], ' ') AS g FROM (SELECT item_id, k, unnest(range(1, len(k) - 6)) AS i FROM v WHERE len(k) >= 8))
+    SELECT DISTINCT doc_id, item_id FROM d JOIN t USING (g)"""
+NEAR_SQL = f"""
+    WITH x AS (SELECT 'chunk' AS src, chunk_id AS id, text FROM chunk_results WHERE text IS NOT NULL UNION SELECT 'entry', entry_id, text FROM search_entries WHERE text IS NOT NULL),
+    w AS (SELECT src, id, {WORD_LIST} AS k FROM x WHERE id IS NOT NULL),
+    g AS (SELECT DISTINCT src, id, array_to_string(k[i:i + 2], ' ') AS triple FROM (SELECT src, id, k, unnest(range(1, len(k) - 1)) AS i FROM w WHERE len(k) >= 20)),
+    n AS (SELECT src, id, count(*) AS n FROM g GROUP BY ALL),
+    p AS (SELECT a.src, a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.src = b.src AND a.triple = b.triple AND a.id < b.id GROUP BY ALL)
+    SELECT p.src, id_a, id_b FROM p JOIN n x ON x.src = p.src AND x.id = id_a JOIN n y ON y.src = p.src AND y.id = id_b WHERE c * 10 >= 6 * (x.n + y.n - c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": NEAR_SQL,
+        "p7_found": LEAK_SQL,
         "p2_found": _pair_sql("item_a, item_b"),
         "p2_incremental": _pair_sql("item_a, item_b, n_a, n_b, n_ab"),
         "p5_found": f"SELECT field, term, mark FROM ({_term_sql()}) WHERE mark IS NOT NULL",
