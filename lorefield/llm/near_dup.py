@@ -8,7 +8,7 @@ Signature
     with edits as well as with reordering.
 Candidates
     Equal texts are one class first, whatever their number: only its smallest id is signed, where its row
-    lies. Equal signature values give candidate pairs by an equi-join; no group is collected, no bucket capped.
+    lies. Equal signature values give candidate pairs by equi-joins, ``TABLES / PASSES`` tables at a time; no group is collected, no bucket capped.
     Each signature row carries 128 bits: the text's shingle count and three bits of every table's
     minimum. Inside the join they drop pairs whose sizes rule the threshold out, or whose minima
     agree too rarely (``least_equal`` of ``TABLES``; a pair at the threshold fails the default about
@@ -38,12 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorefield.llm import words as W
-from lorefield.session import materialise
+from lorefield.session import discard, materialise
 
 KMER = 4
 SHINGLE = 3
 SAMPLE = 2
 TABLES = 32
+#: The tables are joined in so many passes, each with the disk of its share; texts are signed once.
+PASSES = 4
 MIN_WORDS = 20
 BAND = 12
 LEAST_EQUAL = 9
@@ -221,11 +223,14 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 codes, offsets = codes[np.repeat(long, size)], np.concatenate([[0], np.cumsum(size[long])])
                 values, sketch = signatures(codes, offsets, salt=tab)
                 sketch[:, 1] |= np.uint64(tab) << np.uint64(48)
-                keys = np.repeat(np.array([i for i, _ in own[a:b]], np.int64)[long], TABLES)
-                marks = np.repeat(sketch, TABLES, axis=0).view(np.int64)
+                keys = np.array([i for i, _ in own[a:b]], np.int64)[long]
+                marks = sketch.view(np.int64)
+                each = TABLES // PASSES
+                ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * each)
+                parts = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(values[:, k * each : (k + 1) * each]).reshape(-1).view(np.int64))) for k in range(PASSES)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values.reshape(-1).view(np.int64)), pa.array(keys), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy())],
-                    names=["sig", "id", "s0", "s1"],
+                    [pa.array(keys), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), *parts],
+                    names=["id", "s0", "s1", *(f"sigs{k}" for k in range(PASSES))],
                 )
 
 
@@ -235,21 +240,18 @@ def farthest(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[tuple[int, int, int], str, str]]]:
-    """Pairs of texts from rows sorted by pair; a repeated row is another text of its side."""
-    key, sides, out, held = None, ([], []), [], 0
+    """Pairs of texts in portions of a few slabs; a repeated row counts once."""
+    out: dict[tuple[tuple[int, int, int], str, str], None] = {}
+    held = 0
     for batch in batches:
-        for tab, a, b, i, text in zip(*(batch.column(c).to_pylist() for c in ("tab", "a", "b", "id", "text"))):
-            if (tab, a, b) != key:
-                out += [(key, x, y) for x in dict.fromkeys(sides[0]) for y in dict.fromkeys(sides[1])]
-                key, sides = (tab, a, b), ([], [])
-                if held > W.SLAB * 4:
-                    yield out
-                    out, held = [], 0
-            sides[i == b].append(text)
-            held += len(text)
-    out += [(key, x, y) for x in dict.fromkeys(sides[0]) for y in dict.fromkeys(sides[1])]
+        for tab, a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("tab", "a", "b", "text_a", "text_b"))):
+            out[(tab, a, b), x, y] = None
+            held += len(x) + len(y)
+            if held > W.SLAB * 4:
+                yield list(out)
+                out, held = {}, 0
     if out:
-        yield out
+        yield list(out)
 
 
 def _verifier(threshold: float):
@@ -317,14 +319,30 @@ def near_duplicates(tables: dict[str, tuple[DataFrame, str, str]], threshold: fl
     keyed = rows.select("tab", "id", F.unhex(F.md5("text")).alias("key")).groupBy("tab", "id").agg(F.min("key").alias("key"))
     classes = keyed.groupBy("tab", "key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     members = materialise(keyed.join(classes, ["tab", "key"]).select("tab", "id", "rep", "n"), "nd-members")
-    # only the few ids that stand for no class leave the scan; its texts aren't shuffled for it unless these ids are many
-    texts = rows.join(members.filter("id <> rep").select("tab", "id"), ["tab", "id"], "left_anti")
+    # the ids that stand for no class leave the scan; where they are many, this shuffles the texts, so it is done once and kept
+    texts = materialise(rows.join(members.filter("id <> rep").select("tab", "id"), ["tab", "id"], "left_anti"), "nd-texts")
+
+    parts = ", ".join(f"sigs{k} array<long>" for k in range(PASSES))
+    signed = materialise(texts.select("tab", "id", "text").mapInArrow(_sign_batches, f"id long, s0 long, s1 long, {parts}"), "nd-signatures")
+    direct = None
+    for k in range(PASSES):
+        one = materialise(_colliding(signed.select("id", "s0", "s1", F.explode(f"sigs{k}").alias("sig")), threshold, least_equal), "nd-direct")
+        direct = one if direct is None else direct.unionByName(one)
+    discard(signed)
+    likely, direct = direct.filter(F.col("equal") >= min(HOP_EQUAL, TABLES)).drop("equal").distinct(), direct.drop("equal")
+    both = likely.unionByName(likely.select("tab", F.col("b").alias("a"), F.col("a").alias("b")))
+    hop = both.alias("x").join(both.alias("y"), (F.col("x.tab") == F.col("y.tab")) & (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")))
+    hop = hop.select(F.col("x.tab").alias("tab"), F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+    pairs = materialise(direct.unionByName(hop).distinct(), "nd-pairs")
+    return materialise(_verify(pairs, texts, threshold), "nd-links"), members, names
+
 
-    sig = texts.select("tab", "id", "text").mapInArrow(_sign_batches, "sig long, id long, s0 long, s1 long")
+def _colliding(sig: DataFrame, threshold: float, least_equal: int) -> DataFrame:
+    """Pairs of texts that share a signature value and pass both tests of their sketches."""
     l, r = sig.alias("l"), sig.alias("r")
     size_l, size_r = F.shiftrightunsigned(F.col("l.s0"), 48), F.shiftrightunsigned(F.col("r.s0"), 48)
     possible = (F.greatest(size_l, size_r) >= 65535) | (F.least(size_l, size_r) + 1e-9 >= threshold * F.greatest(size_l, size_r))
-    found = (
+    return (
         l.join(r.hint("shuffle_hash"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.id") < F.col("r.id")))
         .filter(possible & (_agree() >= least_equal))
         # of both sides, lest an inferred filter on one side keep the two from sharing one exchange
@@ -332,24 +350,18 @@ def near_duplicates(tables: dict[str, tuple[DataFrame, str, str]], threshold: fl
         .groupBy("tab", "a", "b")
         .agg(F.max("equal").alias("equal"))
     )
-    direct = materialise(found, "nd-direct")
-    likely, direct = direct.filter(F.col("equal") >= min(HOP_EQUAL, TABLES)).drop("equal"), direct.drop("equal")
-    both = likely.unionByName(likely.select("tab", F.col("b").alias("a"), F.col("a").alias("b")))
-    hop = both.alias("x").join(both.alias("y"), (F.col("x.tab") == F.col("y.tab")) & (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")))
-    hop = hop.select(F.col("x.tab").alias("tab"), F.col("x.b").alias("a"), F.col("y.b").alias("b"))
-    pairs = materialise(direct.unionByName(hop).distinct(), "nd-pairs")
-    return materialise(_verify(pairs, texts, threshold), "nd-links"), members, names
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that hold. Every text is shuffled once to its pairs, and then once with each of them.
+    """The pairs that hold. The texts are shuffled once, for both joins, and one text of each pair on the way to the other.
 
     Both joins are shuffles at every size, so the plan of a small input is that of a large one.
     """
-    ends = F.explode(F.array("a", "b")).alias("id")
-    with_text = pairs.select("tab", "a", "b", ends).join(texts.select("tab", "id", "text").hint("merge"), ["tab", "id"])
-    sides = with_text.select("tab", "a", "b", "id", "text").repartition("tab", "a", "b").sortWithinPartitions("tab", "a", "b", "id")
-    return sides.mapInArrow(_verifier(threshold), "tab int, a long, b long, edits long")
+    for end in ("a", "b"):
+        one = texts.select("tab", "id", F.col("text").alias(f"text_{end}")).hint("merge")
+        pairs = pairs.withColumn("id", F.col(end)).join(one, ["tab", "id"]).drop("id")
+    held = pairs.select("tab", "a", "b", "text_a", "text_b").mapInArrow(_verifier(threshold), "tab int, a long, b long, edits long")
+    return held.groupBy("tab", "a", "b").agg(F.max("edits").alias("edits"))
 
 
 def expand(links: DataFrame, members: DataFrame, texts: DataFrame, names: list[str]) -> DataFrame:

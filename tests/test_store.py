@@ -1,7 +1,9 @@
 """Stored tables, locators and entry points."""
 
+import os
+
 from lorefield.operators.locator import suggest
-from lorefield.session import materialise, spread
+from lorefield.session import discard, materialise, spread
 from lorefield.sources import store
 
 
@@ -38,3 +40,21 @@ def test_entry_points(spark, sf):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_shuffles_of_a_step_go_with_it(spark):
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_") and n.endswith(".data")}
+
+    before = shuffles()
+    materialise(spark.range(1000).repartition(4, "id"), "t")
+    assert not shuffles() - before
+
+
+def test_discard(spark):
+    table = materialise(spark.range(10), "t")
+    files = [f.removeprefix("file:") for f in table.inputFiles()]
+    assert files and all(os.path.exists(f) for f in files)
+    discard(table)
+    assert not any(os.path.exists(f) for f in files)
